@@ -119,3 +119,8 @@ def judge_sql(rules: tuple[Rule, ...] = RULES) -> str:
     """DuckDB SQL for ``judge`` over documents: doc_id, kept, reason."""
     case = " ".join(f"WHEN {rule_sql(r)} THEN '{r.name}'" for r in rules)
     return f"SELECT doc_id, reason IS NULL AS kept, reason FROM (SELECT doc_id, CASE {case} END AS reason FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"
+
+
+def keep_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """DuckDB SQL for the documents kept."""
+    return f"SELECT doc_id, lang, source, n_chars FROM (SELECT doc_id, lang, source, n_chars, coalesce(text, '') AS text FROM documents) WHERE NOT ({' OR '.join(f'({rule_sql(r)})' for r in rules)})"

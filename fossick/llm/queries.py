@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fossick.llm import chat, pieces, quality, secrets, token_counts
+from fossick.llm import chat, pieces, quality, secrets, simhash, token_counts
 from fossick.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -19,7 +19,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "kept", "reason")
+    return quality.keep_good(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "n_chars")
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(table(spark, sf_dir, "conversations"), BYTE_BPE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_secret_scans, op8_sentencepiece, op9_chat_formatting)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.judge_sql()}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_secret_scans, op8_sentencepiece, op9_chat_formatting, op10_simhash)}
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.keep_sql()}
