@@ -103,7 +103,7 @@ def _emit_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(keys.view(np.int64).reshape(-1)), pa.array(np.repeat(node_ids(data, s, e), BANDS))], ["key", "node"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray | pa.Array]]:
+def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.Array]]:
     """Columns of whole runs of the first column, by which the rows are sorted; about ``most`` rows at a time."""
     held: pa.Table | None = None
     limit = most
@@ -114,11 +114,11 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndar
             key = held.column(0).to_numpy()
             end = int(np.searchsorted(key, key[-1]))
             if end:
-                yield held.slice(0, end).combine_chunks().columns
+                yield [c.combine_chunks() for c in held.slice(0, end).columns]
             held = held.slice(end)
             limit = max(most, 2 * held.num_rows)
     if held is not None and held.num_rows:
-        yield held.combine_chunks().columns
+        yield [c.combine_chunks() for c in held.columns]
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fossick.llm import chat, lines, pieces, quality, secrets, simhash, token_counts
+from fossick.llm import chat, lines, pieces, quality, secrets, simhash, substrings, token_counts
 from fossick.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -22,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.keep_good(table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "n_chars")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op4_secret_scans, op7_line_dedup, op8_sentencepiece, op9_chat_formatting, op10_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_substring_dedup, op4_secret_scans, op7_line_dedup, op8_sentencepiece, op9_chat_formatting, op10_simhash)}
 
 ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality.keep_sql()}
