@@ -1,13 +1,47 @@
-"""A corpus pipeline over documents."""
+"""A corpus pipeline over documents: quality rules, line dedup, near-dedup, source mixing and encoding.
+
+Each stage takes what its predecessor kept and returns the columns of documents, but for the last, which returns
+doc_id, n_tokens, token_ids and round_trip of every row. Nulls, empty and repeated rows are treated as the operators'
+docstrings say. Mixing repeats documents of sources whose weight is above their share; it drops none.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from fossick.llm import lines, mixing, pieces, quality, simhash
+from fossick.llm.common import write_table
+from fossick.llm.queries import SENTENCE_PIECES, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return lines.drop_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one_of_each(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.apply_schedule(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(docs, SENTENCE_PIECES)
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("source mixing", source_mixing), ("SentencePiece encoding", encoding)]
+
+#: Line dedup, near-dedup and encoding can't be written in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        df = stage(spark, df, sf_dir)
-    return df
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs, _ = write_table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
