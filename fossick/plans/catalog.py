@@ -4,7 +4,499 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fossick.functions import matching, scoring, text
+from fossick.operators import chats, evidence, files, knowledge, monitor, retrieval, tables
+from fossick.plans import oracle
+from fossick.sources import views as V
+from fossick.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+WORDS = ["edtion", "ention", "whst"]
+NOW = "2024-02-15 00:00:00"
+ROOTS = ["/corpus/src1", "/corpus/src2", "/corpus/src3", "/corpus/src4", "/corpus/src5", "/corpus/src6", "/corpus/src7", "/corpus/src8"]
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Registers a query, and its SQL if the oracle module has some by its name."""
+    QUERIES[f.__name__] = f
+    if f.__name__ in oracle.SQL:
+        ORACLE_SQL[f.__name__] = oracle.SQL[f.__name__]
+    return f
+
+
+def joined(c: str | Column) -> Column:
+    return F.array_join(c, "|")
+
+
+# --- search over lines
+
+
+@query
+def fast_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.rank_files(V.lines(spark, sf_dir), WORDS).withColumn("score", F.round("score", 6))
+
+
+@query
+def fast_rank_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.prune(fast_rank(spark, sf_dir), top_k=5)
+
+
+@query
+def grep_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.search_or(V.lines(spark, sf_dir), WORDS)
+
+
+@query
+def grep_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.search_and(V.lines(spark, sf_dir), ["tion", "able", "ing"])
+
+
+@query
+def grep_same_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.search_same_line(V.lines(spark, sf_dir), ["tion", "whst"])
+
+
+@query
+def grep_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.search_not(V.lines(spark, sf_dir), "whst", ["edtion", "ention"])
+
+
+@query
+def grep_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.search_or(V.lines(spark, sf_dir), ["wh[a-z]t ", "[0-9]{4}"], mode="regex")
+
+
+@query
+def grep_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.lines(spark, sf_dir).where(matching.whole_word(F.col("line"), "that")).select("path", "line_number", "line")
+
+
+@query
+def grep_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.search_inverted(V.lines(spark, sf_dir), "e").select("path", "line_number", "line")
+
+
+@query
+def grep_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.count_matches(V.lines(spark, sf_dir).where(matching.literal(F.col("line"), "edtion")))
+
+
+@query
+def grep_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.replace_preview(V.lines(spark, sf_dir), "[0-9]+", "#")
+
+
+@query
+def line_relevance_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.top_lines(V.lines(spark, sf_dir).where(matching.any_of(F.col("line"), WORDS)), WORDS, 3)
+
+
+@query
+def files_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = retrieval.files_of_matches(V.lines(spark, sf_dir).where(matching.any_of(F.col("line"), WORDS)), WORDS, 5)
+    return m.select("path", "total_matches", F.round("total_score", 5).alias("total_score"), F.size("lines").alias("n_lines"))
+
+
+@query
+def diverse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.diverse_lines(retrieval.search_or(V.lines(spark, sf_dir), WORDS), WORDS)
+
+
+@query
+def filename_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = retrieval.filename_search(V.corpus(spark, sf_dir), ["doc_12", "doc_.*7", "[bad"])
+    return m.withColumn("match_score", F.round("match_score", 6))
+
+
+@query
+def glob_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files.select_files(V.corpus(spark, sf_dir), "/corpus", max_depth=3, include=["doc_1*.txt"], exclude=["**/de/*"], extensions=["txt"])
+    return f.select("path", "size_bytes")
+
+
+@query
+def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = V.lines(spark, sf_dir).where(matching.literal(F.col("line"), "edtion")).select("path", "line_number")
+    return retrieval.context_windows(hits, window=2, few_window=4)
+
+
+@query
+def evidence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = V.lines(spark, sf_dir)
+    hits = lines.where(matching.literal(F.col("line"), "edtion")).select("path", "line_number")
+    return retrieval.read_windows(retrieval.context_windows(hits, window=2, few_window=4), lines)
+
+
+@query
+def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.corpus(spark, sf_dir).select("source", "path", "content")
+    b = retrieval.char_budget(c, ["path"], by=["source"])
+    return b.select("source", "path", F.length("content").alias("n_chars"), F.md5(F.col("content").cast("binary")).alias("md5"))
+
+
+@query
+def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, c = V.lines(spark, sf_dir), V.corpus(spark, sf_dir)
+    pick = lambda w: lines.where(matching.literal(F.col("line"), w)).groupBy("path").agg(F.min("line_number").alias("pos"))
+    return retrieval.union_in_order(pick("edtion"), pick("ention"), c.where("size_bytes > 15000").select("path", F.col("doc_id").alias("pos")))
+
+
+@query
+def stratified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.stratified(V.corpus(spark, sf_dir).withColumn("modified_at", F.col("doc_id") * 7919 % 10007), 100).select("path", "folder", "modified_at")
+
+
+@query
+def dir_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.tree(V.corpus(spark, sf_dir))
+
+
+@query
+def common_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.common_root(V.corpus(spark, sf_dir))
+
+
+@query
+def ext_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.corpus(spark, sf_dir)
+    return c.groupBy("extension", "lang").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("total"), F.max("size_bytes").alias("largest"))
+
+
+@query
+def hint_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hints = spark.createDataFrame([("doc_7.txt",), ("DOC_12",), ("doc_99.pdf",)], "hint string")
+    return files.resolve_hints(V.corpus(spark, sf_dir), hints)
+
+
+@query
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = V.corpus(spark, sf_dir).select("path", F.col("size_bytes").alias("modified_at"))
+    known = V.corpus(spark, sf_dir).select("path", (F.col("size_bytes") + F.when(F.col("lang") == "fr", 1).otherwise(0)).alias("modified_at"))
+    return files.changed(f, known)
+
+
+@query
+def duplicate_upload_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.corpus(spark, sf_dir)
+    return files.duplicate_names(c.select(F.col("filename").alias("name")), c.where("lang = 'en'").select(F.col("filename").alias("name"), "size_bytes"))
+
+
+@query
+def collection_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.storage_by(V.corpus(spark, sf_dir), "source")
+
+
+@query
+def disk_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.disk_usage(V.corpus(spark, sf_dir), 10 << 30)
+
+
+# --- text
+
+
+@query
+def text_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, x = V.corpus(spark, sf_dir), F.col("content")
+    return c.select("path", text.title_line(x).alias("title"), text.preview(x).alias("preview"), text.estimated_lines(x, F.col("size_bytes")).alias("line_count"), joined(text.head_keywords(x)).alias("keywords"), text.mime_type(F.col("filename")).alias("mime"), text.human_size(F.col("size_bytes")).alias("size"))
+
+
+@query
+def line_noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.lines(spark, sf_dir).where(~text.is_noise(F.col("line"))).groupBy("path").agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+
+
+@query
+def head_mid_tail_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.corpus(spark, sf_dir).select("path", text.head_middle_tail(F.col("content"), 2000).alias("sample"))
+
+
+@query
+def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.corpus(spark, sf_dir).select("path", F.posexplode(text.chunks(F.col("content"), 5000)).alias("n", "chunk"))
+    return c.select("path", "n", F.md5(F.col("chunk").cast("binary")).alias("md5"), F.length("chunk").alias("size"))
+
+
+@query
+def probe_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = V.corpus(spark, sf_dir).select("path", F.explode(text.windows(F.col("content"))).alias("w")).select("path", "w.start", "w.content")
+    return w.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"), F.max("start").alias("last"))
+
+
+@query
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "pages").select("page_id", text.html_title(F.col("html")).alias("title"), F.length(text.html_text(F.col("html"))).alias("text_chars"))
+
+
+@query
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.table(spark, sf_dir, "pages").select("page_id", F.explode(text.html_links(F.col("html"))).alias("link"))
+
+
+@query
+def reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = V.messages(spark, sf_dir).withColumn("reply", F.concat(F.lit("<SUMMARY> "), F.substring("content", 1, 40), F.lit(" </SUMMARY><SHOULD_SAVE>"), F.when(F.col("turn") % 2 == 0, "true").otherwise("no"), F.lit("</SHOULD_SAVE>")))
+    d = text.summary_decision(F.col("reply"))
+    return m.select("session_id", "turn", d["summary"].alias("summary"), d["should_save"].alias("should_save"), d["should_answer"].alias("should_answer"))
+
+
+@query
+def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.table(spark, sf_dir, "events")
+    return e.select("event_type", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k")).groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.max("k").alias("most"))
+
+
+@query
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    h = text.highlight(F.col("filename"), "_1")
+    return V.corpus(spark, sf_dir).select("path", text.stem(p).alias("stem"), text.parent(p).alias("parent"), text.extension(p).alias("ext"), text.safe_filename(p).alias("safe"), h["start"].alias("from_char"), h["end"].alias("to_char"))
+
+
+# --- clusters
+
+
+@query
+def cluster_similar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.similar(V.clusters(spark, sf_dir), _first_vector(spark, sf_dir), top_k=10, threshold=0.2).select("id", "similarity")
+
+
+@query
+def cluster_similar_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.similar_in_scope(V.clusters(spark, sf_dir), _first_vector(spark, sf_dir), ROOTS, top_k=20, threshold=0.1, coverage=0.5)
+
+
+def _first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The query vector: that of the least vec_id."""
+    return list(V.table(spark, sf_dir, "embeddings").orderBy("vec_id").first()["embedding"])
+
+
+@query
+def cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.stats(V.clusters(spark, sf_dir))
+
+
+@query
+def lifecycle_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.value_counts(V.clusters(spark, sf_dir), "lifecycle", V.LIFECYCLES)
+
+
+@query
+def abstraction_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.value_counts(V.clusters(spark, sf_dir), "abstraction_level", V.LEVELS)
+
+
+@query
+def cluster_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.timeline(V.clusters(spark, sf_dir), "2024-02-05 00:00:00")
+
+
+@query
+def top_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.top_patterns(V.clusters(spark, sf_dir), 12)
+
+
+@query
+def cluster_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.graph_edges(V.clusters(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+
+
+@query
+def cluster_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.find(V.clusters(spark, sf_dir), "Topic 3", 50)
+
+
+@query
+def cluster_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.listing(V.clusters(spark, sf_dir), lifecycle="STABLE", limit=40).select("id", "hotness", "abstraction_level")
+
+
+@query
+def cluster_evidence_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.evidence_files(V.clusters(spark, sf_dir)).withColumn("doc_ids", joined("doc_ids"))
+
+
+@query
+def cluster_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.clusters(spark, sf_dir).select("vec_id", "id", "name", "version")
+    new = c.where("vec_id % 3 = 0").withColumn("name", F.concat("name", F.lit(" new"))).withColumn("id", F.when(F.col("vec_id") % 2 == 0, F.col("id")).otherwise(F.concat("id", F.lit("x"))))
+    return knowledge.upsert(c, new)
+
+
+@query
+def cluster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = knowledge.merge(V.clusters(spark, sf_dir).withColumn("topic", F.regexp_extract("name", "Topic ([0-9]+)", 1)), "topic", "vec_id")
+    return m.select("topic", "n_merged", "name", joined("description").alias("description"), joined("patterns").alias("patterns"), F.size("doc_ids").alias("n_docs"), F.size("edges").alias("n_edges"), F.round("confidence", 6).alias("confidence"), F.round("hotness", 6).alias("hotness"), "version")
+
+
+@query
+def cluster_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = knowledge.split(V.clusters(spark, sf_dir), 2)
+    return s.select("id", joined(F.col("evidences.doc_id")).alias("doc_ids"), joined("patterns").alias("patterns"), "lifecycle", "version")
+
+
+@query
+def query_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.clusters(spark, sf_dir)
+    r = knowledge.reuse(c, c.where("vec_id % 2 = 0"), "query 3")
+    return r.select("id", joined("queries").alias("queries"), F.round("hotness", 6).alias("hotness"), "version")
+
+
+@query
+def evidence_still_there(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.still_there(V.clusters(spark, sf_dir), V.corpus(spark, sf_dir))
+
+
+# --- chats
+
+
+@query
+def session_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.search_sessions(V.sessions(spark, sf_dir), V.messages(spark, sf_dir), "tion", 30)
+
+
+@query
+def recent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.recent_messages(V.messages(spark, sf_dir), 3)
+
+
+@query
+def session_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.titles(V.messages(spark, sf_dir))
+
+
+@query
+def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.history_window(V.messages(spark, sf_dir), max_turns=3, max_tokens=200)
+
+
+@query
+def session_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.page(V.sessions(spark, sf_dir), 20, 10).select("session_id", "title", "message_count")
+
+
+@query
+def chat_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.activity(V.sessions(spark, sf_dir), NOW, 24 * 20)
+
+
+@query
+def history_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.weekly(V.sessions(spark, sf_dir), "2024-02-03 00:00:00")
+
+
+@query
+def message_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = V.messages(spark, sf_dir)
+    new = m.where("turn = 0").withColumn("turn", F.lit(99).cast("bigint")).withColumn("ts", F.lit(NOW).cast("timestamp_ntz"))
+    return chats.append_messages(V.sessions(spark, sf_dir), m, new)[0].select("session_id", "message_count", "updated_at")
+
+
+@query
+def session_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, m = V.sessions(spark, sf_dir), V.messages(spark, sf_dir)
+    left, rest = chats.delete_sessions(s, m, s.where("session_id % 3 = 0"))
+    return left.select("session_id").join(rest.groupBy("session_id").agg(F.count("*").alias("n")), "session_id")
+
+
+# --- usage, events, tables
+
+
+@query
+def llm_usage_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.usage_by_model(V.llm_usage(spark, sf_dir))
+
+
+@query
+def usage_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.usage_per_minute(V.llm_usage(spark, sf_dir))
+
+
+@query
+def rate_limit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return monitor.window_rates(e, "user_id", per_second=1, per_minute=2).select("event_id", "in_second", "in_minute", "within")
+
+
+@query
+def health_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.table(spark, sf_dir, "events")
+    s = monitor.health_score(F.col("value") % 100, F.col("user_id") % 100, (F.col("event_id") % 100).cast("double"))
+    return e.select("event_id", s.alias("score"), monitor.health_band(s).alias("band"))
+
+
+@query
+def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.profile(V.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"])
+
+
+@query
+def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.search_catalog(spark, {n: V.table(spark, sf_dir, n) for n in ("region", "nation", "customer", "orders", "documents", "events")}, "name")
+
+
+@query
+def dml_update_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = tables.update_rows(V.table(spark, sf_dir, "nation"), F.col("n_regionkey") == 2, {"n_name": F.concat("n_name", F.lit("!"))})
+    n = tables.delete_rows(n, F.col("n_nationkey") % 5 == 0)
+    return tables.insert_rows(n, spark.createDataFrame([(100, "NEW")], "n_nationkey int, n_name string"))
+
+
+@query
+def tumbling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = streams.window_counts(V.table(spark, sf_dir, "events"), every="6 hours")
+    return w.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query
+def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = streams.window_counts(V.table(spark, sf_dir, "events"), every="12 hours", slide="6 hours")
+    return w.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query
+def sessionized_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = streams.session_counts(V.table(spark, sf_dir, "events"), gap="2 hours")
+    return s.select("user_id", F.unix_micros("session_start").alias("session_start"), "n")
+
+
+@query
+def join_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c, n, r = (V.table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.groupBy("r_name", "c_mktsegment").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query
+def semi_anti_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c = V.table(spark, sf_dir, "orders"), V.table(spark, sf_dir, "customer")
+    big = o.where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    failed = o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return c.join(big, "c_custkey", "left_semi").join(failed, "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+# --- evidence, without SQL: their tests compare them with brute force
+
+
+@query
+def sampled_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.evidence(V.corpus(spark, sf_dir), WORDS, whole=3000).drop("snippet")
+
+
+@query
+def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.key_phrases(V.corpus(spark, sf_dir).select("path", "content"), top_k=5)
+
+
+@query
+def snapshot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.snapshot_lines(V.lines(spark, sf_dir).select("path", "line_number", "line"))
+
+
+@query
+def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scoring.line_relevance(F.col("line"), WORDS, [1.0, 2.0, 0.5], saturation="log", length_norm="log")
+    return V.lines(spark, sf_dir).select("path", "line_number", F.round(s, 6).alias("score")).where("score > 0")
