@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,9 +68,35 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.record_batch([row.take(at), place.take(at)], ["row", "place"])
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of at least LEAST words, compressed for their way through the shuffle."""
+    c = zstandard.ZstdCompressor(level=3)
+    for b in slices(batches, "text"):
+        _, offs, *_, at, _ = _words(b.column(1))
+        data = memoryview(string_buffers(b.column(1))[0])
+        long = np.flatnonzero(np.diff(at) >= LEAST)
+        if len(long):
+            yield pa.record_batch([b.column(0).take(pa.array(long)), pa.array([c.compress(data[offs[i] : offs[i + 1]]) for i in long], pa.binary())], ["row", "text"])
+
+
+def _unsqueezed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows with the texts as they were, in batches of about ``most`` bytes of them."""
+    d = zstandard.ZstdDecompressor()
+    for b in batches:
+        first, size, texts = 0, 0, []
+        packed = b.column(1)
+        for i in range(b.num_rows):
+            texts.append(d.decompress(packed[i].as_buffer()))
+            size += len(texts[-1])
+            if size >= most or i == b.num_rows - 1:
+                yield pa.record_batch([b.column(0).slice(first, len(texts)), pa.array(texts, pa.binary()).cast(pa.string()), b.column(2).slice(first, len(texts))], b.schema.names)
+                first, size, texts = i + 1, 0, []
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows of LEAST words that hold one of a document's anchors: hash, row, first and last character."""
-    for b in slices(batches, "text", 2 << 20):
+    """All windows of LEAST words that hold one of a document's anchors: hash, row, and span: the first character and, in
+    the low 32 bits, the number of characters."""
+    for b in _unsqueezed(batches, 2 << 20):
         data, _, s, e, at, h = _words(b.column(1))
         n = np.diff(at)
         anchors = b.column(2)
@@ -87,33 +114,33 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = H.spans_hash(h, pick, pick + LEAST, 1)
         chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         base = chars[string_buffers(b.column(1))[1][:-1]][own]
-        yield pa.record_batch(
-            [pa.array(key.view(np.int64)), b.column(0).take(pa.array(own)), pa.array((chars[s[pick]] - base).astype(np.int32)), pa.array((chars[e[pick + LEAST - 1]] - base).astype(np.int32))],
-            ["key", "row", "start", "end"],
-        )
+        span = ((chars[s[pick]] - base) << 32) | (chars[e[pick + LEAST - 1]] - chars[s[pick]])
+        yield pa.record_batch([pa.array(key.view(np.int64)), b.column(0).take(pa.array(own)), pa.array(span)], ["key", "row", "span"])
 
 
 def _shared_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for key, row, start, end in _runs(batches, 1 << 18):
+    for key, row, span in _runs(batches, 1 << 18):
         several, docs = _shared(key.to_numpy(), row.to_numpy())
         at = pa.array(np.flatnonzero(several))
-        yield pa.record_batch([row.take(at), start.take(at), end.take(at), pa.array(docs[several].astype(np.int32))], ["row", "start", "end", "docs"])
+        yield pa.record_batch([row.take(at), span.take(at), pa.array(docs[several].astype(np.int32))], ["row", "span", "docs"])
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, end, windows, docs): spans of characters (end not included) that other documents hold too, the
     number of repeated windows in the span, and the most documents that share one of them.
 
-    Shuffled are anchors (a fifth of the words), the texts of documents once, and the windows around shared anchors.
+    Shuffled are anchors (a fifth of the words), the texts of documents once and compressed, and the windows around
+    shared anchors.
     """
     bound_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.xxhash64(col(id_col), col(text_col)).alias("row"), col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     anchors = src.mapInArrow(_anchors, "key bigint, row bigint, place int").repartition(n, "key").sortWithinPartitions("key", "row")
     shared = anchors.mapInArrow(_shared_anchors, "row bigint, place int").groupBy("row").agg(F.collect_list("place").alias("places"))
-    held = src.join(shared, "row").select("row", "text", "places")
-    windows = held.mapInArrow(_windows, "key bigint, row bigint, start int, end int").repartition(n, "key").sortWithinPartitions("key", "row")
-    hits = windows.mapInArrow(_shared_windows, "row bigint, start int, end int, docs int")
+    held = src.mapInArrow(_squeezed, "row bigint, text binary").join(shared, "row").select("row", "text", "places")
+    windows = held.mapInArrow(_windows, "key bigint, row bigint, span bigint").repartition(n, "key").sortWithinPartitions("key", "row")
+    hits = windows.mapInArrow(_shared_windows, "row bigint, span bigint, docs int").repartition(n, "row")
+    hits = hits.select("row", F.shiftright("span", 32).cast("int").alias("start"), (F.shiftright("span", 32) + F.col("span").bitwiseAND(0xFFFFFFFF)).cast("int").alias("end"), "docs")
     w = Window.partitionBy("row").orderBy("start", "end")
     island = F.coalesce((F.col("start") > F.lag(F.col("far")).over(w)).cast("int"), F.lit(1))
     far = hits.withColumn("far", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, 0)))
