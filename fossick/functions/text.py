@@ -126,7 +126,7 @@ def human_size(size: Column) -> Column:
 
 
 def split_keywords(raw: Column) -> Column:
-    return F.filter(F.transform(F.split(raw, "[,;|]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(raw, "[,;|]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def safe_filename(name: Column) -> Column:

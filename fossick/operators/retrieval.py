@@ -150,23 +150,24 @@ def union_in_order(*paths: DataFrame) -> DataFrame:
     return first.select("path", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at.list", "at.pos", "path")).alias("place"))
 
 
-def filename_search(files: DataFrame, patterns: list[str], *, case_sensitive: bool = False) -> DataFrame:
+def filename_search(files: DataFrame, patterns: list[str], *, case_sensitive: bool = False, globs: bool = False) -> DataFrame:
     """(path, filename, matched_pattern, match_score): the first pattern that a name matches counts.
 
-    Globs are translated; a pattern that is no regular expression is skipped.
+    ``globs``: the patterns are globs for the whole name. Else a pattern that is no regular expression is read as a
+    glob if it looks like one, and skipped otherwise.
     """
     import re
 
-    from fossick.functions.matching import glob_pattern, regex
+    from fossick.functions.matching import glob_pattern, is_glob, regex
     from fossick.functions.scoring import filename_score
 
     which, score = None, None
     for p in patterns:
-        pattern = p
+        pattern = glob_pattern(p) if globs else p
         try:
-            re.compile(p)
+            re.compile(pattern)
         except re.error:
-            if not any(c in p for c in "*?["):
+            if not is_glob(p):
                 continue
             pattern = glob_pattern(p)
         ok = regex(F.col("filename"), pattern, case_sensitive)

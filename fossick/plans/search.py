@@ -13,7 +13,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fossick.functions.matching import any_of
+from fossick.functions.matching import any_of, is_glob
 from fossick.functions.scoring import default_idf
 from fossick.operators import evidence as ev
 from fossick.operators import files as fs
@@ -61,8 +61,9 @@ class Answer:
 
 def by_filename(files: DataFrame, query: str, *, top_k: int = 20) -> DataFrame:
     """(path, filename, matched_pattern, match_score): a glob as it stands, else any of the query's words."""
-    globs = [query] if any(c in query for c in "*?[") else [f".*{re.escape(w)}.*" for w in query.split()]
-    return retrieval.filename_search(files, globs).orderBy(F.desc("match_score"), "path").limit(top_k)
+    glob = is_glob(query)
+    patterns = [query] if glob else [f".*{re.escape(w)}.*" for w in query.split()]
+    return retrieval.filename_search(files, patterns, globs=glob).orderBy(F.desc("match_score"), "path").limit(top_k)
 
 
 def rank(lines: DataFrame, files: DataFrame, primary: dict[str, float], fallback: dict[str, float], config: Config) -> tuple[DataFrame, list[str]]:
