@@ -38,3 +38,16 @@ def test_others_run(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["path", "n_lines", "score"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_without_the_training_operators(tmp_path):
+    """The rest imports and has its queries when their folder and the pipeline are gone."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__spark_entry__.__file__).parent
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path / "r", capture_output=True, text=True, check=True)
+    assert said.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLE_SQL))]
