@@ -27,6 +27,10 @@ from fossick.llm.common import bound_batches, col, fresh, slices, string_buffers
 from fossick.llm.components import connected_components, roots
 
 SHINGLE, BANDS, ROWS, JACCARD = 8, 10, 4, 0.75
+#: Text bytes that are hashed at once: a few arrays of 8 bytes for each stay small.
+SLICE_BYTES = 1 << 20
+#: Bytes of lines whose sets a task holds at once, but for a larger group.
+VERIFY_BYTES = 1 << 20
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(5))
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -93,14 +97,13 @@ def band_keys(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def _emit_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", SLICE_BYTES):
         data, offs = string_buffers(b.column(0))
         _, _, s, e = line_spans(data, offs)
-        node, at = np.unique(node_ids(data, s, e), return_index=True)
-        at = np.sort(at)
-        s, e = s[at], e[at]
-        keys = band_keys(data, s, e)
-        yield pa.record_batch([pa.array(keys.view(np.int64).reshape(-1)), pa.array(np.repeat(node_ids(data, s, e), BANDS))], ["key", "node"])
+        ids = node_ids(data, s, e)
+        at = np.sort(np.unique(ids, return_index=True)[1])
+        keys = band_keys(data, s[at], e[at])
+        yield pa.record_batch([pa.array(keys.view(np.int64).reshape(-1)), pa.array(np.repeat(ids[at], BANDS))], ["key", "node"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.Array]]:
@@ -172,11 +175,10 @@ class _Sets:
         return self.alike(rows, np.full(len(rows), x))
 
 
-def _verify_run(rows: np.ndarray, sets: _Sets, out: list[np.ndarray]) -> None:
-    """Verified links among rows of one long run: what links them already is left out."""
-    rest = rows
-    blocks = []
-    for x in rows[:: max(1, len(rows) // 32)]:
+def _verify_run(block: np.ndarray, rest: np.ndarray, sets: _Sets, out: list[np.ndarray]) -> None:
+    """Verified links among rows of one long run, of which ``block`` is linked: what links them already is left out."""
+    blocks = [block]
+    for x in rest[:: max(1, len(rest) // 32)]:
         if x not in rest:
             continue
         hit = sets.near(rest, x)
@@ -202,36 +204,59 @@ def _verify_run(rows: np.ndarray, sets: _Sets, out: list[np.ndarray]) -> None:
                     group[group == group[j]] = group[i]
 
 
+def _verify_groups(begin: np.ndarray, size: np.ndarray, sets: _Sets) -> np.ndarray:
+    """Verified links of all groups: first every line with the first of its group, then the pairs that this left open."""
+    first = np.repeat(begin, size)
+    rows = np.arange(len(first))
+    i, j = first[rows != first], rows[rows != first]
+    good = sets.alike(i, j)
+    out = [np.stack([i[good], j[good]], 1)]
+    linked = rows == first
+    linked[j[good]] = True
+    i, j = [], []
+    for s, n in zip(begin, size, strict=True):
+        own = linked[s : s + n]
+        if own.all():
+            continue
+        if n <= 24:
+            x, y = np.triu_indices(n, 1)
+            open_ = ~(own[x] & own[y]) & (x > 0)
+            i.append(s + x[open_])
+            j.append(s + y[open_])
+        else:
+            _verify_run(s + np.flatnonzero(own), s + np.flatnonzero(~own), sets, out)
+    if i:
+        i, j = np.concatenate(i), np.concatenate(j)
+        good = sets.alike(i, j)
+        out.append(np.stack([i[good], j[good]], 1))
+    return np.concatenate(out)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group, node, line in _runs(batches, 4096):
         group, node = group.to_numpy(), node.to_numpy()
-        sets = _Sets(line)
         begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        size = np.diff(np.append(begin, len(group)))
-        left = np.repeat(begin + size, size) - np.arange(len(group)) - 1
-        small = np.repeat(size <= 24, size)
-        i, j = [], []
-        for d in range(1, 24):
-            k = np.flatnonzero(small & (left >= d))
-            i.append(k)
-            j.append(k + d)
-        i, j = np.concatenate(i), np.concatenate(j)
-        good = sets.alike(i, j)
-        out = [np.stack([i[good], j[good]], 1)]
-        for s, n in zip(begin[size > 24], size[size > 24], strict=True):
-            _verify_run(np.arange(s, s + n), sets, out)
-        e = node[np.concatenate(out)].reshape(-1, 2)
-        e = e[e[:, 0] != e[:, 1]]
-        if len(e):
-            names, at = np.unique(e, return_inverse=True)
-            at = at.reshape(-1, 2)
-            r = roots(at[:, 0], at[:, 1], len(names))
-            far = r != np.arange(len(names))
-            yield pa.record_batch([pa.array(names[far]), pa.array(names[r[far]])], ["a", "b"])
+        ends = np.append(begin[1:], len(group))
+        # whole groups of about VERIFY_BYTES at a time
+        at = string_buffers(line)[1][np.append(begin, len(group))]
+        g = 0
+        while g < len(begin):
+            h = max(g + 1, int(np.searchsorted(at, at[g] + VERIFY_BYTES, side="right")) - 1)
+            lo, hi = begin[g], ends[h - 1]
+            e = _verify_groups(begin[g:h] - lo, ends[g:h] - begin[g:h], _Sets(line.slice(lo, hi - lo)))
+            e = node[lo:hi][e].reshape(-1, 2)
+            g = h
+            e = e[e[:, 0] != e[:, 1]]
+            if len(e):
+                names, number = np.unique(e, return_inverse=True)
+                number = number.reshape(-1, 2)
+                r = roots(number[:, 0], number[:, 1], len(names))
+                far = r != np.arange(len(names))
+                yield pa.record_batch([pa.array(names[far]), pa.array(names[r[far]])], ["a", "b"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", SLICE_BYTES):
         data, offs = string_buffers(b.column(2))
         text, number, s, e = line_spans(data, offs)
         at = pa.array(text)
@@ -239,7 +264,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", SLICE_BYTES):
         data, offs = string_buffers(b.column(0))
         _, _, s, e = line_spans(data, offs)
         node, at = np.unique(node_ids(data, s, e), return_index=True)
