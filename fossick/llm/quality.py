@@ -45,7 +45,7 @@ RULES = (
     # more than two fifths of the lines repeat an earlier one
     Rule("repeated_lines", "{lines} >= 5 AND {distinct_lines} < 0.6 * {lines}"),
     # the number of different words grows with the root of the length in prose, not in repetitions
-    Rule("repeated_words", "{words} >= 20 AND {distinct_words} * {distinct_words} < 4 * {words}"),
+    Rule("repeated_words", "{words} >= 20 AND CAST({distinct_words} AS BIGINT) * {distinct_words} < 4 * CAST({words} AS BIGINT)"),
 )
 
 _SPARK = {
