@@ -70,7 +70,7 @@ def test_every_rule():
 
 
 def test_filter_misses_nothing(spark, make):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = sorted((r.doc_id, *g[:3]) for r in docs.collect() for g in S.scan_text(r.text))
     assert want
     assert sorted((r.doc_id, r.rule, r.start, r.end) for r in S.scan_secrets(docs).collect()) == want
