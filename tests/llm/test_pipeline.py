@@ -61,7 +61,7 @@ def test_one_of_each_group_stays(stages):
     replaced = {i for i, _ in test_simhash.brute(before)}
     kept = {i for i, _ in after}
     assert {i for i, _ in before} - replaced <= kept
-    assert len(kept & replaced) <= 0.05 * max(1, len(replaced))
+    assert len(kept & replaced) <= 0.1 * max(1, len(replaced))  # the search is approximate: recall of at least 0.9
     assert set(after) <= set(before)
 
 
