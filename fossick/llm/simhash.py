@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from fossick.llm import bytehash as H
 from fossick.llm.common import bound_batches, col, fresh, slices, string_buffers, write_table
 from fossick.llm.components import connected_components, roots
+from fossick.llm.lines import _runs
 
 SEGMENTS, COMBINE, CHECK = 4, 2, 192
 #: Most different check bits of near copies: about 0.21 of them, a cosine of 0.79 between sets of words.
@@ -133,26 +134,42 @@ def with_fingerprints(docs: DataFrame, text_col: str, node: str, seg: str, chk:
 
 
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every choice of segments, one row for each index of the first: the rest of the key is worked out where the
+    rows meet, so fingerprints aren't shuffled for each of their keys."""
     for whole in batches:
         for i in range(0, whole.num_rows, 2048):
             b = whole.slice(i, 2048)
             n = b.num_rows
             seg = b.column(1).flatten().to_numpy().reshape(n, -1)
             keys = [golay_keys(np.ascontiguousarray(s)) for s in seg.T]
-            rows, out = [], []
+            rows, first, rest = [], [], []
             for number, chosen in enumerate(combinations(range(seg.shape[1]), COMBINE)):
-                ids, there = np.full((n, 1), number, np.int64), np.ones((n, 1), bool)
-                for s in chosen:
-                    k, t = keys[s]
-                    ids = ((ids[:, :, None] << 12) | k[:, None, :]).reshape(n, -1)
-                    there = (there[:, :, None] & t[:, None, :]).reshape(n, -1)
-                rows.append(np.nonzero(there)[0])
-                out.append(ids[there])
-            rows, out = np.concatenate(rows), np.concatenate(out)
+                k, t = keys[chosen[0]]
+                at = np.nonzero(t)[0]
+                rows.append(at)
+                first.append((np.int64(number) << 12) | k[t])
+                rest.append(seg[at][:, chosen[1:]])
+            rows = np.concatenate(rows)
             order = np.argsort(rows, kind="stable")
             at = pa.array(rows[order])
             chk = b.column(2).flatten().to_numpy().reshape(n, -1)
-            yield pa.record_batch([pa.array(out[order]), b.column(0).take(at), *[pa.array(np.ascontiguousarray(c)).take(at) for c in chk.T]], ["key", "node", *[f"c{j}" for j in range(chk.shape[1])]])
+            rest = np.concatenate(rest)[order]
+            yield pa.record_batch(
+                [pa.array(np.concatenate(first)[order]), b.column(0).take(at), *[pa.array(np.ascontiguousarray(c)).take(at) for c in chk.T], *[pa.array(np.ascontiguousarray(c)) for c in rest.T]],
+                ["key", "node", *[f"c{j}" for j in range(chk.shape[1])], *[f"s{j}" for j in range(rest.shape[1])]],
+            )
+
+
+def _whole_keys(first: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of rows with the index ``first`` and the segments ``rest``: sorted keys and their rows."""
+    ids, there = first[:, None], np.ones((len(first), 1), bool)
+    for s in rest.T:
+        k, t = golay_keys(np.ascontiguousarray(s))
+        ids = ((ids[:, :, None] << 12) | k[:, None, :]).reshape(len(first), -1)
+        there = (there[:, :, None] & t[:, None, :]).reshape(len(first), -1)
+    rows, ids = np.nonzero(there)[0], ids[there]
+    order = np.argsort(ids, kind="stable")
+    return ids[order], rows[order]
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -179,19 +196,24 @@ def _link_run(rest: np.ndarray, node: np.ndarray, chk: np.ndarray, most: int, ou
         x, y = np.nonzero(_apart(chk[rest[i : i + step], None], chk[None, every[i:]]) <= most)
         own = y > x
         out.append(np.stack([node[rest[i + x[own]]], node[every[i + y[own]]]], 1))
-    # what different rows took is compared too
+    # what different rows took is compared too, until a pair links them
+    group = list(range(len(taken)))
     for j, block in enumerate(taken):
-        other = np.concatenate(taken[j + 1 :]) if j + 1 < len(taken) else block[:0]
-        step = max(1, (1 << 20) // max(1, len(other)))
-        for i in range(0, len(block) if len(other) else 0, step):
-            x, y = np.nonzero(_apart(chk[block[i : i + step], None], chk[None, other]) <= most)
-            if len(x):
-                near, first = np.unique(y, return_index=True)  # one partner each is enough: the block is linked already
-                out.append(np.stack([node[block[i + x[first]]], node[other[near]]], 1))
+        for k in range(j + 1, len(taken)):
+            other = taken[k]
+            step = max(1, (1 << 18) // len(other))
+            for i in range(0, len(block) if group[j] != group[k] else 0, step):
+                x, y = np.nonzero(_apart(chk[block[i : i + step], None], chk[None, other]) <= most)
+                if len(x):
+                    out.append(np.array([[node[block[i + x[0]]], node[other[y[0]]]]]))
+                    group = [group[j] if g == group[k] else g for g in group]
+                    break
 
 
 def link(key: np.ndarray, node: np.ndarray, chk: np.ndarray, most: int, wide: int = 48) -> np.ndarray:
     """Edges (node, node) that span the near copies inside every key; ``key`` is sorted and its keys are whole."""
+    if not len(key):
+        return np.zeros((0, 2), np.int64)
     edge = np.flatnonzero(key[1:] != key[:-1]) + 1
     begin = np.concatenate([[0], edge])
     size = np.diff(np.concatenate([begin, [len(key)]]))
@@ -220,37 +242,24 @@ def link(key: np.ndarray, node: np.ndarray, chk: np.ndarray, most: int, wide: in
 
 
 def _link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links rows sorted by key; the last key of what is held waits for the next batch."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def cut(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held, size
-        if not held:
-            return
-        key, node, chk = (np.concatenate(x) for x in zip(*held, strict=True))
-        end = len(key) if last else int(np.searchsorted(key, key[-1]))
-        if end:
-            e = link(key[:end], node[:end], chk[:end], MOST_DIFFERENT)
-            if len(e):
-                yield pa.record_batch([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
-        held, size = ([(key[end:], node[end:], chk[end:])], len(key) - end) if end < len(key) else ([], 0)
-
-    limit = 1 << 18
-    for b in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        held.append((cols[0], cols[1], np.stack(cols[2:], 1)))
-        size += b.num_rows
-        if size >= limit:
-            yield from cut(False)
-            limit = max(1 << 18, 2 * size)  # a key of very many rows isn't gone through again and again
-    yield from cut(True)
+    """Links rows sorted by the first index of their keys."""
+    words = CHECK // 64
+    for cols in _runs(batches, 1 << 16):
+        x = [c.to_numpy(zero_copy_only=False) for c in cols]
+        key, rows = _whole_keys(x[0], np.stack(x[2 + words :], 1))
+        # keys of one row link nothing
+        same = key[1:] == key[:-1]
+        several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        key, rows = key[several], rows[several]
+        e = link(key, x[1][rows], np.stack(x[2 : 2 + words], 1)[rows], MOST_DIFFERENT)
+        if len(e):
+            yield pa.record_batch([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
 
 def near_copies(nodes: DataFrame) -> DataFrame:
     """(node, root) of all fingerprints (node, seg, chk) that have a near copy."""
-    words = [f"c{j}" for j in range(CHECK // 64)]
-    keys = nodes.select("node", "seg", "chk").mapInArrow(_emit_keys, "key bigint, node bigint, " + ", ".join(f"{w} bigint" for w in words))
+    words = "".join(f", c{j} bigint" for j in range(CHECK // 64)) + "".join(f", s{j} int" for j in range(COMBINE - 1))
+    keys = nodes.select("node", "seg", "chk").mapInArrow(_emit_keys, "key bigint, node bigint" + words)
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_sorted, "a bigint, b bigint")
     return connected_components(edges)
