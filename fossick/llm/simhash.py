@@ -173,7 +173,11 @@ def _whole_keys(first: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((x ^ y).view(np.uint64)).sum(-1, dtype=np.int64)  # of a signed number it counts the bits of the absolute value
+    """Different bits, as bytes: a check has fewer than 256. Of a signed number numpy counts those of its absolute value."""
+    out = np.bitwise_count((x[..., 0] ^ y[..., 0]).view(np.uint64))
+    for k in range(1, x.shape[-1]):
+        out += np.bitwise_count((x[..., k] ^ y[..., k]).view(np.uint64))
+    return out
 
 
 def _link_run(rest: np.ndarray, node: np.ndarray, chk: np.ndarray, most: int, out: list[np.ndarray]) -> None:
