@@ -188,3 +188,40 @@ def is_noise(line: Column) -> Column:
     marks = s.rlike("|".join(f"(?:{p})" for p in _NOISE))
     boiler = F.lower(s).rlike("^(?:" + "|".join(re.escape(b) for b in _BOILERPLATE) + ")")
     return (n < 10) | marks | boiler | (solid < 0.3 * n) | (odd > 0.6 * n) | s.rlike(r"(.)\1{9,}")
+
+
+# --- shapes and summaries
+
+
+def json_root_type(raw: Column) -> Column:
+    """object, array, string, number, boolean or null of a JSON text; ``invalid`` for other texts."""
+    v = F.try_parse_json(raw)
+    first = F.substring(F.ltrim(raw), 1, 1)
+    kind = F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(first.isin("t", "f"), "boolean").when(first == "n", "null").otherwise("number")
+    return F.when(v.isNull(), "invalid").otherwise(kind)
+
+
+def json_schema(raw: Column) -> Column:
+    """The schema of a JSON text, null where it is none."""
+    return F.schema_of_variant(F.try_parse_json(raw))
+
+
+def csv_delimiter(head: Column, candidates: str = ",;|\t") -> Column:
+    """The delimiter that the first two lines hold equally often, most often first; a comma if there is none."""
+    lines = F.split(head, "\n")
+    one, two = F.element_at(lines, 1), F.coalesce(F.try_element_at(lines, F.lit(2)), F.element_at(lines, 1))
+    count = lambda x, d: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit("")))
+    rated = [F.struct(F.when(count(one, d) == count(two, d), count(one, d)).otherwise(0).alias("n"), F.lit(-i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(candidates)]
+    best = F.greatest(*rated)
+    return F.when(best["n"] > 0, best["d"]).otherwise(",")
+
+
+def candidate_summary(path: Column, root: str, title: Column, size: Column, keywords: Column) -> Column:
+    """One line on a file for a ranking model: relative path, size, title, keywords."""
+    relative = F.when(path.startswith(root.rstrip("/") + "/"), F.substring(path, len(root.rstrip("/")) + 2, 1_000_000)).otherwise(path)
+    return F.concat_ws(" | ", relative, human_size(size), F.when(F.length(title) > 0, title), F.when(F.size(keywords) > 0, F.array_join(keywords, ", ")))
+
+
+def quick_tokens(text: Column) -> Column:
+    """A quarter of the characters."""
+    return F.floor(F.length(text) / 4).cast("int")

@@ -79,3 +79,21 @@ def store_uploads(manifest: DataFrame, uploads: DataFrame, *, max_bytes: int, ex
     ext = F.regexp_extract("name", r"\.[^.]*$", 0)
     name = F.when(F.col("n") > 0, F.concat(F.regexp_replace("name", r"(?<=.)\.[^.]*$", ""), F.lit("_"), F.col("n").cast("string"), ext)).otherwise(F.col("name"))
     return manifest.unionByName(numbered.withColumn("name", name).drop("n", "taken"))
+
+
+def valid_paths(paths: DataFrame) -> DataFrame:
+    """(path, pos) of search paths (path, pos) that can be used, each at its first position.
+
+    Blank ones, those with a NUL, a leading hyphen or a URL without a host drop out; so do those that leave their root
+    by ``..``.
+    """
+    p = F.trim("path")
+    bad = (p == "") | p.contains("\x00") | p.startswith("-") | p.rlike(r"^[a-z]+://(?:/|$)") | p.rlike(r"(?:^|/)\.\.(?:/|$)")
+    return paths.where(F.col("path").isNotNull() & ~bad).groupBy(p.alias("path")).agg(F.min("pos").alias("pos"))
+
+
+def allowed(paths: DataFrame, roots: list[str]) -> DataFrame:
+    """Paths at or below one of ``roots``."""
+    from fossick.functions.matching import inside
+
+    return paths.where(F.coalesce(*[F.when(inside(F.col("path"), F.lit(r)), True) for r in roots], F.lit(False)))

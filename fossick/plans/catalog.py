@@ -256,6 +256,32 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.corpus(spark, sf_dir).select("path", text.stem(p).alias("stem"), text.parent(p).alias("parent"), text.extension(p).alias("ext"), text.safe_filename(p).alias("safe"), h["start"].alias("from_char"), h["end"].alias("to_char"))
 
 
+@query
+def json_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.table(spark, sf_dir, "events").withColumn("raw", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("["), "props", F.lit("]"))).when(F.col("event_id") % 4 == 1, F.col("event_type")).otherwise(F.col("props")))
+    return e.groupBy(text.json_root_type(F.col("raw")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query
+def csv_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = V.table(spark, sf_dir, "nation")
+    row = lambda d: F.concat_ws(d, "n_nationkey", "n_name", "n_regionkey")
+    head = F.concat_ws("\n", F.when(F.col("n_nationkey") % 2 == 0, F.lit("a;b;c")).otherwise(F.lit("a|b|c")), F.when(F.col("n_nationkey") % 2 == 0, row(";")).otherwise(row("|")))
+    return n.select("n_nationkey", text.csv_delimiter(head).alias("delimiter"))
+
+
+@query
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.corpus(spark, sf_dir).groupBy("lang").agg(F.sum(text.quick_tokens(F.col("content"))).alias("quick"), F.sum(text.estimated_tokens(F.col("content"))).alias("estimated"))
+
+
+@query
+def scope_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.corpus(spark, sf_dir)
+    p = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("-"), "path")).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("  "), text.parent(F.col("path")))).otherwise(F.col("path"))
+    return files.allowed(files.valid_paths(c.select(p.alias("path"), F.col("doc_id").alias("pos"))), ["/corpus/src1", "/corpus/src0/en"])
+
+
 # --- clusters
 
 

@@ -125,6 +125,14 @@ _add("reply_parsing", "messages", "SELECT session_id, turn, trim(left(content, 4
 _add("json_props", None, "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, max(k) AS most FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type")
 _add("path_parts", "corpus", f"SELECT path, 'doc_' || doc_id AS stem, {_FOLDER} AS parent, 'txt' AS ext, filename AS safe, CAST(instr(filename, '_1') - 1 AS INTEGER) AS from_char, CAST(CASE WHEN contains(filename, '_1') THEN instr(filename, '_1') + 1 ELSE -1 END AS INTEGER) AS to_char FROM corpus")
 
+_add("json_shapes", None, "SELECT CASE event_id % 4 WHEN 0 THEN 'array' WHEN 1 THEN 'invalid' ELSE 'object' END AS kind, count(*) AS n FROM events GROUP BY 1")
+_add("csv_delimiters", None, "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN ';' ELSE '|' END AS delimiter FROM nation")
+_add("token_estimates", "corpus", "SELECT lang, CAST(sum(length(content) // 4) AS BIGINT) AS quick, CAST(sum(greatest(1, floor(length(content) / 3.5::DOUBLE))) AS BIGINT) AS estimated FROM corpus GROUP BY lang")
+_add(
+    "scope_paths", "corpus", "SELECT path, min(doc_id) AS pos FROM p WHERE regexp_matches(path, '^/corpus/(src1|src0/en)(/|$)') GROUP BY path",
+    f"p AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '-' || path WHEN 1 THEN {_FOLDER} ELSE path END AS path FROM corpus)",
+)
+
 # --- clusters
 
 _COS = "list_cosine_similarity(embedding_vector::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1))"

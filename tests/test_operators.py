@@ -161,3 +161,22 @@ def test_rate_limiter(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     streams.write_each(s, lambda df, n: got.extend(map(tuple, df.collect())), str(tmp_path / "c")).awaitTermination(120)
     assert sum(ok for k, _, ok in got if k == "a") == 6 and len(got) == 10 and all(ok for k, _, ok in got if k == "b")
+
+
+def test_tools(spark):
+    from fossick.plans import tools
+
+    reg = tools.standard(views.corpus(spark, DATA), views.lines(spark, DATA), views.clusters(spark, DATA))
+    rows, error = reg.call("keyword_search", keywords=["edtion"])
+    assert rows and not error
+    path = rows[0]["path"]
+    assert len(reg.call("file_read", paths=[path])[0]) == 1 and reg.call("file_read", paths=[path])[0] == []
+    assert reg.call("knowledge_query", query="Topic 3", limit=2)[0]
+    assert reg.call("nothing")[1] and reg.call("file_read", other=1)[1]
+
+
+def test_valid_paths(spark):
+    rows = [(" /a ", 0), ("/a", 1), ("", 2), ("-x", 3), ("http:///p", 4), ("/a/../b", 5), (None, 6), ("/b/c", 7)]
+    df = spark.createDataFrame(rows, "path string, pos int")
+    assert sorted(map(tuple, files.valid_paths(df).collect())) == [("/a", 0), ("/b/c", 7)]
+    assert [r.path for r in files.allowed(df, ["/b"]).collect()] == ["/b/c"]
