@@ -5,7 +5,10 @@ keys. ``CHECK`` further bits come from the set of words; they verify. The (23, 1
 word lies within 3 errors of exactly one codeword. A segment's keys are the 12-bit indices that it and its 23
 neighbours decode to, at most six; two segments with at most two different bits share one of them. With four segments,
 fingerprints with up to 8 different bits leave at least two segments with at most two (pigeonhole), and those with more
-mostly do; so keys combine the indices of ``COMBINE`` segments, for every choice of them. Rows that share a key are
+mostly do; so keys combine the indices of ``COMBINE`` segments, for every choice of them. Fingerprints as far apart as
+the check accepts share such a key only about every other time. Hence ``BANDS`` more keys come from the set of words,
+each of ``BAND_ROWS`` MinHash minima: at a cosine of 0.79 sets have a Jaccard similarity of 0.62 to 0.65, and share one
+of them with a chance of at least 1 - (1 - 0.62**BAND_ROWS)**BANDS = 0.96. Rows that share a key of either kind are
 verified by the distance of their check bits, and each task links what it holds: inside a key, rows with many others
 near them take those first, so that a group of thousands costs about as much as its members. ``COMBINE`` * 12 bits should
 be no fewer than the base-2 logarithm of the number of documents: raise it, and ``SEGMENTS``, for a larger corpus.
@@ -34,7 +37,12 @@ from fossick.llm.lines import _runs
 SEGMENTS, COMBINE, CHECK = 4, 2, 192
 #: Most different check bits of near copies: about 0.21 of them, a cosine of 0.79 between sets of words.
 MOST_DIFFERENT = 40
+#: Keys from the set of words, and the minima of each.
+BANDS, BAND_ROWS = 20, 4
 _U = np.uint64
+_rng = np.random.Generator(np.random.PCG64(10))
+_A = _rng.integers(0, 1 << 31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, BANDS * BAND_ROWS, dtype=np.uint32)
 
 _GENERATOR = 0xC75
 
@@ -93,17 +101,45 @@ def _majorities(hashes: np.ndarray, offs: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def fingerprints(texts: pa.Array, segments: int = SEGMENTS, check: int = CHECK) -> tuple[np.ndarray, np.ndarray]:
-    """Segments (n, segments) of 23 bits and check words (n, check / 64) of each text."""
+def _word_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words and of each text's different words, both with n+1 offsets of the texts into them."""
     data, offs = string_buffers(texts)
     s, e, at = H.word_spans(data, offs)
     h = H.word_hashes(data, s, e)
-    a = _majorities(h, at, -(-23 * segments // 64))
-    seg = np.stack([a[:, 23 * i : 23 * (i + 1)] @ (1 << np.arange(23)) for i in range(segments)], 1).astype(np.int32)
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(at))
     own = np.unique((doc << _U(44)) | (h >> _U(20)))
-    b = _majorities(H.mix(own & _U((1 << 44) - 1)), np.searchsorted(own, np.arange(len(texts) + 1, dtype=np.uint64) << _U(44)), check // 64)
-    return seg, np.packbits(b, axis=1, bitorder="little").view(np.uint64).reshape(len(texts), check // 64)
+    return h, at, H.mix(own & _U((1 << 44) - 1)), np.searchsorted(own, np.arange(len(texts) + 1, dtype=np.uint64) << _U(44))
+
+
+def _set_keys(own: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) keys of sets of words, all negative: those of segments aren't. 0 for a text without words."""
+    out = np.zeros((len(at) - 1, BANDS), np.int64)
+    full = np.flatnonzero(np.diff(at))
+    if not len(full):
+        return out
+    h = (own >> _U(32)).astype(np.uint32)
+    for b in range(BANDS):
+        key = np.full(len(full), b, np.uint64)
+        for r in range(b * BAND_ROWS, (b + 1) * BAND_ROWS):
+            key = H.mix(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(h * _A[r] + _B[r], at[:-1][full]))
+        out[full, b] = (key | _U(1 << 63)).view(np.int64)
+    return out
+
+
+def set_keys(texts: pa.Array) -> np.ndarray:
+    return _set_keys(*_word_sets(texts)[2:])
+
+
+def fingerprints(texts: pa.Array, segments: int = SEGMENTS, check: int = CHECK) -> tuple[np.ndarray, np.ndarray]:
+    """Segments (n, segments) of 23 bits and check words (n, check / 64) of each text."""
+    return _fingerprints(*_word_sets(texts), segments, check)
+
+
+def _fingerprints(h: np.ndarray, at: np.ndarray, own: np.ndarray, own_at: np.ndarray, segments: int = SEGMENTS, check: int = CHECK) -> tuple[np.ndarray, np.ndarray]:
+    a = _majorities(h, at, -(-23 * segments // 64))
+    seg = np.stack([a[:, 23 * i : 23 * (i + 1)] @ (1 << np.arange(23)) for i in range(segments)], 1).astype(np.int32)
+    b = _majorities(own, own_at, check // 64)
+    return seg, np.packbits(b, axis=1, bitorder="little").view(np.uint64).reshape(len(b), check // 64)
 
 
 def _node(seg: np.ndarray, chk: np.ndarray) -> np.ndarray:
@@ -113,13 +149,13 @@ def _node(seg: np.ndarray, chk: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def with_fingerprints(docs: DataFrame, text_col: str, node: str, seg: str, chk: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, then the id of the fingerprint, its segments and its check words."""
+def with_fingerprints(docs: DataFrame, text_col: str, node: str, seg: str, chk: str, sets: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep``, then the id of the fingerprint, its segments, its check words and the keys of its set of words."""
     bound_batches(docs.sparkSession)
     (text,) = fresh(docs, "__text")
     src = docs.select(*[col(c) for c in keep], col(text_col).cast("string").alias(text))
     schema = src.drop(text).schema
-    for n, t in ((node, T.LongType()), (seg, T.ArrayType(T.IntegerType())), (chk, T.ArrayType(T.LongType()))):
+    for n, t in ((node, T.LongType()), (seg, T.ArrayType(T.IntegerType())), (chk, T.ArrayType(T.LongType())), (sets, T.ArrayType(T.LongType()))):
         schema = schema.add(n, t)
 
     def lists(x: np.ndarray) -> pa.Array:
@@ -127,15 +163,16 @@ def with_fingerprints(docs: DataFrame, text_col: str, node: str, seg: str, chk:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text, 1 << 20):
-            s, c = fingerprints(b.column(b.num_columns - 1))
-            yield pa.record_batch([*b.columns[:-1], pa.array(_node(s, c)), lists(s), lists(c.view(np.int64))], schema.names)
+            w = _word_sets(b.column(b.num_columns - 1))
+            s, c = _fingerprints(*w)
+            yield pa.record_batch([*b.columns[:-1], pa.array(_node(s, c)), lists(s), lists(c.view(np.int64)), lists(_set_keys(*w[2:]))], schema.names)
 
     return src.mapInArrow(run, schema)
 
 
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every choice of segments, one row for each index of the first: the rest of the key is worked out where the
-    rows meet, so fingerprints aren't shuffled for each of their keys."""
+    rows meet, so fingerprints aren't shuffled for each of their keys. Then one row for each key of the set of words."""
     for whole in batches:
         for i in range(0, whole.num_rows, 2048):
             b = whole.slice(i, 2048)
@@ -149,6 +186,9 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append(at)
                 first.append((np.int64(number) << 12) | k[t])
                 rest.append(seg[at][:, chosen[1:]])
+            rows.append(np.repeat(np.arange(n), BANDS))
+            first.append(b.column(3).flatten().to_numpy())
+            rest.append(np.zeros((n * BANDS, COMBINE - 1), np.int32))
             rows = np.concatenate(rows)
             order = np.argsort(rows, kind="stable")
             at = pa.array(rows[order])
@@ -161,13 +201,16 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole_keys(first: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of rows with the index ``first`` and the segments ``rest``: sorted keys and their rows."""
+    """All keys of rows with the sorted indices ``first`` and the segments ``rest``: sorted keys and their rows. A negative
+    ``first`` is a whole key."""
+    sets, first, rest = first[first < 0], first[first >= 0], rest[first >= 0]
     ids, there = first[:, None], np.ones((len(first), 1), bool)
     for s in rest.T:
         k, t = golay_keys(np.ascontiguousarray(s))
-        ids = ((ids[:, :, None] << 12) | k[:, None, :]).reshape(len(first), -1)
-        there = (there[:, :, None] & t[:, None, :]).reshape(len(first), -1)
-    rows, ids = np.nonzero(there)[0], ids[there]
+        wide = ids.shape[1] * k.shape[1]  # in full: there may be no rows
+        ids = ((ids[:, :, None] << 12) | k[:, None, :]).reshape(len(first), wide)
+        there = (there[:, :, None] & t[:, None, :]).reshape(len(first), wide)
+    rows, ids = np.concatenate([np.arange(len(sets)), len(sets) + np.nonzero(there)[0]]), np.concatenate([sets, ids[there]])
     order = np.argsort(ids, kind="stable")
     return ids[order], rows[order]
 
@@ -263,7 +306,7 @@ def _link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_copies(nodes: DataFrame) -> DataFrame:
     """(node, root) of all fingerprints (node, seg, chk) that have a near copy."""
     words = "".join(f", c{j} bigint" for j in range(CHECK // 64)) + "".join(f", s{j} int" for j in range(COMBINE - 1))
-    keys = nodes.select("node", "seg", "chk").mapInArrow(_emit_keys, "key bigint, node bigint" + words)
+    keys = nodes.select("node", "seg", "chk", "sets").mapInArrow(_emit_keys, "key bigint, node bigint" + words)
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_sorted, "a bigint, b bigint")
     return connected_components(edges)
@@ -271,7 +314,7 @@ def near_copies(nodes: DataFrame) -> DataFrame:
 
 def _distinct_fingerprints(rows: DataFrame, order: list) -> DataFrame:
     """One row a fingerprint, with the least of its rows by ``order``."""
-    return rows.groupBy("node").agg(F.first("seg").alias("seg"), F.first("chk").alias("chk"), F.min(F.struct(*order)).alias("least"), F.count("*").alias("n"))
+    return rows.groupBy("node").agg(F.first("seg").alias("seg"), F.first("chk").alias("chk"), F.first("sets").alias("sets"), F.min(F.struct(*order)).alias("least"), F.count("*").alias("n"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,7 +324,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has no other ids.
     """
     ided = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
-    rows, _ = write_table(with_fingerprints(ided, "text", "node", "seg", "chk", ["id"]))
+    rows, _ = write_table(with_fingerprints(ided, "text", "node", "seg", "chk", "sets", ["id"]))
     nodes = _distinct_fingerprints(rows, [F.col("id").isNull().alias("absent"), F.col("id").alias("id")])
     found, _ = write_table(near_copies(nodes))
     groups = rows.select("id", "node").join(found, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
@@ -292,12 +335,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies, with the same columns. Texts are shuffled once."""
-    node, seg, chk, least = fresh(docs, "__node", "__seg", "__chk", "__least")
-    rows = with_fingerprints(docs, text_col, node, seg, chk, docs.columns)
-    small = rows.select(col(id_col).alias("id"), F.col(node).alias("node"), F.col(seg).alias("seg"), F.col(chk).alias("chk"))
+    node, seg, chk, sets, least = fresh(docs, "__node", "__seg", "__chk", "__sets", "__least")
+    rows = with_fingerprints(docs, text_col, node, seg, chk, sets, docs.columns)
+    small = rows.select(col(id_col).alias("id"), F.col(node).alias("node"), F.col(seg).alias("seg"), F.col(chk).alias("chk"), F.col(sets).alias("sets"))
     nodes, _ = write_table(_distinct_fingerprints(small, [F.col("id").isNull().alias("absent"), F.col("id").alias("id")]))
     found, _ = write_table(near_copies(nodes))
     mine = nodes.select("node", "least").join(found, "node", "left").select("node", F.struct("least", "node").alias("rank"), F.coalesce("root", "node").alias("root"))
     stays = mine.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.node").alias(node))
     w = Window.partitionBy(F.col(node)).orderBy(col(id_col).asc_nulls_last())
-    return rows.drop(seg, chk).join(stays, node).withColumn(least, F.row_number().over(w)).where(F.col(least) == 1).select(*[col(c) for c in docs.columns])
+    return rows.drop(seg, chk, sets).join(stays, node).withColumn(least, F.row_number().over(w)).where(F.col(least) == 1).select(*[col(c) for c in docs.columns])

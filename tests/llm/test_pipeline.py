@@ -65,6 +65,11 @@ def test_one_of_each_group_stays(stages):
     assert set(after) <= set(before)
 
 
+def test_near_dedup_misses_few(stages):
+    replaced = {i for i, _ in test_simhash.brute(rows(stages[2]))}
+    assert replaced and len({i for i, _ in rows(stages[3])} & replaced) <= 0.05 * len(replaced)
+
+
 def test_mixing(stages):
     before, after = Counter(rows(stages[3])), Counter(rows(stages[4]))
     assert set(before) == set(after)

@@ -62,6 +62,30 @@ def test_near_copies_and_clean_ones(make):
     assert got <= copies and len(got) >= 0.97 * len(copies)
 
 
+def test_recall_up_to_the_threshold(make):
+    """Of the pairs that the check accepts, nearly all share a key, however much is edited and however short the text."""
+    for n, share in ((12, 2 / 12), (12, 3 / 12), (150, 0.05), (150, 0.1), (150, 0.15), (150, 0.2), (150, 0.22)):
+        rng = random.Random(n)
+        rows = []
+        for k in range(500):
+            w = words(rng, n).split()
+            x = list(w)
+            for i in rng.sample(range(n), round(share * n)):
+                x[i] = words(rng, 1)
+            rows += [(k, " ".join(w), "s"), (1000 + k, " ".join(x), "s")]
+        want = brute([r[:2] for r in rows])
+        got = {(r.doc_id, r.kept_id) for r in S.near_duplicates(make(rows)).collect()}
+        assert want and got <= want and len(got) >= 0.95 * len(want), (n, share, len(got), len(want))
+
+
+def test_keys_of_one_kind_only():
+    sets = np.array([-9, -9, -4])
+    ids, rows = S._whole_keys(sets, np.zeros((3, S.COMBINE - 1), np.int32))
+    assert ids.tolist() == [-9, -9, -4] and rows.tolist() == [0, 1, 2]
+    ids, rows = S._whole_keys(np.array([-9, 5]), np.zeros((2, S.COMBINE - 1), np.int32))
+    assert ids[0] == -9 and (ids[1:] >= 0).all() and rows.tolist() == [0] + [1] * (len(ids) - 1)
+
+
 def test_messy_and_empty(messy, nothing):
     docs, rows = messy
     got = sorted(((r.doc_id, r.kept_id) for r in S.near_duplicates(docs).collect()), key=str)
