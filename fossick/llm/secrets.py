@@ -2,9 +2,10 @@
 
 Every text starts as one layer on a worklist. A layer is scanned by all rules; then each encoding found in it gives
 child layers: URL and Unicode escapes rewrite the whole layer, a base64 run gives its decoded text or bytes, and gzip,
-zlib, bzip2, xz or Zstandard bytes give what they hold. Children go on the list unless a layer with the same content was
-there before (cycle detection); the list runs empty at the fixpoint. Every layer maps spans to its parent's, so a
-finding carries its span in the original text.
+zlib, bzip2, xz or Zstandard bytes give what they hold. Children go on the list unless a layer of their own chain has the
+same content (cycle detection); the list runs empty at the fixpoint. Every layer maps spans to its parent's, so a finding
+carries its span in the original text. Content that stands at several places is worked through once: what was found in
+it is mapped to each of them.
 
 A compressed layer of more than ``MOST_BYTES`` isn't unpacked further: it is reported as ``oversized_layer`` itself.
 
@@ -141,64 +142,97 @@ def _as_text(b: bytes) -> str | None:
     return s if s and odd * 10 <= len(s) else None
 
 
+class _Layer:
+    """A layer's content, the secrets that stand in it, its child layers, and all that was found in it and in them."""
+
+    def __init__(self, content: str | bytes, mark: bytes):
+        self.content, self.mark = content, mark
+        self.direct: list[tuple[str, int, int, str]] = []
+        self.children: list[tuple[_Layer, str, Mapper]] = []
+        self.found: dict[tuple[str, int, int], tuple[int, str, str]] = {}
+
+    def report(self, key: tuple[str, int, int], new: tuple[int, str, str]) -> None:
+        if key not in self.found or new < self.found[key]:
+            self.found[key] = new
+
+
+def _sha(secret: str) -> str:
+    return hashlib.sha256(secret.encode("utf-8", "surrogatepass")).hexdigest()[:16]
+
+
+def _open(node: _Layer) -> tuple[list[tuple[str, int, int, str]], list[tuple[str | bytes, str, Mapper]]]:
+    """The secrets that stand in a layer itself, and its child layers with their names and mappers."""
+    layer, out = node.content, []
+    if isinstance(layer, bytes):
+        kind = _magic(layer)
+        try:
+            inner = _unpack(layer, kind) if kind else None
+        except OverflowError:
+            return [("oversized_layer", 0, 1, _sha(node.mark.hex()))], []
+        if inner is not None:
+            out.append((_as_text(inner) or inner, kind, lambda s, e: (0, 1)))
+        return [], out
+    for name, pattern, decode in (("url", _URL, _url), ("unicode", _UNICODE, _unicode)):
+        if child := _rewrite(layer, pattern, decode):
+            out.append((child[0], name, child[1]))
+    for m in _BASE64.finditer(layer):
+        raw = _debase(m.group())
+        if not raw:
+            continue
+        inner = _as_text(raw)
+        if inner is None and _magic(raw) is None:
+            continue
+        s0, e0 = m.span()
+        if inner is not None and inner.isascii() and "\n" not in m.group():
+            out.append((inner, "base64", lambda s, e, s0=s0, e0=e0: (s0 + s // 3 * 4, min(e0, s0 - (-e // 3) * 4))))
+        else:
+            out.append((raw if inner is None else inner, "base64", lambda s, e, s0=s0, e0=e0: (s0, e0)))
+    return [(m.lastgroup, *m.span(), _sha(m.group())) for m in _SCAN.finditer(layer)], out
+
+
 def scan_text(text: str | None) -> list[tuple[str, int, int, str, str]]:
     """(rule, start, end, layers, sha256 of the secret) of every finding; start and end are characters of ``text``."""
     if not text:
         return []
-    found: dict[tuple[str, int, int], tuple[int, str, str]] = {}
-    seen: set[bytes] = set()
-    # content, chain of layers, mappers from the innermost outwards
-    work: deque[tuple[str | bytes, tuple[str, ...], tuple[Mapper, ...]]] = deque([(text, (), ())])
-
-    def root(s: int, e: int, maps: tuple[Mapper, ...]) -> Span:
-        for m in maps:
-            s, e = m(s, e)
-        return s, e
-
-    def report(rule: str, secret: str, span: Span, chain: tuple[str, ...]) -> None:
-        key = (rule, *span)
-        new = (len(chain), ">".join(chain), hashlib.sha256(secret.encode("utf-8", "surrogatepass")).hexdigest()[:16])
-        if key not in found or new < found[key]:
-            found[key] = new
-
+    nodes: dict[tuple[bool, bytes], _Layer] = {}
+
+    def layer(content: str | bytes) -> _Layer:
+        mark = hashlib.blake2b(content if isinstance(content, bytes) else content.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        key = (isinstance(content, bytes), mark)
+        if key not in nodes:
+            nodes[key] = _Layer(content, mark)
+            fresh.append(nodes[key])
+        return nodes[key]
+
+    fresh: deque[_Layer] = deque()
+    top = layer(text)
+    while fresh:
+        node = fresh.popleft()
+        node.direct, children = _open(node)
+        node.children = [(layer(content), name, mapper) for content, name, mapper in children]
+        node.content = ""
+    # what a layer holds is known once all its children are, so they come first; a layer inside itself adds nothing new
+    done: set[int] = set()
+    work = [(top, False)]
+    open_: set[int] = set()
     while work:
-        layer, chain, maps = work.popleft()
-        mark = hashlib.blake2b(layer if isinstance(layer, bytes) else layer.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        if mark in seen:
-            # the same content again is unpacked no further, but what it holds itself stands at another place
-            if isinstance(layer, str):
-                for m in _SCAN.finditer(layer):
-                    report(m.lastgroup, m.group(), root(*m.span(), maps), chain)
-            continue
-        seen.add(mark)
-        if isinstance(layer, bytes):
-            kind = _magic(layer)
-            try:
-                inner = _unpack(layer, kind) if kind else None
-            except OverflowError:
-                report("oversized_layer", mark.hex(), root(0, 1, maps), chain)
+        node, ready = work.pop()
+        if not ready:
+            if id(node) in done or id(node) in open_:
                 continue
-            if inner is not None:
-                work.append((_as_text(inner) or inner, (*chain, kind), (lambda s, e: (0, 1), *maps)))
+            open_.add(id(node))
+            work.append((node, True))
+            work += [(child, False) for child, _, _ in node.children]
             continue
-        for m in _SCAN.finditer(layer):
-            report(m.lastgroup, m.group(), root(*m.span(), maps), chain)
-        for name, pattern, decode in (("url", _URL, _url), ("unicode", _UNICODE, _unicode)):
-            if child := _rewrite(layer, pattern, decode):
-                work.append((child[0], (*chain, name), (child[1], *maps)))
-        for m in _BASE64.finditer(layer):
-            raw = _debase(m.group())
-            if not raw:
-                continue
-            inner = _as_text(raw)
-            if inner is None and _magic(raw) is None:
-                continue
-            s0, e0 = m.span()
-            if inner is not None and inner.isascii() and "\n" not in m.group():
-                work.append((inner, (*chain, "base64"), (lambda s, e, s0=s0, e0=e0: (s0 + s // 3 * 4, min(e0, s0 - (-e // 3) * 4)), *maps)))
-            else:
-                work.append((raw if inner is None else inner, (*chain, "base64"), (lambda s, e, s0=s0, e0=e0: (s0, e0), *maps)))
-    return sorted((rule, s, e, chain, sha) for (rule, s, e), (_, chain, sha) in found.items())
+        for rule, s, e, sha in node.direct:
+            node.report((rule, s, e), (0, "", sha))
+        for child, name, mapper in node.children:
+            if id(child) in done:
+                for (rule, s, e), (n, chain, sha) in child.found.items():
+                    node.report((rule, *mapper(s, e)), (n + 1, f"{name}>{chain}" if chain else name, sha))
+        open_.discard(id(node))
+        done.add(id(node))
+    return sorted((rule, s, e, chain, sha) for (rule, s, e), (_, chain, sha) in top.found.items())
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -59,6 +59,18 @@ def test_cycles_end():
     assert S.scan_text(urllib.parse.quote(urllib.parse.quote(f"{KEY} %%%")))
 
 
+def test_every_occurrence_of_a_layer():
+    secret = f"the key is {KEY} ok"
+    for blob in (b64(gzip.compress(secret.encode())), b64(b64(secret.encode()).encode()), b64(b64(gzip.compress(secret.encode())).encode())):
+        text = f"{blob} and\n{blob} and again {blob}"
+        at = [i for i in range(len(text)) if text.startswith(blob, i)]
+        spans = sorted({g[1:3] for g in S.scan_text(text) if g[0] == "aws_access_key"})
+        assert len(spans) == 3 and all(i <= s < e <= i + len(blob) for i, (s, e) in zip(at, spans, strict=True))
+    # inside a layer too, and through two chains
+    twice = b64(gzip.compress(f"{b64(secret.encode())} {b64(secret.encode())}".encode()))
+    assert len({g[1:3] for g in S.scan_text(f"{twice} {b64(secret.encode())} {twice}")}) == 3
+
+
 def test_every_rule():
     cases = {
         "aws_access_key": KEY, "github_token": "ghp_" + "a1B2" * 9, "slack_token": "xoxb-123456789012-abcdef", "google_api_key": "AIza" + "a" * 35,
