@@ -35,8 +35,8 @@ from fossick.llm.common import bound_batches, col, slices
 
 #: Most bytes that one compressed layer may unpack to.
 MOST_BYTES = 256 << 20
-#: Shortest base64 run that is decoded: shorter ones can't hold what the rules look for.
-LEAST_RUN = 20
+#: Shortest base64 run that is decoded, without its pads: the shortest string that a rule matches has 12 characters.
+LEAST_RUN = 16
 
 RULES: dict[str, str] = {
     "aws_access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
@@ -50,7 +50,7 @@ RULES: dict[str, str] = {
 _SCAN = re.compile("|".join(f"(?P<{k}>{v})" for k, v in RULES.items()))
 #: A text that this doesn't find has neither secret nor layer: built-in filter ahead of Python. Java syntax.
 CANDIDATE = (
-    r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}|AKIA|ASIA|gh[pousr]_|xox[abposr]-|AIza|PRIVATE KEY-----|eyJ"
+    rf"%[0-9A-Fa-f]{{2}}|\\u[0-9A-Fa-f]{{4}}|\\x[0-9A-Fa-f]{{2}}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_RUN}}}|AKIA|ASIA|gh[pousr]_|xox[abposr]-|AIza|PRIVATE KEY-----|eyJ"
     r"|(?i:key|token|secret|passw(?:or)?d|pwd)[\"']?[ \t]{0,8}[:=]"
 )
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")

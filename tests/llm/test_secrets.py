@@ -81,6 +81,17 @@ def test_every_rule():
         assert name in {g[0] for g in S.scan_text(f"x {text} y")}
 
 
+def test_shortest_secrets_encoded(make):
+    least = {
+        "aws_access_key": KEY, "github_token": "ghp_" + "a1B2" * 9, "slack_token": "xoxb-1234567890", "google_api_key": "AIza" + "a" * 35,
+        "private_key": "-----BEGIN PRIVATE KEY-----", "json_web_token": "eyJhbGciOiJ.eyJzdWIiOiI.a", "assigned_secret": "pwd=hunter22",
+    }
+    assert set(least) == set(S.RULES)
+    cases = [*least.items(), ("assigned_secret", "token=abcdefgh")]
+    got = {(r.doc_id, r.rule, r.layers) for r in S.scan_secrets(make([(i, f"see {b64(x.encode())} there", "s") for i, (_, x) in enumerate(cases)])).collect()}
+    assert {(i, rule, "base64") for i, (rule, _) in enumerate(cases)} <= got
+
+
 def test_filter_misses_nothing(spark, make):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = sorted((r.doc_id, *g[:3]) for r in docs.collect() for g in S.scan_text(r.text))
