@@ -2,7 +2,8 @@
 
 Every text starts as one layer on a worklist. A layer is scanned by all rules; then each encoding found in it gives
 child layers: URL and Unicode escapes rewrite the whole layer, a base64 run gives its decoded text or bytes, and gzip,
-zlib, bzip2, xz or Zstandard bytes give what they hold. Children go on the list unless a layer of their own chain has the
+zlib, bzip2, xz or Zstandard bytes give what all their members hold. Bytes that are neither these nor text in UTF-8 are
+read as Latin-1, and as UTF-16 where that can hold a secret. Children go on the list unless a layer of their own chain has the
 same content (cycle detection); the list runs empty at the fixpoint. Every layer maps spans to its parent's, so a finding
 carries its span in the original text. Content that stands at several places is worked through once: what was found in
 it is mapped to each of them.
@@ -35,7 +36,9 @@ from fossick.llm.common import bound_batches, col, slices
 
 #: Most bytes that one compressed layer may unpack to.
 MOST_BYTES = 256 << 20
-#: Shortest base64 run that is decoded, without its pads: the shortest string that a rule matches has 12 characters.
+#: Characters of the shortest string that a rule matches.
+LEAST_SECRET = 12
+#: Shortest base64 run that is decoded, without its pads.
 LEAST_RUN = 16
 
 RULES: dict[str, str] = {
@@ -116,20 +119,40 @@ def _magic(b: bytes) -> str | None:
     return next((kind for head, kind in _MAGIC if b.startswith(head)), None)
 
 
+def _member(b: bytes, kind: str, most: int) -> tuple[bytes, bytes]:
+    """What the first member of compressed bytes holds, as far as it is whole, and the bytes behind it."""
+    if kind == "zstd":
+        d, out, size = zstandard.ZstdDecompressor().decompressobj(), [], 0
+        # a kilobyte unpacks to some megabytes at most
+        for i in range(0, len(b), 1024):
+            out.append(d.decompress(b[i : i + 1024]))
+            size += len(out[-1])
+            if d.eof or size > most:
+                return b"".join(out), d.unused_data + b[i + 1024 :]
+        return b"".join(out), b""
+    d = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[kind]()
+    return d.decompress(b, most), d.unused_data if d.eof else b""
+
+
 def _unpack(b: bytes, kind: str) -> bytes | None:
-    """What compressed bytes hold, as far as they are whole; None if it isn't that kind after all; may raise OverflowError."""
-    try:
-        if kind == "zstd":
-            with zstandard.ZstdDecompressor().stream_reader(b) as r:
-                out = r.read(MOST_BYTES + 1)
-        else:
-            d = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[kind]()
-            out = d.decompress(b, MOST_BYTES + 1)
-    except (zlib.error, zstandard.ZstdError, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
-    if len(out) > MOST_BYTES:
-        raise OverflowError
-    return out or None
+    """What all members of compressed bytes hold, as far as they are whole; None if it isn't that kind after all; may raise
+    OverflowError. Members may be of different kinds and padded with zeros."""
+    out, size, rest, first = [], 0, b, True
+    next_: str | None = kind
+    while next_:
+        try:
+            part, rest = _member(rest, next_, MOST_BYTES + 1 - size)
+        except (zlib.error, zstandard.ZstdError, OSError, EOFError, lzma.LZMAError, ValueError):
+            if first:
+                return None
+            break
+        out.append(part)
+        size += len(part)
+        if size > MOST_BYTES:
+            raise OverflowError
+        rest = rest.lstrip(b"\0")
+        next_, first = _magic(rest), False
+    return b"".join(out) or None
 
 
 def _as_text(b: bytes) -> str | None:
@@ -171,6 +194,12 @@ def _open(node: _Layer) -> tuple[list[tuple[str, int, int, str]], list[tuple[str
             return [("oversized_layer", 0, 1, _sha(node.mark.hex()))], []
         if inner is not None:
             out.append((_as_text(inner) or inner, kind, lambda s, e: (0, 1)))
+        else:
+            out.append((layer.decode("latin-1"), "latin-1", lambda s, e: (s, e)))
+            # a secret in UTF-16 has a zero for each of its characters
+            if layer.count(0) >= LEAST_SECRET:
+                for name in ("utf-16-le", "utf-16-be"):
+                    out.append((layer.decode(name, "replace"), name, lambda s, e: (0, len(layer))))
         return [], out
     for name, pattern, decode in (("url", _URL, _url), ("unicode", _UNICODE, _unicode)):
         if child := _rewrite(layer, pattern, decode):
@@ -180,8 +209,6 @@ def _open(node: _Layer) -> tuple[list[tuple[str, int, int, str]], list[tuple[str
         if not raw:
             continue
         inner = _as_text(raw)
-        if inner is None and _magic(raw) is None:
-            continue
         s0, e0 = m.span()
         if inner is not None and inner.isascii() and "\n" not in m.group():
             out.append((inner, "base64", lambda s, e, s0=s0, e0=e0: (s0 + s // 3 * 4, min(e0, s0 - (-e // 3) * 4))))

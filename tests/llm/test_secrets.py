@@ -1,8 +1,10 @@
 import base64
 import bz2
 import gzip
+import io
 import lzma
 import random
+import tarfile
 import urllib.parse
 import zlib
 
@@ -92,6 +94,30 @@ def test_shortest_secrets_encoded(make):
     assert {(i, rule, "base64") for i, (rule, _) in enumerate(cases)} <= got
 
 
+def test_later_members():
+    plain = f"the key is {KEY} ok".encode()
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        got = S.scan_text("x " + b64(pack(b"nothing here") + pack(b"nor here") + pack(plain)) + " y")
+        assert {g[0] for g in got} == {"aws_access_key"}, pack
+    # of other kinds, padded, ahead of rubbish
+    assert S.scan_text(b64(gzip.compress(b"no") + bytes(8) + bz2.compress(plain)))
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.compress):
+        assert S.scan_text(b64(pack(plain) + b"rubbish")) and S.scan_text(b64(pack(plain) + pack(b"cut short")[:12])), pack
+
+
+def test_bytes_that_are_not_utf8():
+    plain = f"caf\u00e9: the key is {KEY} ok"
+    member = tarfile.TarInfo("a.txt")
+    member.size = len(plain.encode())
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w") as t:
+        t.addfile(member, io.BytesIO(plain.encode()))
+    for raw in (plain.encode("latin-1"), plain.encode("utf-16"), plain.encode("utf-16-le"), plain.encode("utf-16-be"), tar.getvalue()):
+        for blob in (b64(raw), b64(gzip.compress(raw))):
+            got = [g for g in S.scan_text(f"see {blob} there") if g[0] == "aws_access_key"]
+            assert got and all(4 <= g[1] < g[2] <= 4 + len(blob) for g in got), raw[:20]
+
+
 def test_filter_misses_nothing(spark, make):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = sorted((r.doc_id, *g[:3]) for r in docs.collect() for g in S.scan_text(r.text))
