@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,8 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that one Arrow batch or one vectorised step may hold, but for a single longer text.
-BATCH_BYTES = 8 << 20
+#: Text bytes that one Arrow batch or one vectorised step may hold, but for a single longer text. A step holds some ten
+#: arrays of 8 bytes for each of them, in every worker of an executor.
+BATCH_BYTES = 1 << 20
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +86,13 @@ def string_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
+def give_back() -> None:
+    """Returns the memory that a worker has freed: workers stay for the next tasks, also those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches into runs of rows of at most ``most`` text bytes; a longer text is a run of its own."""
     for b in batches:
@@ -95,3 +105,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = BATCH_BYTES
             j = min(n, max(j, i + 1))
             yield b.slice(i, j - i)
             i = j
+    give_back()

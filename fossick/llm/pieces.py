@@ -6,8 +6,8 @@ holds a marker behind another character, no merge crosses the start of a word, s
 worker encodes a batch's unseen words at once on several threads and joins the ids of all words.
 
 Defined results: a null text gives null ids, an empty text none; rows, ties and repeated rows stay as they are; an
-empty table gives an empty result; columns that clash with the new ones are kept, the new ones get leading underscores
-from ``encode``'s caller by ``names``.
+empty table gives an empty result. The columns to keep may have any name and type; where one has the name of a new column,
+the new one gets leading underscores. A column that isn't named isn't read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
-from fossick.llm.common import bound_batches, col, slices
+from fossick.llm.common import bound_batches, col, fresh, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -202,15 +202,17 @@ def encoder(path: str, threads: int = 2) -> Encoder:
 def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", threads: int = 2) -> DataFrame:
     """The columns ``keep``, then n_tokens, token_ids and round_trip: whether the ids decode to the normalised text.
 
-    A narrow pass without shuffle. ``keep`` may not name one of the new columns.
+    A narrow pass without shuffle.
     """
     bound_batches(docs.sparkSession)
-    src = docs.select(*[col(c) for c in keep], col(text_col).cast("string").alias("__text"))
-    schema = src.drop("__text").schema.add("n_tokens", T.IntegerType()).add("token_ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
+    kept = docs.select(*[col(c) for c in keep])
+    text, n_tokens, token_ids, round_trip = fresh(kept, "__text", "n_tokens", "token_ids", "round_trip")
+    src = docs.select(*[col(c) for c in keep], col(text_col).cast("string").alias(text))
+    schema = T.StructType([*kept.schema]).add(n_tokens, T.IntegerType()).add(token_ids, T.ArrayType(T.IntegerType())).add(round_trip, T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, threads)
-        for b in slices(batches, "__text"):
+        for b in slices(batches, text):
             ids, same = enc.encode(b.column(b.num_columns - 1).to_pylist())
             sizes = np.array([0 if x is None else len(x) // 4 for x in ids], np.int64)
             offs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -224,8 +226,10 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
 
 def decode_documents(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "token_ids", threads: int = 2) -> DataFrame:
     """The columns ``keep`` and the decoded ``text``; null ids give a null text."""
-    src = encoded.select(*[col(c) for c in keep], col(ids_col).alias("__ids"))
-    schema = src.drop("__ids").schema.add("text", T.StringType())
+    kept = encoded.select(*[col(c) for c in keep])
+    ids, text = fresh(kept, "__ids", "text")
+    src = encoded.select(*[col(c) for c in keep], col(ids_col).alias(ids))
+    schema = T.StructType([*kept.schema]).add(text, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, threads)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fossick.llm import bytehash as H
-from fossick.llm.common import bound_batches, col, slices, string_buffers
+from fossick.llm.common import BATCH_BYTES, bound_batches, col, slices, string_buffers
 from fossick.llm.lines import _runs
 
 LEAST, PERIOD = 50, 31
@@ -72,8 +72,9 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of at least LEAST words, compressed for their way through the shuffle."""
     c = zstandard.ZstdCompressor(level=3)
     for b in slices(batches, "text"):
-        _, offs, *_, at, _ = _words(b.column(1))
-        data = memoryview(string_buffers(b.column(1))[0])
+        data, offs = string_buffers(b.column(1))
+        at = H.word_spans(data, offs)[2]
+        data = memoryview(data)
         long = np.flatnonzero(np.diff(at) >= LEAST)
         if len(long):
             yield pa.record_batch([b.column(0).take(pa.array(long)), pa.array([c.compress(data[offs[i] : offs[i + 1]]) for i in long], pa.binary())], ["row", "text"])
@@ -96,7 +97,7 @@ def _unsqueezed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All windows of LEAST words that hold one of a document's anchors: hash, row, and span: the first character and, in
     the low 32 bits, the number of characters."""
-    for b in _unsqueezed(batches, 2 << 20):
+    for b in _unsqueezed(batches, BATCH_BYTES):
         data, _, s, e, at, h = _words(b.column(1))
         n = np.diff(at)
         anchors = b.column(2)
