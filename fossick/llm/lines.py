@@ -1,11 +1,14 @@
 """Line dedup: fuzzy lines by MinHash, exact Jaccard verification and distributed union-find.
 
 A line is what stands between newlines, without white space around it; blank lines take no part and are kept. Equal
-lines are one node. A node's set is that of its shingles of ``SHINGLE`` characters (a shorter line is one shingle);
-``BANDS`` bands of ``ROWS`` minima make its keys. Nodes that share a key are candidates: at ``JACCARD`` or above, a pair
-shares one with a chance of at least 1 - (1 - JACCARD**ROWS)**BANDS = 0.978. Keys with the same members are looked at
-once. Every candidate pair is verified by its exact Jaccard similarity, unless its lines are linked already. Of each
-component the occurrence in the least (doc_id, line number) stays; all others go.
+lines are one node. A node's set is that of its shingles of ``SHINGLE`` characters (a shorter line is one shingle). Two
+lines are similar from a Jaccard similarity of ``JACCARD`` on, or of ``SHORT_JACCARD`` if the smaller set has ``TINY``
+shingles or more, but fewer than ``SHORT``: so one changed character is found in lines of 25 characters or more, a changed
+word of five letters in those of 40 or more, and a few words alone ("chapter one") must agree nearly. ``BANDS`` bands of ``ROWS`` minima make the keys of a line, ``SHORT_BANDS`` of ``SHORT_ROWS``
+come on top for lines that may have a short partner. Nodes that share a key are candidates; similar ones share one with a
+chance of at least 1 - (1 - 0.7**5)**16 = 0.947, short ones of 1 - (1 - 0.6**5)**16 * (1 - 0.6**4)**8 = 0.91. Keys with
+the same least node are looked at together. Every candidate pair is verified by its exact Jaccard similarity, unless its
+lines are linked already. Of each component the occurrence in the least (doc_id, line number) stays; all others go.
 
 Shuffled are keys and node ids (16 bytes a band), every line's text once, and the texts of candidates.
 
@@ -23,24 +26,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fossick.llm import bytehash as H
-from fossick.llm.common import bound_batches, col, fresh, slices, string_buffers, write_table
+from fossick.llm.common import bound_batches, col, fresh, give_back, slices, string_buffers, write_table
 from fossick.llm.components import connected_components, roots
 
-SHINGLE, BANDS, ROWS, JACCARD = 8, 10, 4, 0.75
-#: Text bytes that are hashed at once: a few arrays of 8 bytes for each stay small.
-SLICE_BYTES = 1 << 20
+SHINGLE, BANDS, ROWS, JACCARD = 5, 16, 5, 0.7
+TINY, SHORT, SHORT_BANDS, SHORT_ROWS, SHORT_JACCARD = 20, 64, 8, 4, 0.6
+#: Most shingles of a line that can be similar to one with fewer than SHORT and isn't by JACCARD.
+SHORT_PARTNER = int(SHORT / SHORT_JACCARD)
+#: Bytes of lines whose hashes a processor's cache holds.
+BLOCK_BYTES = 1 << 17
 #: Bytes of lines whose sets a task holds at once, but for a larger group.
 VERIFY_BYTES = 1 << 20
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(5))
-_A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_A = _rng.integers(0, 1 << 31, BANDS * ROWS + SHORT_BANDS * SHORT_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, number within it (from 0), byte start and end of every line that isn't blank."""
     cut = np.flatnonzero(data == 10) + 1
-    bounds = np.unique(np.concatenate([offs, cut]))
+    bounds = H.distinct(np.concatenate([offs, cut]))
     s, e, at = H.word_spans(data, bounds)
     some = np.flatnonzero(np.diff(at))
     start = bounds[:-1][some]
@@ -53,57 +58,90 @@ def node_ids(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return H.spans_hash(H._TABLES[1][data], s, e, 1).view(np.int64)
 
 
-def _padded(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Characters of the spans with ``SHINGLE`` zeros behind each; where each begins, and how many shingles it has."""
-    head = (data & 0xC0) != 0x80
-    chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    place = np.concatenate([[0], np.cumsum(head)])
-    cs, n = place[s], place[e] - place[s]
-    begin = np.concatenate([[0], np.cumsum(n + SHINGLE)])
-    out = np.zeros(begin[-1] + SHINGLE, np.uint32)
-    out[H.ragged(begin[:-1], n)] = chars[H.ragged(cs, n)]
-    return out, begin[:-1], np.maximum(1, n - SHINGLE + 1)
+def _shingle_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, factor: np.unsignedinteger) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of lines that follow each other, one line's behind the other's, and how many each has. They
+    are of the type of ``factor``. A line shorter than a shingle counts as filled up with zeros."""
+    kind = type(factor)
+    block = data[s[0] : e[-1]]
+    s, e = s - s[0], e - s[0]
+    if block.max(initial=0) < 128:
+        chars = block
+    else:
+        place = np.concatenate([[0], np.cumsum((block & 0xC0) != 0x80)])
+        chars = np.frombuffer(block.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        s, e = place[s], place[e]
+    size = len(chars)
+    chars = np.concatenate([chars.astype(kind), np.zeros(SHINGLE, kind)])
+    h = np.zeros(size, kind)
+    for k in range(SHINGLE):
+        h *= factor
+        h += chars[k : k + size]
+    if len(tiny := np.flatnonzero(e - s < SHINGLE)):
+        own = np.zeros(len(tiny), kind)
+        for k in range(SHINGLE):
+            own = own * factor + np.where(k < (e - s)[tiny], chars[s[tiny] + k], kind(0))
+        h[s[tiny]] = own
+    n = np.maximum(1, e - s - SHINGLE + 1)
+    inside = np.zeros(size + 1, np.int8)
+    inside[s] = 1
+    inside[s + n] -= 1
+    return h[np.cumsum(inside[:-1], dtype=np.int8).view(bool)], n
+
+
+def _minima(h: np.ndarray, at: np.ndarray, multipliers: np.ndarray, out: np.ndarray) -> None:
+    """Least products of each line's hashes, line i beginning at ``at[i]``, with every multiplier: a row of ``out`` each."""
+    t = np.empty_like(h)
+    for r, a in enumerate(multipliers):
+        np.multiply(h, a, out=t)
+        np.minimum.reduceat(t, at, out=out[r])
+
+
+def _mixed(minima: np.ndarray, bands: int, first: int) -> np.ndarray:
+    """(lines, bands) keys of the rows of minima; a key's last five bits are the number of its band."""
+    rows = len(minima) // bands
+    keys = np.empty((minima.shape[1], bands), np.uint64)
+    for b in range(bands):
+        key = np.zeros(minima.shape[1], np.uint64)
+        for r in range(b * rows, (b + 1) * rows):
+            key = (key ^ minima[r]) * _U(0x9E3779B97F4A7C15)
+            key ^= key >> _U(29)
+        keys[:, b] = H.mix(key) & ~_U(31) | _U(first + b)
+    return keys
 
 
-def band_keys(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """(lines, BANDS) keys."""
-    keys = np.empty((len(s), BANDS), np.uint64)
+def band_keys(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all lines, and the line of each."""
+    long, short, few = np.empty((BANDS * ROWS, len(s)), np.uint32), [np.empty((SHORT_BANDS * SHORT_ROWS, 0), np.uint32)], [np.zeros(0, np.int64)]
     # lines in order, in blocks that stay in the cache
     size = np.cumsum(e - s)
     i = 0
     while i < len(s):
-        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + (1 << 17), side="right")))
-        lo, hi = s[i], e[j - 1]
-        chars, begin, n = _padded(data[lo:hi], s[i:j] - lo, e[i:j] - lo)
-        h = np.zeros(len(chars) - SHINGLE, np.uint32)
-        for k in range(SHINGLE):
-            h = h * np.uint32(0x01000193 * 31 | 1) + chars[k : k + len(h)]
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + BLOCK_BYTES, side="right")))
+        h, n = _shingle_hashes(data, s[i:j], e[i:j], np.uint32(0x01000193 * 31 | 1))
         h ^= h >> np.uint32(16)
         h *= np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(13)
         h *= np.uint32(0xC2B2AE35)
         h ^= h >> np.uint32(16)
-        edges = np.empty(2 * len(begin), np.int64)
-        edges[0::2], edges[1::2] = begin, begin + n
-        h = np.append(h, np.uint32(0))
-        for b in range(BANDS):
-            key = np.full(len(begin), b, np.uint64)
-            for r in range(ROWS):
-                least = np.minimum.reduceat(h * _A[b * ROWS + r] + _B[b * ROWS + r], edges)[::2]
-                key = H.mix(key * _U(0x9E3779B97F4A7C15) + least)
-            keys[i:j, b] = key
+        _minima(h, np.cumsum(n) - n, _A[: len(long)], long[:, i:j])
+        if (own := n <= SHORT_PARTNER).any():
+            m = n[own]
+            few.append(i + np.flatnonzero(own))
+            short.append(np.empty((SHORT_BANDS * SHORT_ROWS, len(m)), np.uint32))
+            _minima(h[np.repeat(own, n)], np.cumsum(m) - m, _A[len(long) :], short[-1])
         i = j
-    return keys
+    keys = [_mixed(long, BANDS, 0).reshape(-1), _mixed(np.concatenate(short, 1), SHORT_BANDS, BANDS).reshape(-1)]
+    return np.concatenate(keys), np.concatenate([np.repeat(np.arange(len(s)), BANDS), np.repeat(np.concatenate(few), SHORT_BANDS)])
 
 
 def _emit_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text", SLICE_BYTES):
+    for b in slices(batches, "text"):
         data, offs = string_buffers(b.column(0))
         _, _, s, e = line_spans(data, offs)
         ids = node_ids(data, s, e)
         at = np.sort(np.unique(ids, return_index=True)[1])
-        keys = band_keys(data, s[at], e[at])
-        yield pa.record_batch([pa.array(keys.view(np.int64).reshape(-1)), pa.array(np.repeat(ids[at], BANDS))], ["key", "node"])
+        keys, line = band_keys(data, s[at], e[at])
+        yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(ids[at][line])], ["key", "node"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.Array]]:
@@ -122,20 +160,28 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.Arra
             limit = max(most, 2 * held.num_rows)
     if held is not None and held.num_rows:
         yield [c.combine_chunks() for c in held.columns]
+    give_back()
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of keys with several nodes: (a hash of the members, node). Keys with the same members give the same rows."""
+    """Of keys with several nodes: (their least node, node, a bit for the band), for the least node too."""
     for key, node in _runs(batches, 1 << 18):
         key, node = key.to_numpy(), node.to_numpy()
+        # rows that are alone under their key are most
+        same = key[1:] == key[:-1]
+        some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        key, node = key[some], node[some]
+        if not len(key):
+            continue
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
         key, node = key[new], node[new]
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(begin, len(key)))
-        group = np.add.reduceat(H.mix(node.view(np.uint64)), begin).view(np.int64)
         several = np.repeat(size > 1, size)
-        yield pa.record_batch([pa.array(np.repeat(group, size)[several]), pa.array(node[several])], ["grp", "node"])
+        yield pa.record_batch([pa.array(np.repeat(node[begin], size)[several]), pa.array(node[several]), pa.array(np.int32(1) << (key[several] & 31).astype(np.int32))], ["grp", "node", "bands"])
 
 
 class _Sets:
@@ -143,12 +189,9 @@ class _Sets:
 
     def __init__(self, lines: pa.Array):
         data, offs = string_buffers(lines)
-        chars, begin, n = _padded(data, offs[:-1], offs[1:])
-        h = np.zeros(len(chars) - SHINGLE, np.uint64)
-        for k in range(SHINGLE):
-            h = h * _U(0x100000001B3) + chars[k : k + len(h)]
-        h = H.mix(h[H.ragged(begin, n)]) >> _U(20)
-        own = np.unique((np.repeat(np.arange(len(n), dtype=np.uint64), n) << _U(44)) | h)
+        h, n = _shingle_hashes(data, offs[:-1], offs[1:], _U(0x100000001B3))
+        h = H.mix(h) >> _U(20)
+        own = H.distinct((np.repeat(np.arange(len(n), dtype=np.uint64), n) << _U(44)) | h)
         self.at = np.searchsorted(own, np.arange(len(n) + 1, dtype=np.uint64) << _U(44))
         self.size = np.diff(self.at)
         self.hash = own & _U((1 << 44) - 1)
@@ -157,7 +200,9 @@ class _Sets:
         """Whether the sets of each pair have at least the wanted Jaccard similarity."""
         out = np.zeros(len(i), bool)
         a, b = self.size[i], self.size[j]
-        able = np.flatnonzero(np.minimum(a, b) >= JACCARD * np.maximum(a, b))
+        least = np.minimum(a, b)
+        want = np.where((least >= TINY) & (least < SHORT), SHORT_JACCARD, JACCARD)
+        able = np.flatnonzero(least >= want * np.maximum(a, b))
         work = np.cumsum(a[able] + b[able])
         k = 0
         while k < len(able):
@@ -167,7 +212,7 @@ class _Sets:
             both = [np.repeat(tag, self.size[x]) | self.hash[H.ragged(self.at[x], self.size[x])] for x in (i[p], j[p])]
             t = np.sort(np.concatenate(both))
             common = np.bincount((t[1:][t[1:] == t[:-1]] >> _U(44)).astype(np.int64), minlength=len(p))
-            out[p] = common >= JACCARD * (a[p] + b[p] - common)
+            out[p] = common >= want[p] * (a[p] + b[p] - common)
             k = m
         return out
 
@@ -204,8 +249,9 @@ def _verify_run(block: np.ndarray, rest: np.ndarray, sets: _Sets, out: list[np.n
                     group[group == group[j]] = group[i]
 
 
-def _verify_groups(begin: np.ndarray, size: np.ndarray, sets: _Sets) -> np.ndarray:
-    """Verified links of all groups: first every line with the first of its group, then the pairs that this left open."""
+def _verify_groups(begin: np.ndarray, size: np.ndarray, bands: np.ndarray, sets: _Sets) -> np.ndarray:
+    """Verified links of all groups: first every line with the first of its group, then the pairs that this left open and
+    that share a key, which has a bit in ``bands``."""
     first = np.repeat(begin, size)
     rows = np.arange(len(first))
     i, j = first[rows != first], rows[rows != first]
@@ -220,7 +266,7 @@ def _verify_groups(begin: np.ndarray, size: np.ndarray, sets: _Sets) -> np.ndarr
             continue
         if n <= 24:
             x, y = np.triu_indices(n, 1)
-            open_ = ~(own[x] & own[y]) & (x > 0)
+            open_ = ~(own[x] & own[y]) & (x > 0) & (bands[s + x] & bands[s + y] != 0)
             i.append(s + x[open_])
             j.append(s + y[open_])
         else:
@@ -233,8 +279,11 @@ def _verify_groups(begin: np.ndarray, size: np.ndarray, sets: _Sets) -> np.ndarr
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group, node, line in _runs(batches, 4096):
-        group, node = group.to_numpy(), node.to_numpy()
+    for group, bands, node, line in _runs(batches, 4096):
+        group, bands, node = group.to_numpy(), bands.to_numpy(), node.to_numpy()
+        # the node that gives the group its name comes first
+        order = np.lexsort((node, group))
+        bands, node, line = bands[order], node[order], line.take(pa.array(order))
         begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         ends = np.append(begin[1:], len(group))
         # whole groups of about VERIFY_BYTES at a time
@@ -243,7 +292,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while g < len(begin):
             h = max(g + 1, int(np.searchsorted(at, at[g] + VERIFY_BYTES, side="right")) - 1)
             lo, hi = begin[g], ends[h - 1]
-            e = _verify_groups(begin[g:h] - lo, ends[g:h] - begin[g:h], _Sets(line.slice(lo, hi - lo)))
+            e = _verify_groups(begin[g:h] - lo, ends[g:h] - begin[g:h], bands[lo:hi], _Sets(line.slice(lo, hi - lo)))
             e = node[lo:hi][e].reshape(-1, 2)
             g = h
             e = e[e[:, 0] != e[:, 1]]
@@ -256,7 +305,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text", SLICE_BYTES):
+    for b in slices(batches, "text"):
         data, offs = string_buffers(b.column(2))
         text, number, s, e = line_spans(data, offs)
         at = pa.array(text)
@@ -264,7 +313,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text", SLICE_BYTES):
+    for b in slices(batches, "text"):
         data, offs = string_buffers(b.column(0))
         _, _, s, e = line_spans(data, offs)
         node, at = np.unique(node_ids(data, s, e), return_index=True)
@@ -281,10 +330,11 @@ def similar_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = docs.select(col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     keys = text.mapInArrow(_emit_bands, "key bigint, node bigint")
-    members = keys.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_members, "grp bigint, node bigint").distinct()
+    members = keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_members, "grp bigint, node bigint, bands int")
+    members = members.groupBy("grp", "node").agg(F.bit_or("bands").alias("bands"))
     members, _ = write_table(members)
     lines = text.mapInArrow(_texts, "node bigint, line string").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
-    pairs = members.join(lines, "node").select("grp", "node", "line").repartition(n, "grp").sortWithinPartitions("grp", "node")
+    pairs = members.join(lines, "node").select("grp", "bands", "node", "line").repartition(n, "grp").sortWithinPartitions("grp")
     return connected_components(pairs.mapInArrow(_verify, "a bigint, b bigint"))
 
 

@@ -36,7 +36,8 @@ def brute(rows):
                 if (i, j) not in seen:
                     seen.add((i, j))
                     both = len(sets[i] & sets[j])
-                    if both >= L.JACCARD * (len(sets[i]) + len(sets[j]) - both):
+                    least = L.SHORT_JACCARD if L.TINY <= min(len(sets[i]), len(sets[j])) < L.SHORT else L.JACCARD
+                    if both >= least * (len(sets[i]) + len(sets[j]) - both):
                         a.append(i)
                         b.append(j)
     r = roots(np.array(a, np.int64), np.array(b, np.int64), len(names))
@@ -77,6 +78,54 @@ def test_fuzzy_groups(make):
     assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 1000
 
 
+def changed(rng, line, how):
+    """The line with one character, or one word of at most five letters, changed."""
+    if how == "character":
+        i = rng.randrange(len(line))
+        return line[:i] + rng.choice([c for c in "0123456789" if c != line[i]]) + line[i + 1 :]
+    w = line.split()
+    i = rng.choice([k for k, x in enumerate(w) if len(x) <= 5])
+    w[i] = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in w[i])
+    return " ".join(w)
+
+
+def test_short_lines_with_one_edit(make):
+    rng = random.Random(9)
+    rows, n = [], 0
+    for size in (30, 40, 50, 60, 75, 90):
+        for how in ("character", "word"):
+            for _ in range(60):
+                line = words(rng, 20)[: size - 5] + " abcd"
+                if how == "character" or size >= 40:
+                    rows += [(2 * n, line, "s"), (2 * n + 1, changed(rng, line, how), "s")]
+                    n += 1
+    rows += [(2 * n, "Copyright (c) 2020 Example Corp. All rights reserved.", "s"), (2 * n + 1, "Copyright (c) 2021 Example Corp. All rights reserved.", "s")]
+    got = {(r.doc_id, r.kept_id) for r in L.repeated_lines(make(rows)).collect()}
+    assert all(a == b + 1 and b % 2 == 0 for a, b in got)
+    assert (2 * n + 1, 2 * n) in got
+    for i in range(0, n, 60):
+        assert sum((2 * k + 1, 2 * k) in got for k in range(i, i + 60)) >= 54
+
+
+def test_size_of_a_group_does_not_matter():
+    """Small groups are verified pair by pair, others by blocks: with the same components, those of all pairs."""
+    rng = random.Random(3)
+    for n in (24, 25, 60):
+        bases = [words(rng, 12) for _ in range(4)]
+        names = sorted({edited(rng, bases[k % 4], rng.randint(0, 2)) for k in range(n)})
+        sets = L._Sets(L.pa.array(names))
+        x, y = np.triu_indices(len(names), 1)
+        good = sets.alike(x, y)
+        want = roots(x[good], y[good], len(names))
+        every = np.arange(len(names))
+        out = [np.zeros((0, 2), np.int64)]
+        L._verify_run(every[:1], every[1:], sets, out)
+        e = np.concatenate(out)
+        assert (roots(e[:, 0], e[:, 1], len(names)) == want).all()
+        e = L._verify_groups(np.array([0]), np.array([len(names)]), np.ones(len(names), np.int32), sets)
+        assert (roots(e[:, 0], e[:, 1], len(names)) == want).all()
+
+
 def test_drop_lines(make):
     rows = [(1, "a line that is kept\nanother line here", "s"), (2, "  a line that is kept \n\nown line of two", "s"), (None, "another line here", "s"), (3, "own line of three\n\n", "s")]
     got = {r.doc_id: r for r in L.drop_lines(make(rows)).collect()}
