@@ -24,8 +24,16 @@ def truthy(text: Column) -> Column:
 
 
 def summary_decision(reply: Column) -> Column:
-    """struct(summary, should_answer, should_save) of a tagged reply; both flags are false where they are missing."""
-    return F.struct(F.coalesce(tag_field(reply, "SUMMARY"), reply).alias("summary"), truthy(tag_field(reply, "SHOULD_ANSWER")).alias("should_answer"), truthy(tag_field(reply, "SHOULD_SAVE")).alias("should_save"))
+    """struct(summary, should_answer, should_save) of a tagged reply.
+
+    Without a summary the whole reply stands for it and both flags are false, whatever the other tags say.
+    """
+    summary = F.coalesce(tag_field(reply, "SUMMARY"), F.lit(""))
+    some = summary != ""
+    return F.struct(
+        F.when(some, summary).otherwise(F.btrim(reply, F.lit(" \t\r\n"))).alias("summary"), (some & truthy(tag_field(reply, "SHOULD_ANSWER"))).alias("should_answer"),
+        (some & truthy(tag_field(reply, "SHOULD_SAVE"))).alias("should_save"),
+    )
 
 
 def salvage_json(reply: Column) -> Column:
@@ -51,12 +59,20 @@ def keyword_map(reply: Column) -> Column:
 # --- samples and chunks
 
 
-def head_middle_tail(text: Column, most: int, mark: str = "\n[...]\n") -> Column:
-    """A text of more than ``most`` characters as its first 40, middle 20 and last 40 per cent of ``most``."""
-    head, mid = most * 2 // 5, most // 5
+def head_middle_tail(text: Column, most: int, mark: str = "[...content sampled...]") -> Column:
+    """A text of more than ``most`` characters as its first 40 per cent of ``most``, as many around its centre and the
+    last 20, the marks between them on lines of their own. What the ends hold isn't repeated in the middle."""
+    head, tail = int(most * 0.4), int(most * 0.2)
+    mid = most - head - tail
     n = F.length(text)
-    start = F.floor((n - mid) / 2) + 1
-    return F.when(n <= most, text).otherwise(F.concat(F.substring(text, 1, head), F.lit(mark), F.substring(text, start, F.lit(mid)), F.lit(mark), F.substring(text, n - head + 1, F.lit(head))))
+    begin = F.floor(n / 2).cast("int") - mid // 2
+    end = F.least(begin + mid, n - tail)
+    begin = F.greatest(begin, F.lit(head))
+    middle = F.substring(text, begin + 1, F.greatest(F.lit(0), end - begin))
+    parts = [F.substring(text, 1, head), F.when(end > begin, F.concat(F.lit(mark + "\n"), middle)), F.lit(mark)]
+    if tail:
+        parts.append(F.substring(text, n - tail + 1, F.lit(tail)))
+    return F.when(n <= most, text).otherwise(F.concat_ws("\n", *parts))
 
 
 def chunks(text: Column, size: int) -> Column:
@@ -84,27 +100,35 @@ def estimated_tokens(text: Column, per: float = 3.5) -> Column:
 # --- metadata
 
 
+def _head_lines(text: Column) -> Column:
+    """Lines of the first 1300 characters without the blanks around them."""
+    return F.transform(F.split(F.substring(text, 1, 1300), "\n"), lambda x: F.btrim(x, F.lit(" \t\r")))
+
+
 def title_line(text: Column, most: int = 120) -> Column:
-    """The first line of the first 1300 characters that has more than two characters without blanks and hashes."""
-    bare = F.transform(F.split(F.substring(text, 1, 1300), "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), "^[# ]+", "")))
-    return F.substring(F.element_at(F.filter(bare, lambda x: F.length(x) > 2), 1), 1, most)
+    """The first line of the first 1300 characters with more than two characters once leading hashes are gone; empty if
+    there is none."""
+    bare = F.transform(_head_lines(text), lambda x: F.btrim(F.regexp_replace(x, "^#+", ""), F.lit(" \t\r")))
+    return F.substring(F.coalesce(F.try_element_at(F.filter(bare, lambda x: F.length(x) > 2), F.lit(1)), F.lit("")), 1, most)
 
 
 def preview(text: Column, most: int = 800) -> Column:
-    return F.trim(F.substring(text, 1, most))
+    return F.btrim(F.substring(text, 1, most), F.lit(" \t\r\n"))
 
 
 def estimated_lines(text: Column, size: Column) -> Column:
-    """Newlines of the first 1300 characters, carried on to the whole size."""
+    """Newlines of the first 1300 characters, carried on from their bytes to the whole size."""
     head = F.substring(text, 1, 1300)
-    return F.when(F.length(head) > 0, F.floor(F.regexp_count(head, F.lit("\n")) * size / F.length(head))).otherwise(0).cast("bigint")
+    n = F.octet_length(head)
+    return F.when(n > 0, F.floor(F.regexp_count(head, F.lit("\n")) * (size / n))).otherwise(0).cast("bigint")
 
 
 def head_keywords(text: Column, most: int = 10) -> Column:
-    """Different words of more than three characters in the first ten lines of more than five, in order."""
-    long = F.slice(F.filter(F.split(F.substring(text, 1, 1300), "\n"), lambda x: F.length(F.trim(x)) > 5), 1, 10)
-    words = F.flatten(F.transform(long, lambda x: F.split(F.trim(x), " +")))
-    bare = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^[.,;:!?()\"'\[\]{}]+|[.,;:!?()\"'\[\]{}]+$", "")))
+    """Different words of more than three characters in the first ten lines, in order; lines of five characters or fewer
+    are passed over."""
+    long = F.filter(F.slice(_head_lines(text), 1, 10), lambda x: F.length(x) > 5)
+    words = F.flatten(F.transform(long, lambda x: F.split(x, "[ \t\r]+")))
+    bare = F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(".,;:!?()[]{}\"'"))))
     return F.slice(F.array_distinct(F.filter(bare, lambda w: F.length(w) > 3)), 1, most)
 
 
@@ -118,11 +142,11 @@ def mime_type(name: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """1.5 KB and the like, one decimal above bytes."""
+    """1.5 KB and the like, one decimal above bytes; halves go to the even digit."""
     out = F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
     for i, unit in enumerate(("KB", "MB", "GB"), 1):
-        out = out.when(size < 1024 ** (i + 1), F.format_string(f"%.1f {unit}", size / float(1024**i)))
-    return out.otherwise(F.format_string("%.1f TB", size / float(1024**4)))
+        out = out.when(size < 1024 ** (i + 1), F.format_string(f"%.1f {unit}", F.bround(size / float(1024**i), 1)))
+    return out.otherwise(F.format_string("%.1f TB", F.bround(size / float(1024**4), 1)))
 
 
 def split_keywords(raw: Column) -> Column:
@@ -175,19 +199,27 @@ def html_text(html: Column) -> Column:
 
 # --- lines that say little
 
-_NOISE = (r"^[-=*_#~`+|.\s]+$", r"^#+$", r"^\|?[\s:|-]+\|?$", r"^!\[[^\]]*\]\([^)]*\)$", r"^\[[^\]]*\]\([^)]*\)$", r"^https?://\S+$", r"^<[^>]+>$", r"^```", r"^[0-9.)\s]+$")
-_BOILERPLATE = ("copyright", "all rights reserved", "license", "table of contents", "click here", "read more", "import ", "from ", "#include", "package ", "using ")
+#: A line that is markup and nothing else: rules, empty quotes and items, deep headings, images, references, fences, tables.
+MARKUP = r"^\s*(?:(?:-{3,}|\*{3,}|_{3,}|>+|[-*+]|\d+\.)\s*|#{6,}.*|!\[.*\]\(.*\)\s*|\[.*\]:\s*https?://\S+\s*|(?:```|~~~)\s*\w*\s*|\|\s*[-:]+\s*\|\s*|\|(?:\s*:?-+:?\s*\|)+\s*)$"
+#: What a line of small print begins with, or is, in lower case.
+SMALL_PRINT = r"^(?:copyright|©|\(c\)|all rights reserved|confidential|page \d+|\d+\s+of\s+\d+$|(?:file|path|created|modified|author|version|build|toc):|generated by|this document|last updated|table of contents|contents|index)"
+#: Links, addresses and lines of marks: what is left without them must say something.
+LINKS = r"https?://\S+|\bwww\.\S+\b|\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}\b|^[\s*_=#+-]+$"
 
 
 def is_noise(line: Column) -> Column:
-    """Whether a line is short, mere marks, boilerplate, repetitive or made of few letters and digits."""
-    s = F.trim(line)
+    """Whether a line says little: fewer than ten characters, markup, small print, one character or mark over and over,
+    few letters and digits, also once links and addresses are gone."""
+    s = F.btrim(line, F.lit(" \t\r"))
     n = F.length(s)
-    solid = F.length(F.regexp_replace(s, r"[^\p{L}\p{N}]", ""))
-    odd = F.length(F.regexp_replace(s, r"[^#*_`~|>\[\]()-]", ""))
-    marks = s.rlike("|".join(f"(?:{p})" for p in _NOISE))
-    boiler = F.lower(s).rlike("^(?:" + "|".join(re.escape(b) for b in _BOILERPLATE) + ")")
-    return (n < 10) | marks | boiler | (solid < 0.3 * n) | (odd > 0.6 * n) | s.rlike(r"(.)\1{9,}")
+    letters = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    markup = F.length(F.regexp_replace(s, r"[^#*_~`>!\[\](){}|:-]", ""))
+    one = F.exists(F.regexp_extract_all(s, F.lit(r"(.)\1{4}"), 1), lambda c: n - F.length(F.replace(s, c, F.lit(""))) > 0.6 * n)
+    rest = F.btrim(F.regexp_replace(F.regexp_replace(s, LINKS, ""), MARKUP, ""), F.lit(" \t\r"))
+    return (
+        (n < 10) | s.rlike(MARKUP) | (letters(s) < 0.3 * n) | one | s.rlike(r"([^\p{L}\p{N}_\s])\s*\1\s*\1\s*\1") | F.lower(s).rlike(SMALL_PRINT)
+        | (F.length(rest) < 3) | (letters(rest) < 0.4 * F.length(rest)) | (markup > 0.6 * n)
+    )
 
 
 # --- shapes and summaries

@@ -42,7 +42,7 @@ def stratified(files: DataFrame, budget: int, newest: str = "modified_at") -> Da
     total = per.agg(F.sum("n").alias("total"))
     share = per.crossJoin(F.broadcast(total)).select("folder", F.greatest(F.lit(1), F.floor(budget * F.col("n") / F.col("total"))).alias("share"))
     w = Window.partitionBy("folder").orderBy(F.desc(newest), "path")
-    return f.withColumn("r", F.row_number().over(w)).join(F.broadcast(share), "folder").where(F.col("r") <= F.col("share")).orderBy(F.desc(newest), "path").limit(budget).drop("r", "share")
+    return f.withColumn("r", F.row_number().over(w)).join(share, "folder").where(F.col("r") <= F.col("share")).orderBy(F.desc(newest), "path").limit(budget).drop("r", "share")
 
 
 def changed(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -67,18 +67,39 @@ def resolve_hints(files: DataFrame, hints: DataFrame, limit: int = 20) -> DataFr
     return hit.withColumn("place", F.row_number().over(Window.partitionBy("hint").orderBy("kind", "path"))).where(F.col("place") <= limit).select("hint", "path", "place")
 
 
-def store_uploads(manifest: DataFrame, uploads: DataFrame, *, max_bytes: int, extensions: list[str]) -> DataFrame:
-    """The manifest with the uploads (collection, name, content, upload_time) that are admitted; a name that is taken
-    gets ``_1``, ``_2`` ... before its extension."""
+def store_uploads(manifest: DataFrame, uploads: DataFrame, *, max_bytes: int, extensions: list[str], quota: int | None = None) -> DataFrame:
+    """The manifest with the uploads (collection, name, content, upload_time) that are admitted: of a valid collection,
+    not empty, at most ``max_bytes``, of an admitted extension and, in the order of upload_time, within the ``quota``
+    of bytes that a collection may hold with what it has.
+
+    A name that is free goes to the first upload of it; every other upload gets the least free number of ``_1``, ``_2``
+    ... before its extension. No name is issued twice. Ranks and running counts, so no task holds a collection.
+    """
     size = F.length("content")
     ok = uploads.where(F.col("collection").rlike(r"^[A-Za-z0-9][A-Za-z0-9_-]{0,63}$") & (size > 0) & (size <= max_bytes) & extension(F.col("name")).isin(extensions))
     rows = ok.select("collection", "name", size.cast("bigint").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "upload_time")
-    taken = manifest.groupBy("collection", "name").agg(F.count("*").alias("taken"))
-    n = F.row_number().over(Window.partitionBy("collection", "name").orderBy("upload_time", "sha256")) - 1 + F.coalesce("taken", F.lit(0))
-    numbered = rows.join(taken, ["collection", "name"], "left").withColumn("n", n)
-    ext = F.regexp_extract("name", r"\.[^.]*$", 0)
-    name = F.when(F.col("n") > 0, F.concat(F.regexp_replace("name", r"(?<=.)\.[^.]*$", ""), F.lit("_"), F.col("n").cast("string"), ext)).otherwise(F.col("name"))
-    return manifest.unionByName(numbered.withColumn("name", name).drop("n", "taken"))
+    if quota is not None:
+        have = manifest.groupBy("collection").agg(F.sum("size_bytes").alias("have"))
+        used = F.sum("size_bytes").over(Window.partitionBy("collection").orderBy("upload_time", "sha256", "name").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("used", used).join(have, "collection", "left").where(F.col("used") + F.coalesce("have", F.lit(0)) <= quota).drop("used", "have")
+    order = Window.partitionBy("collection", "name").orderBy("upload_time", "sha256")
+    known = manifest.select("collection", "name").distinct().withColumn("known", F.lit(1))
+    rows = rows.join(known, ["collection", "name"], "left").withColumn("place", F.row_number().over(order) - 1 + F.coalesce("known", F.lit(0))).drop("known")
+    ext, base = F.regexp_extract("name", r"(?<=.)\.[^.]*$", 0), F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")
+    # names that look like a numbered one are taken numbers of its stem
+    names = manifest.select("collection", "name").unionAll(rows.where("place = 0").select("collection", "name")).distinct()
+    number = F.regexp_extract(base, r"_([1-9][0-9]{0,8})$", 1)
+    taken = names.where(number != "").select("collection", F.concat(F.regexp_replace(base, r"_[0-9]+$", ""), ext).alias("name"), number.cast("int").alias("n"))
+    w = Window.partitionBy("collection", "name")
+    # of a taken number, how many free ones there are below it
+    taken = taken.select("collection", "name", (F.col("n") - F.row_number().over(w.orderBy("n"))).alias("free"))
+    more = rows.where("place > 0").select("*", (F.col("place") - 1).alias("free"), F.lit(0).alias("mark"))
+    marks = taken.select("collection", "name", F.lit(None).cast("bigint").alias("size_bytes"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast(rows.schema["upload_time"].dataType).alias("upload_time"), F.lit(None).cast("int").alias("place"), "free", F.lit(1).alias("mark"))
+    below = F.sum("mark").over(w.orderBy("free", F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0))
+    numbered = more.unionByName(marks).withColumn("n", F.col("place") + below).where("mark = 0")
+    numbered = numbered.withColumn("name", F.concat(base, F.lit("_"), F.col("n").cast("string"), ext))
+    keep = ["collection", "name", "size_bytes", "sha256", "upload_time"]
+    return manifest.unionByName(rows.where("place = 0").select(*keep)).unionByName(numbered.select(*keep))
 
 
 def valid_paths(paths: DataFrame) -> DataFrame:

@@ -145,16 +145,20 @@ def merge(clusters: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def split(clusters: DataFrame, n: int) -> DataFrame:
-    """``n`` parts of each cluster: runs of its evidence, the last with the rest, and patterns dealt in turn."""
-    part = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part")
-    s = clusters.select("id", "name", "evidences", "patterns", part)
-    each = F.expr(f"greatest(1, size(evidences) div {n})")
+    """(id, name, evidences, patterns, lifecycle, version): ``n`` parts of each cluster: runs of its evidence, the last
+    with the rest, and patterns dealt in turn. A cluster with less evidence than parts stays as it is, and so do all if
+    there are fewer than two parts."""
+    whole = (F.size("evidences") < n) if n >= 2 else F.lit(True)
+    s = clusters.select("id", "name", "evidences", "patterns", "lifecycle", "version", whole.alias("whole"), F.explode(F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))).alias("part"))
+    each = F.expr(f"greatest(1, size(evidences) div {max(1, n)})")
     begin = F.col("part") * each
     size = F.when(F.col("part") == n - 1, F.greatest(F.lit(0), F.size("evidences") - begin)).otherwise(each)
-    return s.select(
-        F.concat("id", F.lit("_split"), (F.col("part") + 1).cast("string")).alias("id"), F.slice("evidences", begin + 1, size).alias("evidences"),
-        F.filter("patterns", lambda _, i: i % n == F.col("part")).alias("patterns"), F.lit("EMERGING").alias("lifecycle"), F.lit(1).alias("version"),
-    )
+    number = (F.col("part") + 1).cast("string")
+    cut = {
+        "id": F.concat("id", F.lit("_split"), number), "name": F.concat("name", F.lit(" (part "), number, F.lit(")")), "evidences": F.slice("evidences", begin + 1, size),
+        "patterns": F.filter("patterns", lambda _, i: i % max(1, n) == F.col("part")), "lifecycle": F.lit("EMERGING"), "version": F.lit(1),
+    }
+    return s.select(*[F.when(F.col("whole"), F.col(c)).otherwise(v).alias(c) for c, v in cut.items()])
 
 
 def add_query(queries: Column, query: Column, most: int = 5) -> Column:

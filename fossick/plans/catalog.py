@@ -108,7 +108,7 @@ def diverse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def filename_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = retrieval.filename_search(V.corpus(spark, sf_dir), ["doc_12", "doc_.*7", "[bad"])
+    m = retrieval.filename_search(V.corpus(spark, sf_dir), ["doc_12", "doc_.*7", "[bad", "DOC_9", ".*_5.*"])
     return m.withColumn("match_score", F.round("match_score", 6))
 
 
@@ -238,7 +238,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = V.messages(spark, sf_dir).withColumn("reply", F.concat(F.lit("<SUMMARY> "), F.substring("content", 1, 40), F.lit(" </SUMMARY><SHOULD_SAVE>"), F.when(F.col("turn") % 2 == 0, "true").otherwise("no"), F.lit("</SHOULD_SAVE>")))
+    m = V.messages(spark, sf_dir).withColumn("reply", F.concat(F.lit("<SUMMARY> "), "content", F.lit(" </SUMMARY><SHOULD_SAVE>"), F.when(F.col("turn") % 2 == 0, "true").otherwise("no"), F.lit("</SHOULD_SAVE>")))
     d = text.summary_decision(F.col("reply"))
     return m.select("session_id", "turn", d["summary"].alias("summary"), d["should_save"].alias("should_save"), d["should_answer"].alias("should_answer"))
 
@@ -361,7 +361,7 @@ def cluster_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cluster_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = knowledge.split(V.clusters(spark, sf_dir), 2)
-    return s.select("id", joined(F.col("evidences.doc_id")).alias("doc_ids"), joined("patterns").alias("patterns"), "lifecycle", "version")
+    return s.select("id", "name", joined(F.col("evidences.doc_id")).alias("doc_ids"), joined("patterns").alias("patterns"), "lifecycle", "version")
 
 
 @query
@@ -456,12 +456,12 @@ def health_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.profile(V.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"])
+    return tables.profile(V.table(spark, sf_dir, "lineitem"))
 
 
 @query
 def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.search_catalog(spark, {n: V.table(spark, sf_dir, n) for n in ("region", "nation", "customer", "orders", "documents", "events")}, "name")
+    return tables.search_catalog(spark, {n: V.table(spark, sf_dir, n) for n in V.TABLES}, "name")
 
 
 @query

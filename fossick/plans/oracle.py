@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fossick.functions import text
 from fossick.sources import views
 
 _WORDS = ("edtion", "ention", "whst")
@@ -65,9 +66,9 @@ _add(
 )
 _add(
     "filename_search", "corpus",
-    "SELECT path, filename, CASE WHEN contains(filename, 'doc_12') THEN 'doc_12' ELSE 'doc_.*7' END AS matched_pattern, round(CASE WHEN contains(filename, 'doc_12') THEN "
-    "(CASE WHEN filename = 'doc_12.txt' THEN 0.9 ELSE 0.8 END) ELSE (CASE WHEN filename = 'doc_7.txt' THEN 0.9 WHEN filename LIKE 'doc\\_7%' ESCAPE '\\' THEN 0.8 ELSE 0.3 + 0.2 * least(1.0, 5.0 / length(filename)) END) END, 6)::DOUBLE AS match_score "
-    "FROM corpus WHERE contains(filename, 'doc_12') OR regexp_matches(filename, 'doc_.*7')",
+    "SELECT path, filename, CASE kind WHEN 1 THEN 'doc_12' WHEN 2 THEN 'doc_.*7' WHEN 3 THEN 'DOC_9' ELSE '.*_5.*' END AS matched_pattern, "
+    "round(CASE WHEN kind = 1 THEN 0.8 WHEN kind = 3 THEN 0.75 WHEN kind = 4 THEN 0.6 WHEN starts_with(filename, 'doc_7') THEN 0.8 ELSE 0.3 + 5.0::DOUBLE / length(filename) * 0.2 END, 6)::DOUBLE AS match_score FROM f WHERE kind IS NOT NULL",
+    "f AS (SELECT path, filename, CASE WHEN contains(filename, 'doc_12') THEN 1 WHEN regexp_matches(filename, 'doc_.*7') THEN 2 WHEN contains(filename, 'doc_9') THEN 3 WHEN contains(filename, '_5') THEN 4 END AS kind FROM corpus)",
 )
 _add("glob_files", "corpus", "SELECT path, size_bytes FROM corpus WHERE filename LIKE 'doc\\_1%.txt' ESCAPE '\\' AND lang <> 'de'")
 
@@ -110,7 +111,31 @@ _add("disk_usage", "corpus", "SELECT CAST(sum(size_bytes) AS BIGINT) AS used_byt
 
 # --- text
 
-_add("head_mid_tail_sample", "corpus", "SELECT path, CASE WHEN length(content) <= 2000 THEN content ELSE left(content, 800) || chr(10) || '[...]' || chr(10) || substring(content, (length(content) - 400) // 2 + 1, 400) || chr(10) || '[...]' || chr(10) || right(content, 800) END AS sample FROM corpus")
+_MARK = "chr(10) || '[...content sampled...]' || chr(10)"
+_BLANKS = "' ' || chr(9) || chr(13)"
+_EDGES = "'.,;:!?()[]{}\"'''"
+_add(
+    "head_mid_tail_sample", "corpus", f"SELECT path, CASE WHEN n <= 2000 THEN content ELSE left(content, 800) || {_MARK} || substring(content, a + 1, b - a) || {_MARK} || right(content, 400) END AS sample FROM s",
+    "s AS (SELECT path, content, length(content) AS n, greatest(800, length(content) // 2 - 400) AS a, least(length(content) // 2 + 400, length(content) - 400) AS b FROM corpus)",
+)
+_add(
+    "text_metadata", "corpus",
+    f"SELECT path, left(coalesce(list_filter(list_transform(ls, lambda x: trim(regexp_replace(x, '^#+', ''), {_BLANKS})), lambda x: length(x) > 2)[1], ''), 120) AS title, trim(left(content, 800), {_BLANKS} || chr(10)) AS preview, "
+    "CASE WHEN strlen(head) > 0 THEN CAST(floor((len(ls) - 1) * (size_bytes / strlen(head)::DOUBLE)) AS BIGINT) ELSE 0 END AS line_count, "
+    "array_to_string(list_filter(ws, lambda w, i: list_position(ws, w) = i)[1:10], '|') AS keywords, 'text/plain' AS mime, "
+    "CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN format('{:.1f} KB', size_bytes / 1024.0::DOUBLE) ELSE format('{:.1f} MB', size_bytes / 1048576.0::DOUBLE) END AS size FROM w",
+    f"l AS (SELECT *, left(content, 1300) AS head, list_transform(string_split(left(content, 1300), chr(10)), lambda x: trim(x, {_BLANKS})) AS ls FROM corpus), "
+    f"w AS (SELECT *, list_filter(list_transform(flatten(list_transform(list_filter(ls[1:10], lambda x: length(x) > 5), lambda x: regexp_split_to_array(x, '[ \\t\\r]+'))), lambda x: lower(trim(x, {_EDGES}))), lambda x: length(x) > 3) AS ws FROM l)",
+)
+_LETTERS = r"length(regexp_replace({0}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
+_add(
+    "line_noise_filter", "lines", "SELECT path, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM rest WHERE NOT (length(s) < 10 OR marks OR small OR "
+    f"{_LETTERS.format('s')} < 0.3 * length(s) OR len(list_filter(cs, lambda c: contains(s, repeat(c, 5)) AND length(s) - length(replace(s, c, '')) > 0.6 * length(s))) > 0 "
+    r"OR len(list_filter(cs, lambda c: contains(solid, repeat(c, 4)) AND regexp_matches(c, '[^\p{L}\p{N}_\s]'))) > 0 OR length(left_) < 3 OR "
+    f"{_LETTERS.format('left_')} < 0.4 * length(left_) OR " r"length(regexp_replace(s, '[^#*_~`>!\[\](){}|:-]', '', 'g')) > 0.6 * length(s)) GROUP BY path",
+    f"stripped AS (SELECT path, line, trim(line, {_BLANKS}) AS s FROM lines), rest AS (SELECT path, line, s, list_distinct(string_split(s, '')) AS cs, regexp_replace(s, '\\s', '', 'g') AS solid, regexp_matches(s, '{text.MARKUP}') AS marks, "
+    f"regexp_matches(lower(s), '{text.SMALL_PRINT}') AS small, trim(regexp_replace(regexp_replace(s, '{text.LINKS}', '', 'g'), '{text.MARKUP}', '', 'g'), {_BLANKS}) AS left_ FROM stripped)",
+)
 _add(
     "chunk_text", "corpus", "SELECT path, CAST(n AS INTEGER) AS n, md5(chunk) AS md5, CAST(length(chunk) AS INTEGER) AS size FROM (SELECT path, n, substring(content, n * 5000 + 1, 5000) AS chunk FROM pieces)",
     "pieces AS (SELECT path, content, unnest(range(0, greatest(1, CAST(ceil(length(content) / 5000.0) AS BIGINT)))) AS n FROM corpus)",
@@ -121,7 +146,10 @@ _add(
     "SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, CAST(length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))) AS INTEGER) AS text_chars FROM pages",
 )
 _add("page_links", None, "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
-_add("reply_parsing", "messages", "SELECT session_id, turn, trim(left(content, 40), ' ' || chr(9) || chr(10) || chr(13)) AS summary, turn % 2 = 0 AS should_save, false AS should_answer FROM messages")
+_add(
+    "reply_parsing", "messages", "SELECT session_id, turn, CASE WHEN said = '' THEN reply ELSE said END AS summary, said <> '' AND turn % 2 = 0 AS should_save, false AS should_answer FROM r",
+    f"r AS (SELECT session_id, turn, trim(content, {_BLANKS} || chr(10)) AS said, '<SUMMARY> ' || content || ' </SUMMARY><SHOULD_SAVE>' || CASE WHEN turn % 2 = 0 THEN 'true' ELSE 'no' END || '</SHOULD_SAVE>' AS reply FROM messages)",
+)
 _add("json_props", None, "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS total, max(k) AS most FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY event_type")
 _add("path_parts", "corpus", f"SELECT path, 'doc_' || doc_id AS stem, {_FOLDER} AS parent, 'txt' AS ext, filename AS safe, CAST(instr(filename, '_1') - 1 AS INTEGER) AS from_char, CAST(CASE WHEN contains(filename, '_1') THEN instr(filename, '_1') + 1 ELSE -1 END AS INTEGER) AS to_char FROM corpus")
 
@@ -163,7 +191,7 @@ _add(
 )
 _add(
     "cluster_split", "clusters",
-    "SELECT id || '_split' || (part + 1) AS id, (SELECT string_agg(doc_id, '|' ORDER BY j) FROM evidence e WHERE e.vec_id = c.vec_id AND (CASE WHEN j < 2 THEN 0 ELSE 1 END) = part) AS doc_ids, "
+    "SELECT id || '_split' || (part + 1) AS id, name || ' (part ' || (part + 1) || ')' AS name, (SELECT string_agg(doc_id, '|' ORDER BY j) FROM evidence e WHERE e.vec_id = c.vec_id AND (CASE WHEN j < 2 THEN 0 ELSE 1 END) = part) AS doc_ids, "
     "CASE WHEN part = 0 THEN patterns[1] || '|' || patterns[3] ELSE patterns[2] END AS patterns, 'EMERGING' AS lifecycle, CAST(1 AS INTEGER) AS version FROM clusters c, range(0, 2) t(part)",
 )
 _add(
@@ -214,13 +242,10 @@ _add(
         f"SELECT '{c}' AS \"column\", '{'numeric' if num else 'other'}' AS kind, count({c}) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS \"distinct\", "
         + (f"round(min({c})::DOUBLE, 4) AS min, round(max({c})::DOUBLE, 4) AS max, round(avg({c}), 4) AS mean" if num else "NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS mean")
         + " FROM lineitem"
-        for c, num in (("l_orderkey", True), ("l_quantity", True), ("l_discount", True), ("l_returnflag", False), ("l_linestatus", False))
+        for c, num in [(f"l_{c}", True) for c in ("orderkey", "partkey", "suppkey", "linenumber", "quantity", "extendedprice", "discount", "tax")] + [(f"l_{c}", False) for c in ("returnflag", "linestatus", "shipdate")]
     ),
 )
-_add(
-    "catalog_search", None,
-    "SELECT table_name, column_name FROM (VALUES ('region', 'r_name'), ('nation', 'n_name'), ('customer', 'c_name')) t(table_name, column_name)",
-)
+_add("catalog_search", None, f"SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN {views.TABLES} AND (contains(lower(table_name), 'name') OR contains(lower(column_name), 'name'))")
 _add("dml_update_delete", None, "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN n_name || '!' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT 100, 'NEW', NULL")
 _BUCKET = "CAST(epoch_us(ts) // 1000000 // 21600 * 21600 AS BIGINT)"
 _add("tumbling_counts", None, f"SELECT {_BUCKET} AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 LIFECYCLES = ("STABLE", "EMERGING", "CONTESTED", "DEPRECATED")
 LEVELS = ("TECHNIQUE", "PRINCIPLE", "PARADIGM", "FOUNDATION", "PHILOSOPHY")
 
@@ -57,7 +58,7 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, turn, role, content, ts)."""
-    return table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL").select(
+    return table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("session_id"), "turn", "role", F.coalesce("text", F.lit("")).alias("content"),
         F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(cast(conv_id % 60 as int), cast(conv_id % 24 as int), cast(turn as int))").alias("ts"),
     )
@@ -92,7 +93,7 @@ evidence AS (SELECT vec_id, id, j, 'doc_' || ((vec_id * 3 + j * j) % 97) AS doc_
 edges AS (SELECT vec_id, id, vec_id + j AS target, 1.0::DOUBLE / (j + label % 3) AS weight, 'near' AS source, j FROM clusters, range(1, 4) t(j))"""
 _MESSAGES = """messages AS (
   SELECT conv_id AS session_id, turn, role, coalesce(text, '') AS content, TIMESTAMP '2024-01-01' + to_days(CAST(conv_id % 60 AS INTEGER)) + to_hours(CAST(conv_id % 24 AS INTEGER)) + to_minutes(CAST(turn AS INTEGER)) AS ts
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+  FROM conversations),
 sessions AS (
   SELECT session_id, coalesce(min_by(content, turn) FILTER (role = 'user'), '')[1:50] AS title, min(ts) AS created_at, max(ts) AS updated_at, count(*) AS message_count FROM messages GROUP BY session_id)"""
 _USAGE = """llm_usage AS (SELECT ts, event_type AS model, CAST(floor(value) AS BIGINT) AS prompt_tokens, user_id % 97 AS completion_tokens FROM events)"""

@@ -41,13 +41,14 @@ def test_entry(spark):
 
 
 def test_without_the_training_operators(tmp_path):
-    """The rest imports and has its queries when their folder and the pipeline are gone."""
+    """The rest imports and has its queries when their folders are gone, and those alone."""
     import shutil
     import subprocess
     import sys
     from pathlib import Path
 
     root = Path(__spark_entry__.__file__).parent
-    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__"))
+    assert (tmp_path / "r/corpus_pipeline.py").exists() and not (tmp_path / "r/fossick/llm").exists()
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path / "r", capture_output=True, text=True, check=True)
     assert said.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLE_SQL))]

@@ -33,10 +33,13 @@ def test_file_score(spark):
     assert one(spark, s, 7) == pytest.approx(0.5 * (1 + math.log(7)))
 
 
-@pytest.mark.parametrize(("name", "pattern", "score"), [("a.txt", "a.txt", 0.9), ("atxt", "a.txt", 1.0), ("report.md", "report", 0.9), ("reports.md", "report", 0.8), ("my_report.md", ".*report.*", 0.6), ("x.report", "report", 0.55), ("other", "zz", 0.3 + 0.2 * 2 / 5)])
+@pytest.mark.parametrize(("name", "pattern", "score"), [("foo", ".*foo.*", 1.0), ("FOO", ".*foo.*", 0.9), ("foo.txt", ".*foo.*", 0.8), ("Foo.txt", ".*foo.*", 0.75), ("a_foo", ".*foo.*", 0.6), ("a_Foo", ".*foo.*", 0.55), ("atxt", "a.txt", 1.0), ("a.txt", "a.txt", 1.0), ("A.TXT", "a.txt", 0.9), ("other", "zz", 0.3 + 0.2 * 2 / 5)])
 def test_filename_score(spark, name, pattern, score):
-    want = {"a.txt": 0.3 + 0.2 * 4 / 5}.get(name, score)
-    assert one(spark, S.filename_score(F.col("x"), pattern), name) == pytest.approx(want)
+    assert one(spark, S.filename_score(F.col("x"), pattern), name) == pytest.approx(score)
+
+
+def test_filename_score_by_case(spark):
+    assert one(spark, S.filename_score(F.col("x"), "foo", case_sensitive=True), "FOO") == 0.75
 
 
 def test_cosine(spark):
@@ -61,6 +64,8 @@ def test_replies(spark):
     t = "noise <SUMMARY> a\nb </SUMMARY> <SHOULD_SAVE>Yes</SHOULD_SAVE>"
     d = one(spark, X.summary_decision(F.col("x")), t)
     assert tuple(d) == ("a\nb", False, True)
+    for bare in (" all of it <SHOULD_SAVE>true</SHOULD_SAVE>", "<SUMMARY> </SUMMARY><SHOULD_ANSWER>yes</SHOULD_ANSWER>\n"):
+        assert tuple(one(spark, X.summary_decision(F.col("x")), bare)) == (bare.strip(), False, False)
     assert one(spark, X.tag_field(F.col("x"), "ABSENT"), t) is None
     for reply in ('{"score": 7.5}', '```json\n{"score": 7.5}\n```', 'I say {"score": 7.5} so', "Score: 7.5"):
         assert one(spark, X.salvage_score(F.col("x")), reply) == 7.5
@@ -70,7 +75,8 @@ def test_replies(spark):
 
 def test_samples(spark):
     text = "".join(chr(97 + i % 26) for i in range(1000))
-    assert one(spark, X.head_middle_tail(F.col("x"), 100, "|"), text) == text[:40] + "|" + text[490:510] + "|" + text[-40:]
+    assert one(spark, X.head_middle_tail(F.col("x"), 100, "|"), text) == "\n".join([text[:40], "|", text[480:520], "|", text[-20:]])
+    assert one(spark, X.head_middle_tail(F.col("x"), 960, "|"), text) == "\n".join([text[:384], "|", text[384:692], "|", text[-192:]])
     assert one(spark, X.head_middle_tail(F.col("x"), 1000), text) == text
     assert one(spark, X.chunks(F.col("x"), 300), text) == [text[i : i + 300] for i in range(0, 1000, 300)]
     assert [tuple(w) for w in one(spark, X.windows(F.col("x")), text)] == [(i, text[i : i + 500]) for i in range(0, 1000, 250)]
@@ -81,7 +87,12 @@ def test_metadata(spark):
     text = "\n## \n# The title here \nsecond line, with Words (and) words\nabc\n"
     assert one(spark, X.title_line(F.col("x")), text) == "The title here"
     assert one(spark, X.head_keywords(F.col("x")), text) == ["title", "here", "second", "line", "with", "words"]
-    assert one(spark, X.human_size(F.col("x")), 1536) == "1.5 KB" and one(spark, X.human_size(F.col("x")), 12) == "12 B"
+    assert one(spark, X.head_keywords(F.col("x")), "tiny\n" * 9 + "the tenth line counts\nwhat follows doesn't") == ["tenth", "line", "counts"]
+    for nothing in ("", "A.", " \n \t\n", None):
+        got = spark.createDataFrame([(nothing,)], "x string").select(X.title_line(F.col("x")), X.head_keywords(F.col("x")), X.estimated_lines(F.col("x"), F.lit(2))).first()
+        assert got[0] == "" and not got[1]
+    assert one(spark, X.estimated_lines(F.col("x"), F.lit(100)), "é\né\n") == int(2 * (100 / 6))
+    assert one(spark, X.human_size(F.col("x")), 1536) == "1.5 KB" and one(spark, X.human_size(F.col("x")), 1280) == "1.2 KB" and one(spark, X.human_size(F.col("x")), 12) == "12 B"
     assert one(spark, X.safe_filename(F.col("x")), "../a b?.txt") == "a b_.txt" and one(spark, X.safe_filename(F.col("x")), "...") == "unnamed"
     assert one(spark, X.split_keywords(F.col("x")), "a, b;;c|d ") == ["a", "b", "c", "d"]
     assert tuple(one(spark, X.highlight(F.col("x"), "EP"), "report")) == (1, 3)
@@ -92,6 +103,12 @@ def test_metadata(spark):
     assert df.select(X.fingerprint(F.col("x"), F.length("x"))).first()[0] == hashlib.md5(big[:8192] + big[-8192:]).hexdigest() + "_25600"
 
 
-@pytest.mark.parametrize(("line", "noise"), [("short", True), ("----------------", True), ("Copyright 2020 by someone", True), ("https://example.org/page", True), ("An ordinary sentence of prose.", False), ("aaaaaaaaaaaaaaaaaaaaaaaa", True), ("|---|---|---|---|", True), ("!@ $% ^& *( )_ +a b", True)])
+NOISE = [
+    "short", "----------------", "Copyright 2020 by someone", "https://example.org/page", "aaaaaaaaaaaaaaaaaaaaaaaa", "|---|---|---|---|", "!@ $% ^& *( )_ +a b", "![a picture of it](http://x.org/a.png)", "[ref]: https://example.org/a/b", "``` python      ",
+    "####### much too deep", "page 12 of the book", "12 of 345 pages"[:9], "Created: 2020-01-01", "wait . . . . what is it", "see >>>> this is it then", "someone@example.org www.example.org", "12.  https://example.org/page",
+]
+
+
+@pytest.mark.parametrize(("line", "noise"), [*((x, True) for x in NOISE), ("An ordinary sentence of prose.", False), ("# A heading of some length", False), ("the copyright is mentioned here", False), ("look at https://example.org for more", False), ("He said hello... and left", False)])
 def test_noise(spark, line, noise):
     assert one(spark, X.is_noise(F.col("x")), line) is noise

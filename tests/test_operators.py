@@ -40,12 +40,30 @@ def test_history_keeps_one(spark):
     assert df.select(estimated_tokens(F.col("content")).alias("n")).agg(F.max("n")).first()[0] == int(10_000 / 3.5)
 
 
+def stored(spark, old, new, **how):
+    old = spark.createDataFrame([("c", n, 1, "x", 0) for n in old], "collection string, name string, size_bytes bigint, sha256 string, upload_time int")
+    rows = [("c", n, t, i) if isinstance(n, str) else (*n, t, i) for i, (n, t) in enumerate(new)]
+    up = spark.createDataFrame(rows, "collection string, name string, content string, upload_time int").withColumn("content", F.col("content").cast("binary"))
+    return sorted(r.name for r in files.store_uploads(old, up, max_bytes=20, extensions=["txt"], **how).collect())
+
+
 def test_uploads(spark):
-    old = spark.createDataFrame([("c", "a.txt", 1, "x", 0)], "collection string, name string, size_bytes bigint, sha256 string, upload_time int")
-    new = spark.createDataFrame([("c", "a.txt", "one", 1), ("c", "a.txt", "two", 2), ("c", "b.exe", "three", 3), ("bad name", "c.txt", "x", 4), ("c", "d.txt", "", 5), ("c", "e.txt", "long" * 9, 6)], "collection string, name string, content string, upload_time int")
-    new = new.withColumn("content", F.col("content").cast("binary"))
-    got = sorted(r.name for r in files.store_uploads(old, new, max_bytes=20, extensions=["txt"]).collect())
-    assert got == ["a.txt", "a_1.txt", "a_2.txt"]
+    new = [("a.txt", "one"), ("a.txt", "two"), ("b.exe", "three"), (("bad name", "c.txt"), "x"), ("d.txt", ""), ("e.txt", "long" * 9)]
+    assert stored(spark, ["a.txt"], new) == ["a.txt", "a_1.txt", "a_2.txt"]
+    assert stored(spark, ["a.txt", "a_1.txt"], [("a.txt", "x")]) == ["a.txt", "a_1.txt", "a_2.txt"]
+    got = stored(spark, ["a_1.txt", "a_3.txt", "a_4.txt"], [("a.txt", str(i)) for i in range(4)])
+    assert got == ["a.txt", "a_1.txt", "a_2.txt", "a_3.txt", "a_4.txt", "a_5.txt", "a_6.txt"]
+    got = stored(spark, ["a.txt"], [("a.txt", "1"), ("a_1.txt", "2"), ("a_1.txt", "3"), ("a.txt", "4")])
+    assert got == ["a.txt", "a_1.txt", "a_1_1.txt", "a_2.txt", "a_3.txt"] and len(set(got)) == len(got)
+    assert stored(spark, ["a.txt"], [("b.txt", "12345"), ("c.txt", "12345"), ("d.txt", "12345")], quota=11) == ["a.txt", "b.txt", "c.txt"]
+
+
+def test_split(spark):
+    rows = [("x", "n", [(f"e{i}", "f", True) for i in range(5)], ["p", "q", "r"], "STABLE", 4), ("y", "m", [("e", "f", True)], ["p"], "STABLE", 2)]
+    c = spark.createDataFrame(rows, "id string, name string, evidences array<struct<doc_id:string,file:string,is_found:boolean>>, patterns array<string>, lifecycle string, version int")
+    got = {r.id: (r.name, [e.doc_id for e in r.evidences], r.patterns, r.lifecycle, r.version) for r in knowledge.split(c, 2).collect()}
+    assert got == {"x_split1": ("n (part 1)", ["e0", "e1"], ["p", "r"], "EMERGING", 1), "x_split2": ("n (part 2)", ["e2", "e3", "e4"], ["q"], "EMERGING", 1), "y": ("m", ["e"], ["p"], "STABLE", 2)}
+    assert {r.id for r in knowledge.split(c, 1).collect()} == {"x", "y"}
 
 
 def test_reuse_and_merge(spark):
