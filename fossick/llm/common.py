@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,26 +34,49 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only where it is unset, as in tests."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Only where it is unset and all tasks run in this
+    process, as in tests, a local one is made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fossick-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/fossick-work"
 
 
+_tables: set[str] = set()
+
+
 def write_table(df: DataFrame) -> tuple[DataFrame, str]:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: this cuts its lineage and survives lost executors."""
+    """Writes ``df`` as Parquet into the shared folder and reads it back: this cuts its lineage and survives lost executors.
+
+    ``remove_table`` removes it once nothing reads it any more; what is left then goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(_remove_all)
+    _tables.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def remove_table(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
+    _delete(spark._jvm, path)
+    _tables.discard(path)
+
+
+def _delete(jvm, path: str) -> None:
     p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    p.getFileSystem(jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(p, True)
+
+
+def _remove_all() -> None:
+    """At the driver's end. A driver that is killed leaves its tables under fossick-work of the shared folder."""
+    with contextlib.suppress(Exception):
+        for path in _tables:
+            _delete(SparkContext._gateway.jvm, path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fossick.llm.common import bound_batches, col, slices
+from fossick.llm.common import bound_batches, col, slices, write_table
 
 #: The public byte-level pattern: contractions, letters, numbers and other marks with a leading blank, white space.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -78,10 +78,11 @@ def length_histogram(docs: DataFrame, path: str, text_col: str = "text") -> Data
     * truncated_tokens: tokens left when every document is cut at this length;
     * quantile: the share of documents of at most this length.
 
-    Only counts are shuffled. The sums run inside buckets of ``BUCKET`` lengths and over bucket totals, of which there
+    Texts are encoded once: the counts, a row for each length, are written before they are read twice. Only counts are
+    shuffled. The sums run inside buckets of ``BUCKET`` lengths and over bucket totals, of which there
     are as many as the longest document has thousands of tokens.
     """
-    hist = token_lengths(docs, path, text_col).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    hist, _ = write_table(token_lengths(docs, path, text_col).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))
     hist = hist.withColumn("bucket", F.expr(f"n_tokens div {BUCKET}")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     inside = Window.partitionBy("bucket").orderBy("n_tokens")
     hist = hist.select(
