@@ -1,9 +1,12 @@
 """Quality rules as a short-circuit cascade, in the order of rejection per cost measured on a sample.
 
 Each rule is a built-in expression that is true for a text to reject. ``plan_cascade`` times every rule on a bounded
-sample (``SAMPLE_ROWS``) and counts what it rejects there; the sample only orders the rules. The cascade is one CASE:
+sample (``SAMPLE_ROWS`` texts of at most ``SAMPLE_CHARS`` characters, from as few partitions as hold them) and counts what
+it rejects there; the sample only orders the rules. The cascade is one CASE:
 a text that a rule rejects isn't looked at by the rules behind it. What is kept doesn't depend on the order.
 
+A line is a run of characters between newlines without the blanks ahead of it; blank lines don't count as lines.
+
 Defined results: a null, empty or blank text is rejected as ``blank``; other columns may be null and have any name;
 repeated rows are judged alike and stay repeated; an empty table gives an empty result.
 """
@@ -21,6 +24,10 @@ from fossick.llm.common import col, fresh
 
 #: Rows of the sample that orders the rules.
 SAMPLE_ROWS = 2000
+#: Characters of the longest text in it: it comes to the driver.
+SAMPLE_CHARS = 1 << 15
+#: Share of the rows of a partition that may come into the sample.
+SAMPLE_SHARE = 0.05
 #: Words are maximal runs of characters other than these blanks, in Spark and in the SQL.
 WORD = r"[^ \t\n\r\f]+"
 SYMBOL = r"[#$%&*|!<>{}\\^~]"
@@ -42,19 +49,23 @@ RULES = (
     Rule("shouting", "{words} >= 3 AND {upper} > 0.4 * length(text)"),
     Rule("digits", "{words} >= 5 AND {digits} > 0.5 * length(text)"),
     Rule("word_length", "{words} >= 5 AND (length(text) > 16 * {words} OR length(text) < 2.5 * {words})"),
-    # more than two fifths of the lines repeat an earlier one
+    # of the lines that aren't blank more than two fifths repeat an earlier one
     Rule("repeated_lines", "{lines} >= 5 AND {distinct_lines} < 0.6 * {lines}"),
     # the number of different words grows with the root of the length in prose, not in repetitions
     Rule("repeated_words", "{words} >= 20 AND CAST({distinct_words} AS BIGINT) * {distinct_words} < 4 * CAST({words} AS BIGINT)"),
 )
 
+_SPARK_LINES = r"split(trim(BOTH concat(' ', char(9), char(10), char(13)) FROM text), r'\n[ \t\n\r]*')"
+_DUCK_LINES = r"regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\n[ \t\n\r]*')"
 _SPARK = {
     "words": f"regexp_count(text, r'{WORD}')", "symbols": f"regexp_count(text, r'{SYMBOL}')", "upper": r"regexp_count(text, r'\p{Lu}')", "digits": "regexp_count(text, r'[0-9]')",
-    "lines": r"size(split(text, r'\n'))", "distinct_lines": r"size(array_distinct(split(text, r'\n')))", "distinct_words": r"size(array_distinct(split(trim(BOTH r' ' FROM text), r'[ \t\n\r\f]+')))",
+    "lines": f"size({_SPARK_LINES})", "distinct_lines": f"size(array_distinct({_SPARK_LINES}))",
+    "distinct_words": r"size(array_distinct(split(trim(BOTH r' ' FROM text), r'[ \t\n\r\f]+')))",
 }
 _DUCK = {
     "words": f"length(regexp_extract_all(text, '{WORD}'))", "symbols": f"length(regexp_extract_all(text, '{SYMBOL}'))", "upper": r"length(regexp_extract_all(text, '\p{Lu}'))", "digits": "length(regexp_extract_all(text, '[0-9]'))",
-    "lines": "len(string_split(text, chr(10)))", "distinct_lines": "len(list_distinct(string_split(text, chr(10))))", "distinct_words": r"len(list_distinct(regexp_split_to_array(trim(text, ' '), '[ \t\n\r\f]+')))",
+    "lines": f"len({_DUCK_LINES})", "distinct_lines": f"len(list_distinct({_DUCK_LINES}))",
+    "distinct_words": r"len(list_distinct(regexp_split_to_array(trim(text, ' '), '[ \t\n\r\f]+')))",
 }
 
 
@@ -70,7 +81,10 @@ def rule_sql(rule: Rule) -> str:
 
 def plan_cascade(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """Rules with their cost (seconds on the sample) and share rejected there, the best rejection per cost first."""
-    sample = docs.select(col(text_col).cast("string").alias("text")).where("text IS NOT NULL").sample(0.2, 7).limit(sample_rows).persist(StorageLevel.MEMORY_AND_DISK)
+    texts = docs.select(col(text_col).cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    # take() runs over a partition, then over more of them until it has the rows: no shuffle, and no pass over all
+    rows = texts.sample(SAMPLE_SHARE, 7).take(sample_rows)
+    sample = docs.sparkSession.createDataFrame(rows, "text string").coalesce(1).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = max(1, sample.count())
 

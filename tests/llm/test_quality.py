@@ -1,7 +1,10 @@
+import random
+
 import duckdb
 
 from fossick.llm import quality as Q
 from fossick.llm.queries import op2_quality_rules
+from tests.llm.conftest import words
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,6 +29,19 @@ def test_rules(make):
         assert got[i + 1] == (False, name), name
 
 
+def test_blank_lines_are_no_repeated_lines(spark, make):
+    rng = random.Random(4)
+    paragraphs = [words(rng, 30) for _ in range(40)]
+    texts = ["\n\n".join(paragraphs), "\n \t\n".join(paragraphs), "\r\n\r\n".join(paragraphs) + "\n\n\n", "\n\n".join(paragraphs[:4] * 6), "\n\n".join(paragraphs[:9])]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    want = [None, None, None, "repeated_lines", None]
+    assert [r.reason for r in Q.judge(make(rows)).orderBy("doc_id").collect()] == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, NULL, ?, NULL)", rows)
+    assert [r[0] for r in con.execute(f"SELECT reason FROM ({Q.judge_sql()}) ORDER BY doc_id").fetchall()] == want
+
+
 def test_order_does_not_matter(make, messy):
     docs, _ = messy
     forward = sorted(map(str, Q.keep_good(docs).collect()))
