@@ -7,7 +7,13 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MIME = {"txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "json": "application/json", "html": "text/html", "pdf": "application/pdf", "xml": "application/xml", "py": "text/x-python"}
+_OFFICE = "application/vnd.openxmlformats-officedocument."
+MIME = {
+    "txt": "text/plain", "log": "text/plain", "md": "text/markdown", "rst": "text/x-rst", "csv": "text/csv", "tsv": "text/tab-separated-values", "json": "application/json", "html": "text/html", "htm": "text/html",
+    "css": "text/css", "js": "text/javascript", "py": "text/x-python", "sh": "application/x-sh", "xml": "application/xml", "yaml": "application/yaml", "yml": "application/yaml", "toml": "application/toml", "pdf": "application/pdf",
+    "docx": _OFFICE + "wordprocessingml.document", "xlsx": _OFFICE + "spreadsheetml.sheet", "pptx": _OFFICE + "presentationml.presentation", "doc": "application/msword", "xls": "application/vnd.ms-excel",
+    "ppt": "application/vnd.ms-powerpoint", "zip": "application/zip", "gz": "application/gzip", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "mp3": "audio/mpeg", "mp4": "video/mp4",
+}
 
 
 # --- replies of a language model
@@ -149,6 +155,18 @@ def human_size(size: Column) -> Column:
     return out.otherwise(F.format_string("%.1f TB", F.bround(size / float(1024**4), 1)))
 
 
+def iso_time(text: Column) -> Column:
+    """A timestamp without zone, in UTC, from an ISO 8601 date or time with ``Z``, an offset or none; null for other texts."""
+    whole = F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00Z"))).when(text.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$"), text).otherwise(F.concat(text, F.lit("Z")))
+    micros = F.unix_micros(F.try_to_timestamp(whole))
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros / F.lit(1_000_000)).cast("decimal(18,6)"))
+
+
+def unix_seconds(at: Column) -> Column:
+    """Whole seconds since 1970 of a timestamp without zone, taken as UTC."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at)
+
+
 def split_keywords(raw: Column) -> Column:
     return F.filter(F.transform(F.split(raw, "[,;|]"), lambda x: F.trim(x)), lambda x: x != "")
 
@@ -248,6 +266,18 @@ def csv_delimiter(head: Column, candidates: str = ",;|\t") -> Column:
     return F.when(best["n"] > 0, best["d"]).otherwise(",")
 
 
+def csv_head(head: Column) -> Column:
+    """struct(delimiter, has_header, columns, rows) of the head of a CSV text: up to three sample rows of the fields as they
+    stand; the first row is a header if none of its fields is a number or empty."""
+    mark = csv_delimiter(head)
+    lines = F.filter(F.split(head, "\r?\n"), lambda x: x != "")
+    cells = F.transform(F.slice(lines, 1, 4), lambda x: F.transform(F.split(x, F.concat(F.lit("\\Q"), mark, F.lit("\\E"))), lambda c: F.btrim(c, F.lit(' "'))))
+    first = F.coalesce(F.try_element_at(cells, F.lit(1)), F.array().cast("array<string>"))
+    header = (F.size(first) > 0) & F.forall(first, lambda c: (c != "") & c.try_cast("double").isNull())
+    names = F.when(header, first).otherwise(F.transform(first, lambda _, i: F.concat(F.lit("c"), (i + 1).cast("string"))))
+    return F.struct(mark.alias("delimiter"), header.alias("has_header"), names.alias("columns"), F.when(header, F.slice(cells, 2, 3)).otherwise(F.slice(cells, 1, 3)).alias("rows"))
+
+
 def candidate_summary(path: Column, root: str, title: Column, size: Column, keywords: Column) -> Column:
     """One line on a file for a ranking model: relative path, size, title, keywords."""
     relative = F.when(path.startswith(root.rstrip("/") + "/"), F.substring(path, len(root.rstrip("/")) + 2, 1_000_000)).otherwise(path)

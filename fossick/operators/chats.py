@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fossick.functions.text import estimated_tokens
+from fossick.functions.text import estimated_tokens, unix_seconds
 
 
 def search_sessions(sessions: DataFrame, messages: DataFrame, query: str, limit: int = 20) -> DataFrame:
@@ -52,6 +52,13 @@ def activity(sessions: DataFrame, now: str, hours: int) -> DataFrame:
     return sessions.agg(F.count("*").alias("sessions"), F.coalesce(F.sum("message_count"), F.lit(0)).cast("bigint").alias("messages"), F.count_if(recent).alias("active"))
 
 
+def recent(sessions: DataFrame, now: str, hours: int, most: int = 10) -> DataFrame:
+    """(session_id, title, message_count, updated_at, seconds) of the ``most`` sessions active last within ``hours``."""
+    active = sessions.where(F.col("updated_at") >= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(hours)))
+    title = F.when(F.coalesce(F.length("title"), F.lit(0)) > 0, F.col("title")).otherwise("Untitled")
+    return active.orderBy(F.desc("updated_at"), "session_id").limit(most).select("session_id", title.alias("title"), "message_count", "updated_at", unix_seconds(F.col("updated_at")).alias("seconds"))
+
+
 def weekly(sessions: DataFrame, now: str) -> DataFrame:
     """One row: sessions, messages, sessions of the last seven days and their mean a day."""
     recent = F.col("updated_at") >= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(7))

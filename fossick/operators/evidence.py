@@ -13,23 +13,56 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WHOLE, SIZE, STRIDE, ROUNDS = 100_000, 500, 250, 3
 ANCHORS, EXPLORE, PER_ROUND, SEEDS, LEAST_SCORE = 5, 2, 5, 2, 4.0
 
 
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by the bits of one number for the shorter text."""
+    if len(a) > len(b):
+        a, b = b, a
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for c in b:
+        if m := at.get(c):
+            u = v & m
+            v = (v + u | v - u) & full
+    return len(a) - v.bit_count()
+
+
 def token_set_score(a: str, words: set[str]) -> float:
-    """Share of the wanted words in a window, 0 to 100: exact words, then the best common part of near ones."""
-    if not words:
-        return 0.0
+    """Token-set ratio of a text and the wanted words, 0 to 100: 100 if either holds all of the other's; else the best of
+    three similarities, each 2 * common / total characters: of the common words to either side, and of both sides, where
+    the words that aren't common are compared by their longest common subsequence."""
     have = set(a.lower().split())
-    total = 0.0
-    for w in words:
-        if w in have:
-            total += 1
-        else:
-            total += max((0.5 * len(w) / len(h) for h in have if w in h), default=0.0)
-    return 100 * total / len(words)
+    if not have or not words:
+        return 0.0
+    both, left, right = have & words, " ".join(sorted(have - words)), " ".join(sorted(words - have))
+    if both and (not left or not right):
+        return 100.0
+    n = len(" ".join(both))
+    gap = int(bool(n))
+    total = 2 * (n + gap) + len(left) + len(right)
+    best = 100 - 100 * (len(left) + len(right) - 2 * _common(left, right)) / total
+    for side in (left, right) if n else ():
+        best = max(best, 100 - 100 * (gap + len(side)) / (2 * n + gap + len(side)))
+    return best
+
+
+def fragments(found: DataFrame, files: DataFrame, *, around: int = 1000) -> DataFrame:
+    """(path, context): the best windows (path, start, end) of each file, ``around`` characters on both sides of their
+    centres, in the order of the text, each under a heading with its number."""
+    centre = F.floor((F.col("start") + F.col("end")) / 2).cast("int")
+    lo = F.greatest(F.lit(0), centre - around)
+    cut = found.select("path", "start", lo.alias("lo"), (centre + around - lo).alias("size")).join(files.select("path", "content"), "path")
+    parts = F.array_sort(F.collect_list(F.struct("start", F.expr("substring(content, lo + 1, size)").alias("t"))))
+    shown = F.transform(parts, lambda p, i: F.concat(F.lit("\n--- Context Fragment "), (i + 1).cast("string"), F.lit(" ---\n..."), p["t"], F.lit("...\n")))
+    return cut.groupBy("path").agg(F.array_join(shown, "").alias("context"))
 
 
 def sample_document(path: str, text: str, words: set[str], *, threshold: float = 8.0, whole: int = WHOLE, top_k: int = 5) -> list[tuple[int, int, float, int]]:
@@ -146,8 +179,6 @@ def snapshot_lines(lines: DataFrame, *, budget: int = 2048) -> DataFrame:
     While at most 70 % of the budget is used every line is taken; then with a chance that falls as it fills, at most
     150 %; from 120 % on none. The chance comes from a hash of path and line number.
     """
-    from pyspark.sql import functions as F
-
     from fossick.functions.text import is_noise
 
     good = lines.where(~is_noise(F.col("line"))).withColumn("tokens", F.greatest(F.lit(1), F.floor(F.length("line") / 4)).cast("int"))

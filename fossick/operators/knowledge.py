@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fossick.functions.encoders import Encoder, text_hash
 from fossick.functions.matching import inside
 from fossick.functions.scoring import cosine
 
@@ -20,6 +21,28 @@ def find(clusters: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return clusters.where(F.coalesce(hit, F.lit(False))).select("id", "name", order.alias("priority")).orderBy("priority", "id").limit(limit)
 
 
+def get(clusters: DataFrame, cluster_id: str) -> DataFrame:
+    """The cluster of this id, or no row. The condition reaches the scan."""
+    return clusters.where(F.col("id") == cluster_id)
+
+
+def activity(clusters: DataFrame, values: tuple[str, ...], newest: str = "create_time", most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(total, mean_confidence, a count for each lifecycle of ``values`` as a map) in one row and one pass, and the
+    ``most`` newest clusters (id, name, lifecycle, confidence, changed)."""
+    count = F.create_map(*[x for v in values for x in (F.lit(v), F.count_if(F.col("lifecycle") == v))])
+    one = clusters.agg(F.count("*").alias("total"), F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 4).alias("mean_confidence"), count.alias("lifecycles"))
+    return one, clusters.select("id", "name", "lifecycle", "confidence", F.col(newest).alias("changed")).orderBy(F.desc_nulls_last("changed"), "id").limit(most)
+
+
+def references(clusters: DataFrame, most: int = 3) -> DataFrame:
+    """(id, file, summary, snippets): the evidence that was found, each with its first ``most`` snippets."""
+    e = clusters.select("id", F.posexplode(F.filter("evidences", lambda e: e["is_found"])).alias("pos", "e"))
+    kinds = {f.name for f in e.schema["e"].dataType.fields}
+    summary = F.coalesce("e.summary", F.lit("")) if "summary" in kinds else F.lit("")
+    snippets = F.slice(F.coalesce("e.snippets", F.array().cast("array<string>")), 1, most) if "snippets" in kinds else F.array().cast("array<string>")
+    return e.select("id", F.col("e.file").alias("file"), summary.alias("summary"), snippets.alias("snippets"), "pos")
+
+
 def listing(clusters: DataFrame, *, lifecycle: str | None = None, level: str | None = None, sort_by: str = "hotness", limit: int = 100) -> DataFrame:
     if lifecycle:
         clusters = clusters.where(F.col("lifecycle") == lifecycle)
@@ -179,6 +202,19 @@ def reuse(clusters: DataFrame, hits: DataFrame, query: str) -> DataFrame:
     return j.select(*[F.when(on, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in clusters.columns])
 
 
+def reuse_and_embed(clusters: DataFrame, hits: DataFrame, query: str, encoder: Encoder) -> DataFrame:
+    """As ``reuse``; the vectors of the hits are those of all their queries now, with the model's name and the text's
+    hash, so that a later search meets what the cluster has come to answer."""
+    out = reuse(clusters, hits, query).join(hits.select("id", F.lit(True).alias("_hit")), "id", "left")
+    text = F.when(F.col("_hit"), F.array_join("queries", "\n"))
+    has = set(clusters.columns)
+    new = {"embedding_vector": encoder.columns(F.col("_text")), "embedding_model": F.lit(encoder.name), "embedding_text_hash": text_hash(F.col("_text"))}
+    out = out.withColumn("_text", text).withColumns({f"_new_{c}": v for c, v in new.items()})
+    keep = [F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in clusters.columns]
+    more = [F.when(F.col("_hit"), F.col(f"_new_{c}")).alias(c) for c in new if c not in has]
+    return out.select(*keep, *more)
+
+
 def still_there(clusters: DataFrame, files: DataFrame) -> DataFrame:
     """(id, file): evidence files that ``files`` (path) still lists."""
     return clusters.select("id", F.explode("evidences").alias("e")).select("id", F.col("e.file").alias("path")).join(files.select("path"), "path", "left_semi").select("id", F.col("path").alias("file"))

@@ -13,6 +13,10 @@ from fossick.functions.matching import any_of, literal, predicate
 from fossick.functions.scoring import file_score, line_relevance
 
 
+#: Positions of a list that are numbered together.
+_RUN = 1 << 16
+
+
 def search_or(lines: DataFrame, terms: list[str], *, mode: str = "literal", case_sensitive: bool = False) -> DataFrame:
     """(path, line_number, line, term): a line once for each term that it matches; for ``regex`` once in all."""
     if mode == "regex":
@@ -140,14 +144,25 @@ def char_budget(pieces: DataFrame, order: list, *, budget: int = 15_000, least:
     return out.withColumn("content", F.substring(F.col("content"), F.lit(1), F.col("_left").cast("int"))).drop("_left")
 
 
-def union_in_order(*paths: DataFrame) -> DataFrame:
-    """(path, place) of several lists (path, pos): each path at its first occurrence, earlier lists first."""
+def union_in_order(*paths: DataFrame, most: int | None = None) -> DataFrame:
+    """(path, place) of several lists (path, pos): each path at its first occurrence, earlier lists first; the first
+    ``most`` if given.
+
+    Places are counted inside runs of ``_RUN`` positions of a list and added up over the runs, so no task numbers all.
+    """
     both = None
     for i, p in enumerate(paths):
         one = p.select("path", F.struct(F.lit(i).alias("list"), F.col("pos").cast("bigint").alias("pos")).alias("at"))
         both = one if both is None else both.unionAll(one)
-    first = both.groupBy("path").agg(F.min("at").alias("at"))
-    return first.select("path", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at.list", "at.pos", "path")).alias("place"))
+    first = both.groupBy("path").agg(F.min("at").alias("at")).select("path", "at.list", "at.pos")
+    if most is not None:
+        few = first.orderBy("list", "pos", "path").limit(most)
+        return few.select("path", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("list", "pos", "path")).alias("place"))
+    first = first.withColumn("run", F.floor(F.col("pos") / _RUN))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("list", "run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = first.groupBy("list", "run").agg(F.count("*").alias("n")).select("list", "run", ahead.alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy("list", "run").orderBy("pos", "path"))
+    return first.withColumn("inside", inside).join(runs, ["list", "run"]).select("path", (F.col("inside") + F.col("ahead")).cast("int").alias("place"))
 
 
 def filename_search(files: DataFrame, patterns: list[str], *, case_sensitive: bool = False, globs: bool = False) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fossick.functions import matching, scoring, text
-from fossick.operators import chats, evidence, files, knowledge, monitor, retrieval, tables
+from fossick.operators import chats, evidence, files, knowledge, monitor, retrieval, scan, tables
 from fossick.plans import oracle
+from fossick.sources import caches
 from fossick.sources import views as V
 from fossick.streaming import streams
 
@@ -37,7 +38,7 @@ def joined(c: str | Column) -> Column:
 
 @query
 def fast_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.rank_files(V.lines(spark, sf_dir), WORDS).withColumn("score", F.round("score", 6))
+    return retrieval.rank_files(V.lines(spark, sf_dir, WORDS), WORDS).withColumn("score", F.round("score", 6))
 
 
 @query
@@ -47,7 +48,7 @@ def fast_rank_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def grep_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.search_or(V.lines(spark, sf_dir), WORDS)
+    return retrieval.search_or(V.lines(spark, sf_dir, WORDS), WORDS)
 
 
 @query
@@ -82,7 +83,7 @@ def grep_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def grep_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.count_matches(V.lines(spark, sf_dir).where(matching.literal(F.col("line"), "edtion")))
+    return retrieval.count_matches(V.lines(spark, sf_dir, ["edtion"]).where(matching.literal(F.col("line"), "edtion")))
 
 
 @query
@@ -92,18 +93,18 @@ def grep_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def line_relevance_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_lines(V.lines(spark, sf_dir).where(matching.any_of(F.col("line"), WORDS)), WORDS, 3)
+    return retrieval.top_lines(V.lines(spark, sf_dir, WORDS).where(matching.any_of(F.col("line"), WORDS)), WORDS, 3)
 
 
 @query
 def files_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = retrieval.files_of_matches(V.lines(spark, sf_dir).where(matching.any_of(F.col("line"), WORDS)), WORDS, 5)
+    m = retrieval.files_of_matches(V.lines(spark, sf_dir, WORDS).where(matching.any_of(F.col("line"), WORDS)), WORDS, 5)
     return m.select("path", "total_matches", F.round("total_score", 5).alias("total_score"), F.size("lines").alias("n_lines"))
 
 
 @query
 def diverse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.diverse_lines(retrieval.search_or(V.lines(spark, sf_dir), WORDS), WORDS)
+    return retrieval.diverse_lines(retrieval.search_or(V.lines(spark, sf_dir, WORDS), WORDS), WORDS)
 
 
 @query
@@ -120,7 +121,7 @@ def glob_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = V.lines(spark, sf_dir).where(matching.literal(F.col("line"), "edtion")).select("path", "line_number")
+    hits = V.lines(spark, sf_dir, ["edtion"]).where(matching.literal(F.col("line"), "edtion")).select("path", "line_number")
     return retrieval.context_windows(hits, window=2, few_window=4)
 
 
@@ -282,9 +283,111 @@ def scope_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.allowed(files.valid_paths(c.select(p.alias("path"), F.col("doc_id").alias("pos"))), ["/corpus/src1", "/corpus/src0/en"])
 
 
+# --- scans
+
+
+@query
+def scan_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.walk(V.corpus(spark, sf_dir), "/corpus", max_files=100, exclude=("fr",)).select("path", "size_bytes")
+
+
+@query
+def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.documents(V.corpus(spark, sf_dir), ["/corpus/src3/de", "/corpus/src0/en/", "/corpus/src1/es"], max_bytes=5000, max_files=7)
+
+
+@query
+def scan_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = scan.candidates(V.corpus(spark, sf_dir), max_bytes=20_000, small=5000)
+    return c.select("path", "extension", "route", F.length("title").alias("title_chars"), F.length("preview").alias("preview_chars"), F.size("keywords").alias("n_keywords"), "content_loaded")
+
+
+@query
+def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.summary(scan.candidates(V.corpus(spark, sf_dir), max_bytes=20_000, small=5000))
+
+
+@query
+def scan_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(0, "doc_7.txt", "low"), (1, "elsewhere\\\\doc_12.txt", "medium"), (2, "doc_13.tx", "unheard of"), (3, "nothing.pdf", "high"), (4, "/doc_15.txt/", "high"), (5, "doc_7.txt", "high")]
+    reply = spark.createDataFrame([(i, n, r, f"because {i}") for i, n, r in rows], "pos int, named string, relevance string, reason string")
+    return scan.ranked(reply, V.corpus(spark, sf_dir))
+
+
+@query
+def scan_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.accepted(scan_ranked(spark, sf_dir), medium=True).select("path", "relevance")
+
+
+@query
+def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.browse(V.corpus(spark, sf_dir), "/corpus/src0")
+
+
+@query
+def manifest_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.corpus(spark, sf_dir)
+    return caches.collections(c.select(F.col("source").alias("collection"), "size_bytes", F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(doc_id % 5000 as int))").alias("upload_time")))
+
+
+@query
+def candidate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.corpus(spark, sf_dir)
+    return c.select("path", text.candidate_summary(F.col("path"), "/corpus", text.title_line(F.col("content")), F.col("size_bytes"), F.array("source", "lang")).alias("summary"))
+
+
+@query
+def keyword_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = retrieval.count_matches(V.lines(spark, sf_dir, WORDS).where(matching.any_of(F.col("line"), WORDS)))
+    return n.select("path", retrieval.share_counts(n, len(WORDS)).alias("share"), F.round(scoring.log_tf_norm(F.col("n_matches")), 6).alias("norm"), F.round(scoring.log_tf_norm_penalty(F.col("n_matches"), ideal=(5, 20)), 6).alias("lowered"))
+
+
+@query
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = V.table(spark, sf_dir, "events")
+    zone = F.when(F.col("event_id") % 3 == 0, "Z").when(F.col("event_id") % 3 == 1, "+02:00").otherwise("")
+    t = text.iso_time(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), zone))
+    return e.select("event_id", text.unix_seconds(t).alias("seconds"))
+
+
 # --- clusters
 
 
+@query
+def cluster_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.get(V.clusters(spark, sf_dir), "C4e07408562").select("id", "name", "version")
+
+
+@query
+def knowledge_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, _ = knowledge.activity(V.clusters(spark, sf_dir), V.LIFECYCLES)
+    return one.select("total", "mean_confidence", F.explode("lifecycles").alias("lifecycle", "n"))
+
+
+@query
+def newest_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.activity(V.clusters(spark, sf_dir), V.LIFECYCLES)[1]
+
+
+@query
+def cluster_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.references(V.clusters(spark, sf_dir)).select("id", "file", "pos")
+
+
+@query
+def cluster_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.clusters(spark, sf_dir)
+    return c.select("vec_id", knowledge.content_id(F.col("name"), F.lit("  "), F.col("content")).alias("content_id"), knowledge.query_id(F.col("name")).alias("query_id"))
+
+
+@query
+def cluster_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.clusters(spark, sf_dir).select("vec_id", "id", "name", "hotness", "version")
+    new = c.where("vec_id % 4 = 0").select("vec_id", F.when(F.col("vec_id") % 8 == 0, F.concat("id", F.lit("y"))).otherwise(F.col("id")).alias("id"), F.concat("name", F.lit("+")).alias("name"), F.lit(None).cast("double").alias("hotness"), F.lit(1).alias("version"))
+    changed = knowledge.update(knowledge.insert(c, new), new.where("vec_id % 8 = 4"), ["name", "hotness"])
+    return knowledge.remove(changed, c.where("vec_id % 5 = 0").select("id"))
+
+
 @query
 def cluster_similar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.similar(V.clusters(spark, sf_dir), _first_vector(spark, sf_dir), top_k=10, threshold=0.2).select("id", "similarity")
@@ -409,6 +512,17 @@ def chat_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.activity(V.sessions(spark, sf_dir), NOW, 24 * 20)
 
 
+@query
+def recent_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.recent(V.sessions(spark, sf_dir), NOW, 24 * 20).select("session_id", "title", "message_count", "seconds")
+
+
+@query
+def session_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.sessions(spark, sf_dir).select("session_id", "title")
+    return chats.save_sessions(s, s.where("session_id % 4 = 1").withColumn("title", F.concat(F.lit("saved "), "title")))
+
+
 @query
 def history_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.weekly(V.sessions(spark, sf_dir), "2024-02-03 00:00:00")
@@ -504,7 +618,7 @@ def semi_anti_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(big, "c_custkey", "left_semi").join(failed, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
-# --- evidence, without SQL: their tests compare them with brute force
+# --- evidence: what has no SQL is compared with brute force in tests/test_evidence.py
 
 
 @query
@@ -512,6 +626,14 @@ def sampled_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.evidence(V.corpus(spark, sf_dir), WORDS, whole=3000).drop("snippet")
 
 
+@query
+def context_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = V.corpus(spark, sf_dir)
+    at = c.select("path", F.explode(F.expr("filter(array(100, 3000, 900), x -> x <= length(content))")).alias("start"))
+    f = evidence.fragments(at.select("path", "start", (F.col("start") + 500).alias("end")), c)
+    return f.select("path", F.length("context").alias("n_chars"), F.md5(F.col("context").cast("binary")).alias("md5"))
+
+
 @query
 def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.key_phrases(V.corpus(spark, sf_dir).select("path", "content"), top_k=5)
@@ -525,4 +647,4 @@ def snapshot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scoring.line_relevance(F.col("line"), WORDS, [1.0, 2.0, 0.5], saturation="log", length_norm="log")
-    return V.lines(spark, sf_dir).select("path", "line_number", F.round(s, 6).alias("score")).where("score > 0")
+    return V.lines(spark, sf_dir, WORDS).select("path", "line_number", F.round(s, 6).alias("score")).where("score > 0")

@@ -161,8 +161,44 @@ _add(
     f"p AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '-' || path WHEN 1 THEN {_FOLDER} ELSE path END AS path FROM corpus)",
 )
 
+# --- scans
+
+_PARTS = "string_split(path, '/')"
+_add("scan_walk", "corpus", f"SELECT path, size_bytes FROM corpus WHERE lang <> 'fr' ORDER BY {_PARTS} LIMIT 100")
+_add(
+    "scan_documents", "corpus", "SELECT path, size_bytes, 'txt' AS extension, true AS is_text FROM (SELECT *, CASE WHEN source = 'src3' AND lang = 'de' THEN 0 WHEN source = 'src0' AND lang = 'en' THEN 1 WHEN source = 'src1' AND lang = 'es' THEN 2 END AS place FROM corpus) "
+    "WHERE place IS NOT NULL AND size_bytes BETWEEN 1 AND 5000 ORDER BY place, path LIMIT 7",
+)
+_SCANNED = f"m AS ({SQL['text_metadata']}), scanned AS (SELECT c.path, 'txt' AS extension, source, lang, size_bytes, CASE WHEN size_bytes > 20000 THEN 'head' ELSE 'full' END AS route, size_bytes <= 5000 AS content_loaded, title, preview, keywords FROM corpus c JOIN m ON c.path = m.path)"
+_add("scan_candidates", "corpus", "SELECT path, extension, route, CAST(length(title) AS INTEGER) AS title_chars, CAST(length(preview) AS INTEGER) AS preview_chars, CAST(CASE WHEN route = 'head' OR keywords = '' THEN 0 ELSE len(string_split(keywords, '|')) END AS INTEGER) AS n_keywords, content_loaded FROM scanned", _SCANNED)
+_add("scan_summary", "corpus", "SELECT count(*) AS n_files, count(DISTINCT source || '/' || lang) AS n_dirs, count(*) FILTER (content_loaded) AS n_loaded, count(*) FILTER (route <> 'full') AS n_sampled, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM scanned", _SCANNED)
+_JUDGED = "judged AS (SELECT path, r.* FROM corpus JOIN (VALUES ('doc_15.txt', 'high', 'because 4', 1), ('doc_12.txt', 'medium', 'because 1', 2), ('doc_7.txt', 'low', 'because 0', 3), ('doc_13.txt', 'low', 'because 2', 4)) r(filename, relevance, reason, place) USING (filename))"
+_add("scan_ranked", "corpus", "SELECT path, relevance, reason, CAST(place AS INTEGER) AS place FROM judged", _JUDGED)
+_add("scan_accepted", "corpus", "SELECT path, relevance FROM judged WHERE relevance <> 'low'", _JUDGED)
+_add("folder_listing", "corpus", "SELECT lang AS name, true AS is_dir, CAST(row_number() OVER (ORDER BY lang) AS INTEGER) AS place FROM (SELECT DISTINCT lang FROM corpus WHERE source = 'src0')")
+_add("manifest_collections", "corpus", "SELECT source AS collection, count(*) AS file_count, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, TIMESTAMP '2024-01-01' + to_minutes(CAST(max(doc_id % 5000) AS INTEGER)) AS newest FROM corpus GROUP BY source")
+_add("candidate_lines", "corpus", "SELECT path, source || '/' || lang || '/' || filename || ' | ' || size || CASE WHEN title = '' THEN '' ELSE ' | ' || title END || ' | ' || source || ', ' || lang AS summary FROM corpus JOIN m USING (path)", f"m AS ({SQL['text_metadata']})")
+_add(
+    "keyword_shares", "lines",
+    "SELECT path, greatest(1, n // 3) AS share, round(1 + ln(n), 6) AS norm, round(ln(n + exp(1.0::DOUBLE)) * CASE WHEN n < 5 THEN exp(-0.5::DOUBLE * (5 - n) / 5) WHEN n > 20 THEN exp(-0.5::DOUBLE * (n - 20) / 20) ELSE 1 END, 6) AS lowered FROM c",
+    f"c AS (SELECT path, count(*) AS n FROM lines WHERE {_ANY} GROUP BY path)",
+)
+_add("iso_times", None, "SELECT event_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) - CASE WHEN event_id % 3 = 1 THEN 7200 ELSE 0 END AS seconds FROM events")
+
 # --- clusters
 
+_add("cluster_get", "clusters", "SELECT id, name, version FROM clusters WHERE id = 'C4e07408562'")
+_add(
+    "knowledge_activity", "clusters", f"SELECT (SELECT count(*) FROM clusters) AS total, (SELECT round(avg(confidence), 4) FROM clusters) AS mean_confidence, lifecycle, (SELECT count(*) FROM clusters c WHERE c.lifecycle = v.lifecycle) AS n FROM (SELECT unnest({list(views.LIFECYCLES)}) AS lifecycle) v"
+)
+_add("newest_clusters", "clusters", "SELECT id, name, lifecycle, confidence, create_time AS changed FROM clusters ORDER BY changed DESC, id LIMIT 10")
+_add("cluster_references", "clusters", "SELECT id, file, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY j) - 1 AS INTEGER) AS pos FROM evidence WHERE is_found")
+_add("cluster_ids", "clusters", "SELECT vec_id, 'C' || sha256(name || chr(10) || chr(10) || content)[1:10] AS content_id, 'FS' || sha256(name)[1:8] AS query_id FROM clusters")
+_add(
+    "cluster_changes", "clusters",
+    "SELECT vec_id, id, CASE WHEN vec_id % 8 = 4 THEN name || '+' ELSE name END AS name, hotness, CAST(version + CASE WHEN vec_id % 8 = 4 THEN 1 ELSE 0 END AS INTEGER) AS version FROM clusters WHERE vec_id % 5 <> 0 "
+    "UNION ALL SELECT vec_id, id || 'y', name || '+', NULL, CAST(1 AS INTEGER) FROM clusters WHERE vec_id % 8 = 0",
+)
 _COS = "list_cosine_similarity(embedding_vector::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1))"
 _add("cluster_similar_topk", "clusters", f"SELECT id, s AS similarity FROM (SELECT id, round({_COS}, 6) AS s FROM clusters WHERE embedding_vector IS NOT NULL ORDER BY s DESC, id LIMIT 10) WHERE s >= 0.2")
 _add(
@@ -220,10 +256,17 @@ _add(
 )
 _add("session_page", "messages", "SELECT session_id, title, message_count FROM sessions ORDER BY updated_at DESC, session_id LIMIT 20 OFFSET 10")
 _add("chat_activity", "messages", "SELECT count(*) AS sessions, CAST(sum(message_count) AS BIGINT) AS messages, count(*) FILTER (updated_at >= TIMESTAMP '2024-01-26') AS active FROM sessions")
+_add("recent_sessions", "messages", "SELECT session_id, CASE WHEN title = '' THEN 'Untitled' ELSE title END AS title, message_count, CAST(epoch_us(updated_at) // 1000000 AS BIGINT) AS seconds FROM sessions WHERE updated_at >= TIMESTAMP '2024-01-26' ORDER BY updated_at DESC, session_id LIMIT 10")
+_add("session_saves", "messages", "SELECT session_id, CASE WHEN session_id % 4 = 1 THEN 'saved ' || title ELSE title END AS title FROM sessions")
 _add("history_stats", "messages", "SELECT count(*) AS sessions, CAST(sum(message_count) AS BIGINT) AS messages, count(*) FILTER (updated_at >= TIMESTAMP '2024-01-27') AS last_week, round(count(*) FILTER (updated_at >= TIMESTAMP '2024-01-27') / 7.0::DOUBLE, 2) AS per_day FROM sessions")
 _add("message_append", "messages", "SELECT session_id, count(*) + count(*) FILTER (turn = 0) AS message_count, CASE WHEN count(*) FILTER (turn = 0) > 0 THEN greatest(max(ts), TIMESTAMP '2024-02-15') ELSE max(ts) END AS updated_at FROM messages GROUP BY session_id")
 _add("session_delete", "messages", "SELECT session_id, count(*) AS n FROM messages WHERE session_id % 3 <> 0 GROUP BY session_id")
 
+_add(
+    "context_fragments", "corpus", "SELECT path, CAST(length(c) AS INTEGER) AS n_chars, md5(c) AS md5 FROM (SELECT path, string_agg(chr(10) || '--- Context Fragment ' || i || ' ---' || chr(10) || '...' || substring(content, lo + 1, s + 1250 - lo) || '...' || chr(10), '' ORDER BY s) AS c FROM f GROUP BY path)",
+    "f AS (SELECT path, content, s, greatest(0, s - 750) AS lo, row_number() OVER (PARTITION BY path ORDER BY s) AS i FROM corpus, (VALUES (100), (3000), (900)) t(s) WHERE s <= length(content))",
+)
+
 # --- usage, events, tables
 
 _add("llm_usage_by_model", "llm_usage", "SELECT model, count(*) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS total_tokens FROM llm_usage GROUP BY model")

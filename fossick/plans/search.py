@@ -67,14 +67,18 @@ def by_filename(files: DataFrame, query: str, *, top_k: int = 20) -> DataFrame:
 
 
 def rank(lines: DataFrame, files: DataFrame, primary: dict[str, float], fallback: dict[str, float], config: Config) -> tuple[DataFrame, list[str]]:
-    """Ranked and pruned (path, score) by the first of: primary keywords, fallback keywords, file names."""
+    """Ranked and pruned (path, score, rank) by the first of: primary keywords, fallback keywords, file names.
+
+    The ``top_k_files`` rows come to the driver, so that what uses them doesn't rank again.
+    """
+    every = {**primary, **fallback}
     for words in (primary, fallback):
         if words:
-            r = retrieval.prune(retrieval.rank_files(lines, list(words), words).select("path", "score"), top_k=config.top_k_files)
-            if r.limit(1).count():
-                return r, list(words)
-    every = {**primary, **fallback}
-    return by_filename(files, " ".join(every) or " ", top_k=1).select("path", F.lit(0.0).alias("score"), F.lit(1).alias("rank")), list(every)
+            rows = retrieval.prune(retrieval.rank_files(lines, list(words), words).select("path", "score"), top_k=config.top_k_files).collect()
+            if rows:
+                return files.sparkSession.createDataFrame([(r.path, r.score, r["rank"]) for r in rows], "path string, score double, rank int"), list(words)
+    names = by_filename(files, " ".join(every) or " ", top_k=1).collect()
+    return files.sparkSession.createDataFrame([(r.path, 0.0, 1) for r in names], "path string, score double, rank int"), list(every)
 
 
 def gather(ranked: DataFrame, files: DataFrame, lines: DataFrame, words: list[str], config: Config) -> DataFrame:
@@ -123,10 +127,14 @@ def deep(files: DataFrame, lines: DataFrame, query: str, *, clusters: DataFrame
         lists.append(hit.select(F.col("file").alias("path"), F.lit(0).alias("pos")))
     hints = files.sparkSession.createDataFrame([(w,) for w in words], "hint string")
     lists.append(fs.resolve_hints(files, hints).select("path", F.col("place").alias("pos")))
-    paths = retrieval.union_in_order(*lists).where(F.col("place") <= config.top_k_files)
-    found = ev.evidence(files.join(F.broadcast(paths), "path"), words, whole=config.whole_file).where("is_found")
-    got = found.join(F.broadcast(paths), "path").withColumnRenamed("snippet", "content")
-    rows = retrieval.char_budget(got, ["place", "start"], budget=config.char_budget).orderBy("place", "start").collect()
+    rows = retrieval.union_in_order(*lists, most=config.top_k_files).collect()
+    paths = F.broadcast(files.sparkSession.createDataFrame([(r.path, r.place) for r in rows], "path string, place int"))  # ``top_k_files`` rows
+    chosen = files.join(paths, "path")
+    found = ev.evidence(chosen, words, whole=config.whole_file).where("is_found").select("path", "start", "end")
+    # a long file gives its best windows and what stands around them, a short one all of it
+    long = ev.fragments(found, chosen.where(F.length("content") >= config.whole_file)).withColumnRenamed("context", "content")
+    short = chosen.where(F.length("content") < config.whole_file).join(found.select("path").distinct(), "path", "left_semi").select("path", "content")
+    rows = retrieval.char_budget(long.unionByName(short).join(paths, "path"), ["place"], budget=config.char_budget).orderBy("place").collect()
     text, keep = model.answer(query, "\n\n".join(f"[{r.path}]\n{r.content}" for r in rows))
     used = list(dict.fromkeys(r.path for r in rows))
     return Answer(text, used, new_cluster(files.sparkSession, query, text, used) if keep and used else None)

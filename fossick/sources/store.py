@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import os
 import re
 import uuid
-from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,40 +16,67 @@ class Conflict(RuntimeError):
 
 
 class SnapshotStore:
-    """A table of which every version is a Parquet folder; the file ``current`` names the one that counts.
+    """A table of which every version is a Parquet folder; the file of a number in ``versions`` names it.
 
-    A write goes into a new folder, and the pointer is replaced in one step: a reader sees the old version or the new
-    one, and a failed write changes nothing. ``expect`` makes a write fail if the version isn't the one it was made from.
+    A write goes into a new folder; then the file of the next number is moved to its place, which fails if there is one.
+    So a reader sees whole versions, a failed write changes nothing, and of two writers of one number one has to try
+    again. ``expect`` makes a write fail if the version isn't the one it was made from. All files go through Hadoop's file
+    system, so a store may lie wherever Spark can write.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
-        self.spark, self.root, self.schema = spark, Path(root), schema
-        self.root.mkdir(parents=True, exist_ok=True)
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        self._fs.mkdirs(self._path("versions"))
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    @property
+    def _fs(self):
+        return self._path("versions").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     @property
     def version(self) -> int:
-        p = self.root / "current"
-        return int(json.loads(p.read_text())["version"]) if p.exists() else 0
+        return max((int(s.getPath().getName()) for s in self._fs.listStatus(self._path("versions")) if s.getPath().getName().isdigit()), default=0)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The current version, or an empty table before the first."""
-        p = self.root / "current"
-        if not p.exists():
+        n = self.version if version is None else version
+        if n == 0:
             return self.spark.createDataFrame([], self.schema)
-        name = json.loads(p.read_text())["folder"] if version is None else next(x.name for x in self.root.glob(f"v{version}_*"))
-        return self.spark.read.schema(self.schema).parquet(str(self.root / name))
+        folder = self.spark.read.text(f"{self.root}/versions/{n}").first().value
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{folder}")
 
     def write(self, df: DataFrame, expect: int | None = None) -> int:
         now = self.version
         if expect is not None and expect != now:
             raise Conflict(f"version {now} isn't {expect}")
-        folder = f"v{now + 1}_{uuid.uuid4().hex[:8]}"
-        df.select(*self.schema.fieldNames()).write.parquet(str(self.root / folder))
-        part = self.root / f".current_{os.getpid()}_{uuid.uuid4().hex[:8]}"
-        part.write_text(json.dumps({"version": now + 1, "folder": folder}))
-        os.replace(part, self.root / "current")
+        folder = uuid.uuid4().hex
+        df.select(*self.schema.fieldNames()).write.parquet(f"{self.root}/{folder}")
+        part = self._path(f"_{folder}")
+        out = self._fs.create(part)
+        out.write(folder.encode())
+        out.close()
+        while not self._move(part, self._path(f"versions/{now + 1}")):
+            if expect is not None:
+                self._fs.delete(part, False)
+                self._fs.delete(self._path(folder), True)
+                raise Conflict(f"version {now + 1} is there already")
+            now += 1
         return now + 1
 
+    def _move(self, source, target) -> bool:
+        """Whether the file could be moved: not if the target is there."""
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(source, target, gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
 
 def export_csv(df: DataFrame, path: str, delimiter: str = ",") -> None:
     df.write.csv(path, header=True, sep=delimiter)
@@ -69,7 +94,34 @@ def export_tables(tables: dict[str, DataFrame], root: str) -> None:
 
 
 def import_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {p.name: spark.read.parquet(str(p)) for p in sorted(Path(root).iterdir()) if p.is_dir()}
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = sorted(s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path) if s.isDirectory())
+    return {name: spark.read.parquet(f"{root}/{name}") for name in found}
+
+
+def append_to(df: DataFrame, table: str) -> None:
+    """Rows to a table by the names of its columns; a table that isn't there is made from them."""
+    if df.sparkSession.catalog.tableExists(table):
+        df.select(*df.sparkSession.table(table).columns).write.insertInto(table)
+    else:
+        df.write.saveAsTable(table)
+
+
+def create_table(spark: SparkSession, name: str, columns: dict[str, str]) -> None:
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(f'`{c}` {t}' for c, t in columns.items())}) USING parquet")
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def describe(spark: SparkSession, name: str) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in spark.table(name).schema]
+
+
+def query(spark: SparkSession, text: str, **values) -> DataFrame:
+    """A query with named parameters (``:name``)."""
+    return spark.sql(text, args=values)
 
 
 def binary_listing(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:

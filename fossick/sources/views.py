@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fossick.functions.matching import any_of
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 LIFECYCLES = ("STABLE", "EMERGING", "CONTESTED", "DEPRECATED")
 LEVELS = ("TECHNIQUE", "PRINCIPLE", "PARADIGM", "FOUNDATION", "PHILOSOPHY")
@@ -26,15 +28,20 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lines_of(files: DataFrame) -> DataFrame:
-    """(doc_id, path, line_number, line): lines from 1; what follows the last newline counts if it isn't empty."""
+def lines_of(files: DataFrame, holding: list[str] | None = None) -> DataFrame:
+    """(doc_id, path, line_number, line): lines from 1; what follows the last newline counts if it isn't empty.
+
+    ``holding``: literals of which the caller wants lines, whatever the case: files with none of them aren't cut up.
+    """
+    if holding:
+        files = files.where(any_of(F.col("content"), holding))
     parts = F.split("content", "\n")
     whole = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     return files.select("doc_id", "path", F.posexplode(whole).alias("pos", "line")).select("doc_id", "path", (F.col("pos") + 1).alias("line_number"), "line")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines_of(corpus(spark, sf_dir))
+def lines(spark: SparkSession, sf_dir: str, holding: list[str] | None = None) -> DataFrame:
+    return lines_of(corpus(spark, sf_dir), holding)
 
 
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

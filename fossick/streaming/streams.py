@@ -18,7 +18,7 @@ def table_stream(spark: SparkSession, folder: str, schema: StructType, *, files_
 
 def new_files(spark: SparkSession, root: str, *, files_per_batch: int = 1000) -> DataFrame:
     """(path, modified_at, size_bytes, content) of files not seen before; the checkpoint remembers them."""
-    raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(root)
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(root)
     return raw.select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes"), "content")
 
 
