@@ -6,7 +6,9 @@ cumulative weights map it to a source, and its rank among the source's slots say
 slots has each source in its share, to within a few slots. The schedule ends when every source has had all its blocks;
 sources whose weight is above their share of tokens begin anew meanwhile (``epoch``).
 
-Weights are given by source, or are the three-quarter power of the source's tokens: between proportional and equal.
+Weights are given by source, or are the three-quarter power of the source's tokens, of one block at least: between
+proportional and equal, and a source of a few tokens doesn't make the others wait for its block. However small a weight
+that is given, its source has a point of 2**32: the schedule is then as long as that takes.
 Everything is whole numbers or correctly rounded roots, so any engine gives the same schedule. A token is a maximal run
 of characters that aren't blanks; ``tokens_col`` names a column of exact counts instead.
 
@@ -29,6 +31,7 @@ from fossick.llm.quality import WORD
 BLOCK = 1 << 16
 GOLDEN = 2654435769
 _RUN = 1 << 16
+_BIN = 1 << 20
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, tokens_col: str | None) -> list[Column]:
@@ -59,16 +62,17 @@ def source_shares(sums: DataFrame, weights: dict[str, int] | None, block: int) -
     """(source, tokens, blocks, lo, hi): one row a source, with its part [lo, hi) of 0..2**32."""
     t = sums.groupBy("source").agg(F.sum("t").alias("tokens"))
     if weights is None:
-        root = F.sqrt(F.col("tokens").cast("double"))
+        root = F.sqrt(F.greatest(F.col("tokens"), F.lit(block)).cast("double"))
         q = F.floor(root * F.sqrt(root)).cast("bigint")
     else:
         q = F.coalesce(*[F.when(F.col("source") == k, F.lit(int(v))) for k, v in weights.items()], F.lit(0)).cast("bigint")
     every = Window.partitionBy(F.lit(0))
     run = every.orderBy("source")
     t = t.withColumn("q", q).where("q > 0")
-    t = t.withColumn("total", F.sum("q").over(every)).withColumn("upto", F.sum("q").over(run))
-    point = lambda c: F.floor(c.cast("double") / F.col("total").cast("double") * F.lit(4294967296.0)).cast("bigint")
-    return t.select("source", "tokens", F.expr(f"(tokens + {block - 1}) div {block}").alias("blocks"), point(F.col("upto") - F.col("q")).alias("lo"), point(F.col("upto")).alias("hi"))
+    t = t.withColumn("total", F.sum("q").over(every)).withColumn("upto", F.sum("q").over(run)).withColumn("n", F.count("*").over(every)).withColumn("i", F.row_number().over(run))
+    # every source has a point of its own besides its share of the rest
+    point = lambda c: F.floor(c.cast("double") / F.col("total").cast("double") * (F.lit(4294967296.0) - F.col("n"))).cast("bigint") + F.col("i")
+    return t.select("source", "tokens", F.expr(f"(tokens + {block - 1}) div {block}").alias("blocks"), (point(F.col("upto") - F.col("q")) - 1).alias("lo"), point(F.col("upto")).alias("hi"))
 
 
 def slots(shares: DataFrame) -> DataFrame:
@@ -79,7 +83,9 @@ def slots(shares: DataFrame) -> DataFrame:
     if most is None:
         return spark.createDataFrame([], "slot bigint, source string, rank bigint, block bigint, epoch bigint")
     k = spark.range(int(most)).select(F.col("id").alias("slot"), F.expr(f"(id * {GOLDEN}) % 4294967296").alias("u"), F.expr(f"id div {_RUN}").alias("run"))
-    hit = k.join(F.broadcast(shares), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "run", "source", "blocks")
+    # points and sources meet by bins of the points, so the join has equal keys however many sources there are
+    bins = shares.select("source", "blocks", "lo", "hi", F.explode(F.expr(f"sequence(lo div {_BIN}, (hi - 1) div {_BIN})")).alias("bin"))
+    hit = k.withColumn("bin", F.expr(f"u div {_BIN}")).join(bins, "bin").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "run", "source", "blocks")
     before = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = hit.groupBy("source", "run").agg(F.count("*").alias("n")).select("source", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     ranked = hit.withColumn("inside", F.row_number().over(Window.partitionBy("source", "run").orderBy("slot")) - 1).join(runs, ["source", "run"])
@@ -139,11 +145,11 @@ pieces AS (
   SELECT source, block, doc_id, greatest(start, block * {block}) - start AS from_token,
          least(start + tokens, (block + 1) * {block}) - greatest(start, block * {block}) AS n_tokens FROM cut),
 per AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens FROM measured GROUP BY source),
-rooted AS (SELECT source, tokens, CAST(floor(sqrt(CAST(tokens AS DOUBLE)) * sqrt(sqrt(CAST(tokens AS DOUBLE)))) AS BIGINT) AS q FROM per),
-summed AS (SELECT source, tokens, q, CAST(sum(q) OVER () AS DOUBLE) AS total, CAST(sum(q) OVER (ORDER BY source) AS BIGINT) AS upto FROM rooted),
+rooted AS (SELECT source, tokens, CAST(floor(sqrt(CAST(greatest(tokens, {block}) AS DOUBLE)) * sqrt(sqrt(CAST(greatest(tokens, {block}) AS DOUBLE)))) AS BIGINT) AS q FROM per),
+summed AS (SELECT source, tokens, q, CAST(sum(q) OVER () AS DOUBLE) AS total, CAST(sum(q) OVER (ORDER BY source) AS BIGINT) AS upto, count(*) OVER () AS n, row_number() OVER (ORDER BY source) AS i FROM rooted),
 shares AS (
-  SELECT source, (tokens + {block - 1}) // {block} AS blocks, CAST(floor(CAST(upto - q AS DOUBLE) / total * 4294967296.0) AS BIGINT) AS lo,
-         CAST(floor(CAST(upto AS DOUBLE) / total * 4294967296.0) AS BIGINT) AS hi FROM summed),
+  SELECT source, (tokens + {block - 1}) // {block} AS blocks, CAST(floor(CAST(upto - q AS DOUBLE) / total * (4294967296.0::DOUBLE - n)) AS BIGINT) + i - 1 AS lo,
+         CAST(floor(CAST(upto AS DOUBLE) / total * (4294967296.0::DOUBLE - n)) AS BIGINT) + i AS hi FROM summed),
 points AS (
   SELECT slot, (slot * {GOLDEN}) % 4294967296 AS u
   FROM (SELECT unnest(range((SELECT CAST(max(ceil((blocks + 128) * 4294967296.0 / greatest(1, hi - lo))) AS BIGINT) FROM shares))) AS slot)),

@@ -41,6 +41,21 @@ def test_shares_of_every_prefix(make):
     assert set(whole.values()) == {10}
 
 
+def test_every_source_has_a_point(spark):
+    sums = spark.createDataFrame([(s, "0", t, 0) for s, t in (("a", 1), ("b", 10**12), ("c", 3), ("d", 10**12), ("e", 1))], "source string, range string, t bigint, ahead bigint")
+    for weights in (None, {"a": 1, "b": 1 << 45, "c": 1, "d": 1 << 45, "e": 1}):
+        rows = sorted(((r.lo, r.hi, r.source) for r in M.source_shares(sums, weights, 64).collect()))
+        assert [s for _, _, s in rows] == list("abcde") and rows[0][0] == 0 and rows[-1][1] == 1 << 32
+        assert all(lo < hi for lo, hi, _ in rows) and all(a[1] == b[0] for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_small_sources_do_not_prolong_the_schedule(make):
+    rows = [(i, "w " * 640, "big") for i in range(100)] + [(1000 + k, "w w w", f"s{k:02}") for k in range(20)]
+    got = M.schedule(make(rows), block=640).select("slot", "source", "block").distinct().collect()
+    assert {r.source for r in got} == {"big", *(f"s{k:02}" for k in range(20))}
+    assert len({r.block for r in got if r.source == "big"}) == 100 and len({r.slot for r in got}) <= 200
+
+
 def test_long_documents_are_cut(make):
     rows = [(1, "w " * 1000, "a"), (2, "w " * 5, "a")]
     got = M.schedule(make(rows), block=64).where("epoch = 0").collect()
