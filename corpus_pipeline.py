@@ -1,8 +1,17 @@
 """A corpus pipeline over documents: quality rules, line dedup, near-dedup, source mixing and encoding.
 
-Each stage takes what its predecessor kept and returns the columns of documents, but for the last, which returns
-doc_id, n_tokens, token_ids and round_trip of every row. Nulls, empty and repeated rows are treated as the operators'
-docstrings say. Mixing repeats documents of sources whose weight is above their share; it drops none.
+Each stage takes what its predecessor kept and returns the columns of documents, but for the last. Their results:
+
+* quality rules: rows that no rule rejects, unchanged; null, empty and blank texts go;
+* line dedup: all rows, without the lines that repeat; n_chars is the new length; a text whose lines all repeat earlier
+  ones becomes empty, and its row stays;
+* near-dedup: of rows whose texts are near copies the one with the least doc_id (null last); empty texts, null ones too,
+  are copies of each other, so one row of them stays; the others' lines stand in earlier documents;
+* source mixing: every row at least once, those of sources below their weight several times; a null source is the empty
+  name; none is dropped;
+* encoding: doc_id, n_tokens, token_ids and round_trip of every row; null texts have null ids.
+
+Repeated rows and ties are treated as the operators say; an empty table gives an empty result after every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fossick.llm import lines, mixing, pieces, quality, simhash
-from fossick.llm.common import write_table
+from fossick.llm.common import remove_table, write_table
 from fossick.llm.queries import SENTENCE_PIECES, table
 
 
@@ -41,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs, _ = write_table(stage(spark, docs, sf_dir))
+        docs, path = write_table(stage(spark, docs, sf_dir))
+        if last:
+            remove_table(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
