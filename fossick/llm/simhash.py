@@ -5,13 +5,17 @@ keys. ``CHECK`` further bits come from the set of words; they verify. The (23, 1
 word lies within 3 errors of exactly one codeword. A segment's keys are the 12-bit indices that it and its 23
 neighbours decode to, at most six; two segments with at most two different bits share one of them. With four segments,
 fingerprints with up to 8 different bits leave at least two segments with at most two (pigeonhole), and those with more
-mostly do; so keys combine the indices of ``COMBINE`` segments, for every choice of them. Fingerprints as far apart as
-the check accepts share such a key only about every other time. Hence ``BANDS`` more keys come from the set of words,
-each of ``BAND_ROWS`` MinHash minima: at a cosine of 0.79 sets have a Jaccard similarity of 0.62 to 0.65, and share one
-of them with a chance of at least 1 - (1 - 0.62**BAND_ROWS)**BANDS = 0.96. Rows that share a key of either kind are
+mostly do; so keys combine the indices of ``combine`` segments, for every choice of them. Fingerprints as far apart as
+the check accepts share such a key only about every other time. Hence ``bands`` more keys come from the set of words,
+each of ``band_rows`` MinHash minima: at a cosine of 0.79 sets have a Jaccard similarity of 0.62 to 0.65, and share one
+of them with a chance of at least 1 - (1 - 0.62**band_rows)**bands = 0.959. Rows that share a key of either kind are
 verified by the distance of their check bits, and each task links what it holds: inside a key, rows with many others
-near them take those first, so that a group of thousands costs about as much as its members. ``COMBINE`` * 12 bits should
-be no fewer than the base-2 logarithm of the number of documents: raise it, and ``SEGMENTS``, for a larger corpus.
+near them take those first, so that a group of thousands costs about as much as its members.
+
+``Plan.of`` derives the numbers from that of the rows, so that the rows under one key, and those that share a key by
+chance, don't grow with the corpus: ``combine`` * 12 bits are no fewer than the base-2 logarithm of the rows, with twice as
+many segments; a minimum more for every eightfold corpus above a million rows, with as many bands as keep the chance; and
+rows meet by their first index and as many bits of the second as leave about ``MEETING`` rows together.
 
 Defined results: words are separated by ASCII white space; a null text counts as an empty one, and all texts without
 words are copies of each other; rows with equal fingerprints are copies; of a group the row with the least doc_id stays
@@ -21,7 +25,9 @@ words are copies of each other; rows with equal fingerprints are copies; of a gr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +36,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fossick.llm import bytehash as H
-from fossick.llm.common import bound_batches, col, fresh, slices, string_buffers, write_table
+from fossick.llm.common import bound_batches, col, fresh, remove_table, slices, string_buffers, write_table
 from fossick.llm.components import connected_components, roots
 from fossick.llm.lines import _runs
 
-SEGMENTS, COMBINE, CHECK = 4, 2, 192
+CHECK = 192
 #: Most different check bits of near copies: about 0.21 of them, a cosine of 0.79 between sets of words.
 MOST_DIFFERENT = 40
-#: Keys from the set of words, and the minima of each.
-BANDS, BAND_ROWS = 20, 4
+#: Jaccard similarity of sets of words that the bands must find, and how often they may miss it.
+JACCARD, MISSED = 0.62, 0.041
+#: Indices that a segment decodes to on average, and rows under one first index that meet in a task at once.
+INDICES, MEETING = 5.2, 1 << 16
 _U = np.uint64
-_rng = np.random.Generator(np.random.PCG64(10))
-_A = _rng.integers(0, 1 << 31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _rng.integers(0, 1 << 32, BANDS * BAND_ROWS, dtype=np.uint32)
+
+
+@dataclass(frozen=True)
+class Plan:
+    segments: int = 4
+    combine: int = 2
+    bands: int = 20
+    band_rows: int = 4
+    second: int = 0  # bits of the second index by which rows meet
+
+    @classmethod
+    def of(cls, n: int) -> Plan:
+        """For ``n`` rows."""
+        n = max(2, n)
+        combine = max(2, ceil(log2(n) / 12))
+        band_rows = 4 + max(0, ceil(log2(n / (1 << 20)) / 3))
+        bands = ceil(log(MISSED) / log(1 - JACCARD**band_rows))
+        return cls(2 * combine, combine, bands, band_rows, min(12, max(0, ceil(log2(n * INDICES / 4096 / MEETING)))))
+
+    def multipliers(self) -> tuple[np.ndarray, np.ndarray]:
+        rng = np.random.Generator(np.random.PCG64(10))
+        size = self.bands * self.band_rows
+        return rng.integers(0, 1 << 31, size, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, size, dtype=np.uint32)
+
 
 _GENERATOR = 0xC75
 
@@ -107,35 +136,36 @@ def _word_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     s, e, at = H.word_spans(data, offs)
     h = H.word_hashes(data, s, e)
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(at))
-    own = np.unique((doc << _U(44)) | (h >> _U(20)))
+    own = H.distinct((doc << _U(44)) | (h >> _U(20)))
     return h, at, H.mix(own & _U((1 << 44) - 1)), np.searchsorted(own, np.arange(len(texts) + 1, dtype=np.uint64) << _U(44))
 
 
-def _set_keys(own: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(texts, BANDS) keys of sets of words, all negative: those of segments aren't. 0 for a text without words."""
-    out = np.zeros((len(at) - 1, BANDS), np.int64)
+def _set_keys(own: np.ndarray, at: np.ndarray, plan: Plan) -> np.ndarray:
+    """(texts, bands) keys of sets of words, all negative: those of segments aren't. 0 for a text without words."""
+    out = np.zeros((len(at) - 1, plan.bands), np.int64)
     full = np.flatnonzero(np.diff(at))
     if not len(full):
         return out
     h = (own >> _U(32)).astype(np.uint32)
-    for b in range(BANDS):
+    factors, terms = plan.multipliers()
+    for b in range(plan.bands):
         key = np.full(len(full), b, np.uint64)
-        for r in range(b * BAND_ROWS, (b + 1) * BAND_ROWS):
-            key = H.mix(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(h * _A[r] + _B[r], at[:-1][full]))
+        for r in range(b * plan.band_rows, (b + 1) * plan.band_rows):
+            key = H.mix(key * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(h * factors[r] + terms[r], at[:-1][full]))
         out[full, b] = (key | _U(1 << 63)).view(np.int64)
     return out
 
 
-def set_keys(texts: pa.Array) -> np.ndarray:
-    return _set_keys(*_word_sets(texts)[2:])
+def set_keys(texts: pa.Array, plan: Plan = Plan()) -> np.ndarray:
+    return _set_keys(*_word_sets(texts)[2:], plan)
 
 
-def fingerprints(texts: pa.Array, segments: int = SEGMENTS, check: int = CHECK) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(texts: pa.Array, segments: int = 4, check: int = CHECK) -> tuple[np.ndarray, np.ndarray]:
     """Segments (n, segments) of 23 bits and check words (n, check / 64) of each text."""
     return _fingerprints(*_word_sets(texts), segments, check)
 
 
-def _fingerprints(h: np.ndarray, at: np.ndarray, own: np.ndarray, own_at: np.ndarray, segments: int = SEGMENTS, check: int = CHECK) -> tuple[np.ndarray, np.ndarray]:
+def _fingerprints(h: np.ndarray, at: np.ndarray, own: np.ndarray, own_at: np.ndarray, segments: int, check: int = CHECK) -> tuple[np.ndarray, np.ndarray]:
     a = _majorities(h, at, -(-23 * segments // 64))
     seg = np.stack([a[:, 23 * i : 23 * (i + 1)] @ (1 << np.arange(23)) for i in range(segments)], 1).astype(np.int32)
     b = _majorities(own, own_at, check // 64)
@@ -149,7 +179,7 @@ def _node(seg: np.ndarray, chk: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def with_fingerprints(docs: DataFrame, text_col: str, node: str, seg: str, chk: str, sets: str, keep: list[str]) -> DataFrame:
+def with_fingerprints(docs: DataFrame, text_col: str, node: str, seg: str, chk: str, sets: str, keep: list[str], plan: Plan) -> DataFrame:
     """The columns ``keep``, then the id of the fingerprint, its segments, its check words and the keys of its set of words."""
     bound_batches(docs.sparkSession)
     (text,) = fresh(docs, "__text")
@@ -162,57 +192,80 @@ def with_fingerprints(docs: DataFrame, text_col: str, node: str, seg: str, chk:
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text, 1 << 20):
+        for b in slices(batches, text):
             w = _word_sets(b.column(b.num_columns - 1))
-            s, c = _fingerprints(*w)
-            yield pa.record_batch([*b.columns[:-1], pa.array(_node(s, c)), lists(s), lists(c.view(np.int64)), lists(_set_keys(*w[2:]))], schema.names)
+            s, c = _fingerprints(*w, plan.segments)
+            yield pa.record_batch([*b.columns[:-1], pa.array(_node(s, c)), lists(s), lists(c.view(np.int64)), lists(_set_keys(*w[2:], plan))], schema.names)
 
     return src.mapInArrow(run, schema)
 
 
-def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For every choice of segments, one row for each index of the first: the rest of the key is worked out where the
-    rows meet, so fingerprints aren't shuffled for each of their keys. Then one row for each key of the set of words."""
-    for whole in batches:
-        for i in range(0, whole.num_rows, 2048):
-            b = whole.slice(i, 2048)
-            n = b.num_rows
-            seg = b.column(1).flatten().to_numpy().reshape(n, -1)
-            keys = [golay_keys(np.ascontiguousarray(s)) for s in seg.T]
-            rows, first, rest = [], [], []
-            for number, chosen in enumerate(combinations(range(seg.shape[1]), COMBINE)):
-                k, t = keys[chosen[0]]
-                at = np.nonzero(t)[0]
-                rows.append(at)
-                first.append((np.int64(number) << 12) | k[t])
-                rest.append(seg[at][:, chosen[1:]])
-            rows.append(np.repeat(np.arange(n), BANDS))
-            first.append(b.column(3).flatten().to_numpy())
-            rest.append(np.zeros((n * BANDS, COMBINE - 1), np.int32))
-            rows = np.concatenate(rows)
-            order = np.argsort(rows, kind="stable")
-            at = pa.array(rows[order])
-            chk = b.column(2).flatten().to_numpy().reshape(n, -1)
-            rest = np.concatenate(rest)[order]
-            yield pa.record_batch(
-                [pa.array(np.concatenate(first)[order]), b.column(0).take(at), *[pa.array(np.ascontiguousarray(c)).take(at) for c in chk.T], *[pa.array(np.ascontiguousarray(c)) for c in rest.T]],
-                ["key", "node", *[f"c{j}" for j in range(chk.shape[1])], *[f"s{j}" for j in range(rest.shape[1])]],
-            )
-
-
-def _whole_keys(first: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of rows with the sorted indices ``first`` and the segments ``rest``: sorted keys and their rows. A negative
-    ``first`` is a whole key."""
+def _emitter(plan: Plan):
+    """For every choice of segments, one row for each first index and leading bits of a second one: the rest of the key
+    is worked out where the rows meet, so fingerprints aren't shuffled for each of their keys. Then one row for each key
+    of the set of words."""
+    shift = 12 - plan.second
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2048):
+                b = whole.slice(i, 2048)
+                n = b.num_rows
+                seg = b.column(1).flatten().to_numpy().reshape(n, -1)
+                keys = [golay_keys(np.ascontiguousarray(s)) for s in seg.T]
+                rows, first, rest = [], [], []
+                for number, chosen in enumerate(combinations(range(seg.shape[1]), plan.combine)):
+                    k, t = keys[chosen[0]]
+                    at, k = np.nonzero(t)[0], k[t].astype(np.int64)
+                    if plan.second:
+                        k2, t2 = keys[chosen[1]]
+                        k, at = (((k[:, None] << plan.second) | (k2[at] >> shift))[t2[at]], np.repeat(at, t2.sum(1)[at]))
+                        new = H.distinct(at << 24 | k)
+                        at, k = new >> 24, new & ((1 << 24) - 1)
+                    rows.append(at)
+                    first.append((np.int64(number) << 24) | k)
+                    rest.append(seg[at][:, chosen[1:]])
+                rows.append(np.repeat(np.arange(n), plan.bands))
+                first.append(b.column(3).flatten().to_numpy())
+                rest.append(np.zeros((n * plan.bands, plan.combine - 1), np.int32))
+                rows = np.concatenate(rows)
+                order = np.argsort(rows, kind="stable")
+                at = pa.array(rows[order])
+                chk = b.column(2).flatten().to_numpy().reshape(n, -1)
+                rest = np.concatenate(rest)[order]
+                yield pa.record_batch(
+                    [pa.array(np.concatenate(first)[order]), b.column(0).take(at), *[pa.array(np.ascontiguousarray(c)).take(at) for c in chk.T], *[pa.array(np.ascontiguousarray(c)) for c in rest.T]],
+                    ["key", "node", *[f"c{j}" for j in range(chk.shape[1])], *[f"s{j}" for j in range(rest.shape[1])]],
+                )
+
+    return run
+
+
+def _whole_keys(first: np.ndarray, rest: np.ndarray, second: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of rows with the sorted first parts ``first`` and the segments ``rest``: keys, equal ones together, and
+    their rows. A negative ``first`` is a whole key."""
+    n = len(first)
     sets, first, rest = first[first < 0], first[first >= 0], rest[first >= 0]
-    ids, there = first[:, None], np.ones((len(first), 1), bool)
-    for s in rest.T:
+    # rows of equal first parts, numbered: small enough to sort keys and rows as one number
+    part = np.zeros(len(first), np.int64)
+    part[1:] = np.cumsum(first[1:] != first[:-1])
+    ids, there = part[:, None], np.ones((len(first), 1), bool)
+    for number, s in enumerate(rest.T):
         k, t = golay_keys(np.ascontiguousarray(s))
+        if number == 0 and second:
+            t &= (k >> (12 - second)) == (first & ((1 << second) - 1))[:, None]
         wide = ids.shape[1] * k.shape[1]  # in full: there may be no rows
         ids = ((ids[:, :, None] << 12) | k[:, None, :]).reshape(len(first), wide)
         there = (there[:, :, None] & t[:, None, :]).reshape(len(first), wide)
-    rows, ids = np.concatenate([np.arange(len(sets)), len(sets) + np.nonzero(there)[0]]), np.concatenate([sets, ids[there]])
-    order = np.argsort(ids, kind="stable")
-    return ids[order], rows[order]
+    bits = max(1, n.bit_length())
+    if len(first) and (int(part[-1]) + 1).bit_length() + 12 * rest.shape[1] + bits < 64:
+        packed = np.sort((ids << bits | np.arange(len(first))[:, None])[there])
+        keys, rows = packed >> bits, packed & ((1 << bits) - 1)
+    else:
+        keys, rows = ids[there], np.nonzero(there)[0]
+        order = np.argsort(keys, kind="stable")
+        keys, rows = keys[order], rows[order]
+    return np.concatenate([sets, keys]), np.concatenate([np.arange(len(sets)), len(sets) + rows])
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -288,27 +341,31 @@ def link(key: np.ndarray, node: np.ndarray, chk: np.ndarray, most: int, wide: in
     return np.stack([names[far], names[r[far]]], 1)
 
 
-def _link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links rows sorted by the first index of their keys."""
+def _linker(plan: Plan):
+    """Links rows sorted by the first parts of their keys."""
     words = CHECK // 64
-    for cols in _runs(batches, 1 << 16):
-        x = [c.to_numpy(zero_copy_only=False) for c in cols]
-        key, rows = _whole_keys(x[0], np.stack(x[2 + words :], 1))
-        # keys of one row link nothing
-        same = key[1:] == key[:-1]
-        several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        key, rows = key[several], rows[several]
-        e = link(key, x[1][rows], np.stack(x[2 : 2 + words], 1)[rows], MOST_DIFFERENT)
-        if len(e):
-            yield pa.record_batch([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
-
-
-def near_copies(nodes: DataFrame) -> DataFrame:
-    """(node, root) of all fingerprints (node, seg, chk) that have a near copy."""
-    words = "".join(f", c{j} bigint" for j in range(CHECK // 64)) + "".join(f", s{j} int" for j in range(COMBINE - 1))
-    keys = nodes.select("node", "seg", "chk", "sets").mapInArrow(_emit_keys, "key bigint, node bigint" + words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _runs(batches, 1 << 16):
+            x = [c.to_numpy(zero_copy_only=False) for c in cols]
+            key, rows = _whole_keys(x[0], np.stack(x[2 + words :], 1), plan.second)
+            # keys of one row link nothing
+            same = key[1:] == key[:-1]
+            several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            key, rows = key[several], rows[several]
+            e = link(key, x[1][rows], np.stack(x[2 : 2 + words], 1)[rows], MOST_DIFFERENT)
+            if len(e):
+                yield pa.record_batch([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+
+    return run
+
+
+def near_copies(nodes: DataFrame, plan: Plan) -> DataFrame:
+    """(node, root) of all fingerprints (node, seg, chk, sets), made by ``plan``, that have a near copy."""
+    words = "".join(f", c{j} bigint" for j in range(CHECK // 64)) + "".join(f", s{j} int" for j in range(plan.combine - 1))
+    keys = nodes.select("node", "seg", "chk", "sets").mapInArrow(_emitter(plan), "key bigint, node bigint" + words)
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_sorted, "a bigint, b bigint")
+    edges = keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linker(plan), "a bigint, b bigint")
     return connected_components(edges)
 
 
@@ -317,30 +374,34 @@ def _distinct_fingerprints(rows: DataFrame, order: list) -> DataFrame:
     return rows.groupBy("node").agg(F.first("seg").alias("seg"), F.first("chk").alias("chk"), F.first("sets").alias("sets"), F.min(F.struct(*order)).alias("least"), F.count("*").alias("n"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan | None = None) -> DataFrame:
     """(doc_id, kept_id): every row that a near copy replaces, and the document that stays for its group.
 
     Shuffled are fingerprints and keys, never texts. A row with a null id can be replaced; kept_id is null where a group
-    has no other ids.
+    has no other ids. Without a ``plan`` rows are counted first.
     """
+    plan = plan or Plan.of(docs.count())
     ided = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
-    rows, _ = write_table(with_fingerprints(ided, "text", "node", "seg", "chk", "sets", ["id"]))
+    rows, _ = write_table(with_fingerprints(ided, "text", "node", "seg", "chk", "sets", ["id"], plan))
     nodes = _distinct_fingerprints(rows, [F.col("id").isNull().alias("absent"), F.col("id").alias("id")])
-    found, _ = write_table(near_copies(nodes))
+    found, _ = write_table(near_copies(nodes, plan))
     groups = rows.select("id", "node").join(found, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     w = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last())
     ranked = groups.select("id", F.row_number().over(w).alias("place"), F.first("id").over(w).alias("kept_id"))
     return ranked.where("place > 1").select(F.col("id").alias("doc_id"), "kept_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan | None = None) -> DataFrame:
     """The rows of ``docs`` without near copies, with the same columns. Texts are shuffled once."""
+    plan = plan or Plan.of(docs.count())
     node, seg, chk, sets, least = fresh(docs, "__node", "__seg", "__chk", "__sets", "__least")
-    rows = with_fingerprints(docs, text_col, node, seg, chk, sets, docs.columns)
+    rows = with_fingerprints(docs, text_col, node, seg, chk, sets, docs.columns, plan)
     small = rows.select(col(id_col).alias("id"), F.col(node).alias("node"), F.col(seg).alias("seg"), F.col(chk).alias("chk"), F.col(sets).alias("sets"))
-    nodes, _ = write_table(_distinct_fingerprints(small, [F.col("id").isNull().alias("absent"), F.col("id").alias("id")]))
-    found, _ = write_table(near_copies(nodes))
+    nodes, nodes_path = write_table(_distinct_fingerprints(small, [F.col("id").isNull().alias("absent"), F.col("id").alias("id")]))
+    found, found_path = write_table(near_copies(nodes, plan))
     mine = nodes.select("node", "least").join(found, "node", "left").select("node", F.struct("least", "node").alias("rank"), F.coalesce("root", "node").alias("root"))
-    stays = mine.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.node").alias(node))
+    stays, _ = write_table(mine.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.node").alias(node)))
+    for path in (nodes_path, found_path):
+        remove_table(docs.sparkSession, path)
     w = Window.partitionBy(F.col(node)).orderBy(col(id_col).asc_nulls_last())
     return rows.drop(seg, chk, sets).join(stays, node).withColumn(least, F.row_number().over(w)).where(F.col(least) == 1).select(*[col(c) for c in docs.columns])

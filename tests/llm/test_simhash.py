@@ -78,11 +78,73 @@ def test_recall_up_to_the_threshold(make):
         assert want and got <= want and len(got) >= 0.95 * len(want), (n, share, len(got), len(want))
 
 
+def test_plans_for_larger_corpora(make):
+    """The numbers grow with the rows, and every plan finds the copies."""
+    assert S.Plan.of(0) == S.Plan.of(1_000_000) == S.Plan()
+    for n in (1 << 24, 10**9, 10**11):
+        p = S.Plan.of(n)
+        assert 12 * p.combine >= np.log2(n) and n * S.INDICES / 4096 / 2**p.second <= S.MEETING * 1.01 or p.second == 12
+        assert 1 - (1 - S.JACCARD**p.band_rows) ** p.bands >= 1 - S.MISSED
+    rng = random.Random(2)
+    rows = []
+    for k in range(300):
+        t = words(rng, 150)
+        rows += [(k, t, "s"), (1000 + k, edited(rng, t, rng.randint(1, 25)), "s")]
+    docs, want = make(rows), brute([r[:2] for r in rows])
+    for plan in (S.Plan(second=5), S.Plan(second=12), S.Plan(6, 3, 34, 5, 7)):
+        got = {(r.doc_id, r.kept_id) for r in S.near_duplicates(docs, plan=plan).collect()}
+        assert got <= want and len(got) >= 0.95 * len(want) > 0, plan
+    # without the bands the keys of a plan are the same, whatever part of them the rows meet by
+    seg, chk = S.fingerprints(pa.array([t for _, t, _ in rows]))
+    pairs = []
+    for second in (0, 5, 12):
+        plan = S.Plan(second=second)
+        flat = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
+        b = pa.record_batch([pa.array(np.arange(len(seg))), flat(seg), flat(chk.view(np.int64)), flat(S.set_keys(pa.array([t for _, t, _ in rows])))], ["node", "seg", "chk", "sets"])
+        t = pa.Table.from_batches(S._emitter(plan)(iter([b]))).sort_by("key")
+        key, at = S._whole_keys(t["key"].to_numpy(), t["s0"].to_numpy()[:, None], second)
+        node, found = t["node"].to_numpy()[at], set()
+        for i in np.flatnonzero(key[1:] == key[:-1]):
+            found.add((min(node[i], node[i + 1]), max(node[i], node[i + 1])))
+        pairs.append({x for x in found if x[0] != x[1]})
+    assert pairs[0] and len(pairs[0] ^ pairs[1]) <= 0.02 * len(pairs[0]) and len(pairs[0] ^ pairs[2]) <= 0.02 * len(pairs[0])
+
+
+def test_check_bits_measure_the_angle_between_sets_of_words():
+    """From the words alone: about arccos(cosine) / pi of the check bits differ."""
+    rng = random.Random(7)
+    for share in (0, 0.05, 0.1, 0.2, 0.4, 1):
+        off = []
+        for _ in range(60):
+            a = words(rng, 150).split()
+            b = [words(rng, 1) if rng.random() < share else w for w in a]
+            x, y = set(a), set(b)
+            angle = np.arccos(min(1, len(x & y) / np.sqrt(len(x) * len(y)))) / np.pi
+            _, chk = S.fingerprints(pa.array([" ".join(a), "\n ".join(rng.sample(b, len(b)) + b[:20])]))
+            off.append(int(S._apart(chk.view(np.int64)[0], chk.view(np.int64)[1])) / S.CHECK - angle)
+        assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.06
+
+
+def test_size_of_a_group_does_not_matter():
+    """Rows of one key give the same components by pairs and by blocks."""
+    rng = random.Random(5)
+    for n in (30, 49, 200):
+        base = [words(rng, 60) for _ in range(3)]
+        texts = [edited(rng, base[k % 3], rng.randint(0, 10)) for k in range(n)]
+        _, chk = S.fingerprints(pa.array(texts))
+        chk = chk.view(np.int64)
+        got = []
+        for wide in (1, 48, 1000):
+            e = S.link(np.zeros(n, np.int64), np.arange(n), chk, S.MOST_DIFFERENT, wide)
+            got.append(roots(e[:, 0], e[:, 1], n).tolist())
+        assert got[0] == got[1] == got[2]
+
+
 def test_keys_of_one_kind_only():
     sets = np.array([-9, -9, -4])
-    ids, rows = S._whole_keys(sets, np.zeros((3, S.COMBINE - 1), np.int32))
+    ids, rows = S._whole_keys(sets, np.zeros((3, S.Plan().combine - 1), np.int32))
     assert ids.tolist() == [-9, -9, -4] and rows.tolist() == [0, 1, 2]
-    ids, rows = S._whole_keys(np.array([-9, 5]), np.zeros((2, S.COMBINE - 1), np.int32))
+    ids, rows = S._whole_keys(np.array([-9, 5]), np.zeros((2, S.Plan().combine - 1), np.int32))
     assert ids[0] == -9 and (ids[1:] >= 0).all() and rows.tolist() == [0] + [1] * (len(ids) - 1)
 
 
