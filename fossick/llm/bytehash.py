@@ -45,6 +45,11 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+def forget() -> None:
+    """Drops the powers that were kept: some megabytes, made again in milliseconds."""
+    _powers.clear()
+
+
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of ``values[start:end]`` for every span; equal runs have equal hashes wherever they stand."""
     up, down = powers(len(values) + 1, which)

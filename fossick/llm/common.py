@@ -15,9 +15,11 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fossick.llm import bytehash
+
 #: Text bytes that one Arrow batch or one vectorised step may hold, but for a single longer text. A step holds some ten
 #: arrays of 8 bytes for each of them, in every worker of an executor.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = (1 << 20) - 1
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
@@ -113,7 +115,8 @@ def string_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def give_back() -> None:
-    """Returns the memory that a worker has freed: workers stay for the next tasks, also those of other stages."""
+    """Returns the memory that a task has taken: workers stay for the next tasks, also those of other stages."""
+    bytehash.forget()
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)

@@ -29,8 +29,11 @@ from fossick.llm.common import bound_batches, col, fresh, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words that a worker remembers before it starts afresh; only speed depends on it.
-REMEMBERED = 1 << 19
+#: Words that a worker remembers, some 250 bytes each: those of the last texts, and of as many words before them; only
+#: speed depends on it.
+REMEMBERED = 1 << 17
+#: Words that are encoded at once: the library's results take about a kilobyte a word.
+LEARNT = 1 << 12
 
 
 def fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -146,6 +149,7 @@ class Encoder:
         self.text = [p.replace(MARK, " ") for p, _, _ in pieces]
         self.user = {p.replace(MARK, " "): array("i", [i]).tobytes() for i, (p, _, k) in enumerate(pieces) if k == USER}
         self.ids: dict[str, bytes] = dict(self.user)
+        self.before: dict[str, bytes] = {}
         self.lossy: set[str] = set()
 
     def normalise(self, text: str) -> str:
@@ -155,6 +159,10 @@ class Encoder:
         return " " + text if self.model.dummy_prefix and text else text
 
     def _learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), LEARNT):
+            self._learn_some(words[i : i + LEARNT])
+
+    def _learn_some(self, words: list[str]) -> None:
         got = [e.ids for e in self.tokenizer.encode_batch_fast([w.replace(" ", MARK) for w in words], add_special_tokens=False)]
         text, special = self.text, self.bytes
         hard = []
@@ -172,11 +180,13 @@ class Encoder:
         """Ids of each text as int32 bytes, and whether they decode to the normalised text."""
         cut = [None if t is None else self.units(self.normalise(t)) for t in texts]
         words = set().union(*[c for c in cut if c])
+        if len(self.ids) > REMEMBERED // 2:
+            self.ids, self.before = dict(self.user), self.ids
+            self.lossy.intersection_update(self.before)
         new = words.difference(self.ids)
-        if len(self.ids) + len(new) > REMEMBERED:
-            self.ids, self.lossy = dict(self.user), set()
-            new = words.difference(self.ids)
-        if new:
+        known = new.intersection(self.before)
+        self.ids.update(zip(known, map(self.before.__getitem__, known), strict=True))
+        if new := new - known:
             self._learn(list(new))
         get, lossy = self.ids.__getitem__, self.lossy
         ids = [None if c is None else b"".join(map(get, c)) for c in cut]

@@ -83,3 +83,29 @@ def test_unigram_models(tmp_path, fallback):
     ids, _ = enc.encode(texts)
     for t, x in zip(texts, ids, strict=True):
         assert list(struct.unpack(f"<{len(x) // 4}i", x)) == sp.encode(t), t
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(1, "some text", 5, [1], True, "x"), (2, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, n_tokens int, token_ids array<int>, round_trip boolean, __text string")
+    keep = ("doc_id", "n_tokens", "token_ids", "round_trip", "__text", "text")
+    got = P.encode_documents(df, MODEL, keep=keep)
+    assert got.columns == [*keep, "_n_tokens", "_token_ids", "_round_trip"]
+    a, b = got.orderBy("doc_id").collect()
+    assert (a.n_tokens, a.token_ids, a.text, a["__text"]) == (5, [1], "some text", "x") and a["_n_tokens"] == len(a["_token_ids"]) > 0 and a["_round_trip"]
+    assert b["_token_ids"] is None and b["_n_tokens"] is None
+    back = P.decode_documents(got, MODEL, keep=("doc_id", "text"), ids_col="_token_ids")
+    assert back.columns == ["doc_id", "text", "_text"] and back.orderBy("doc_id").first()["_text"] == "some text"
+
+
+def test_what_is_remembered_does_not_matter(monkeypatch):
+    rng = random.Random(3)
+    texts = [words(rng, 200) + " é漢" for _ in range(40)]
+    want = P.Encoder(MODEL).encode(texts)
+    monkeypatch.setattr(P, "REMEMBERED", 500)
+    monkeypatch.setattr(P, "LEARNT", 7)
+    enc, got = P.Encoder(MODEL), ([], [])
+    for i in (*range(0, 40, 3), *range(0, 40, 3)):
+        for whole, part in zip(got, enc.encode(texts[i : i + 3]), strict=True):
+            whole += part
+    assert got == ([*want[0], *want[0]], [*want[1], *want[1]])
