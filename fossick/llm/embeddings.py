@@ -1,8 +1,9 @@
 """Embedding near-dedup by an inverted multi-index: independent codebooks on the two halves of a vector.
 
-k-means over all vectors gives each half ``k`` centroids; the pairs of them are the cells of a product grid. A vector's
-home is the cell of its two nearest centroids. As a query it visits cells in the order of the sum of its distances to
-both centroids (the multi-sequence order) until the chance that a vector at exactly the wanted similarity lives in a
+k-means over a sample (``TRAIN`` vectors a centroid, chosen by their hashes) gives each half ``k`` centroids; the pairs of
+them are the cells of a product grid, in which every vector is indexed. A vector's home is the cell of its two nearest
+centroids. As a query it visits cells in the order of the sum of its distances to both centroids, by a multi-sequence
+traversal that takes the next of the two sorted lists' sums step by step, until the chance that a vector at exactly the wanted similarity lives in a
 visited cell reaches ``RECALL``; since either vector of a pair may find the other, few pairs are missed. The chance
 comes from the query's margins to the borders of the cells, for a difference in any direction; the lists of nearest
 centroids grow until what lies beyond them can't matter. ``k`` grows as the root of the number of vectors, so a cell
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fossick.llm.common import bound_batches, col, write_table
+from fossick.llm.common import bound_batches, col, remove_table, write_table
 from fossick.llm.components import connected_components, roots
 from fossick.llm.lines import _runs
 
 DIM, COSINE, RECALL = 64, 0.95, 0.97
 OCCUPANCY, ROUNDS = 32, 3
+#: Vectors of the sample that the codebooks are fitted on, for each centroid.
+TRAIN = 256
 #: Rows of a cell that are compared all with all at once; longer ones go by ``_long_cell``.
 WIDE = 1024
 
@@ -63,15 +66,35 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def train_codebooks(nodes: DataFrame, n: int, dim: int) -> np.ndarray:
-    """(2, k, dim / 2) centroids after ``ROUNDS`` rounds of k-means over all vectors.
+    """(2, k, dim / 2) centroids after ``ROUNDS`` rounds of k-means over about ``TRAIN * k`` of ``n`` vectors.
 
-    What comes to the driver is the codebooks, which grow as the root of ``n``.
+    What comes to the driver is the codebooks, which grow as the root of ``n``. Sums travel as arrays, one a centroid and
+    task, and are added up in tasks that hold a part of the centroids.
     """
     half = dim // 2
     k = 1 << max(1, ceil(log2(sqrt(max(4.0, n / OCCUPANCY)))))
+    spark = nodes.sparkSession
     first = nodes.orderBy(F.xxhash64("node"), "node").limit(k).select("vec").collect()
     x = np.array([r[0] for r in first], np.float32)
     books = np.stack([x[:, :half], x[:, half:]])
+    share = TRAIN * k / n
+    sample, path = write_table(nodes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 20)) < ceil(share * (1 << 20))).select("vec") if share < 1 else nodes.select("vec"))
+
+    def rows(total: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        h, c = np.nonzero(count)
+        s = total[h, c]
+        return pa.record_batch([pa.array(h.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(count[h, c]), pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * half), pa.array(s.reshape(-1)))], ["h", "c", "n", "s"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros((2, k, half), np.float64), np.zeros((2, k), np.int64)
+        for b in batches:
+            h, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+            np.add.at(total, (h, c), _matrix(b.column(3), half))
+            np.add.at(count, (h, c), b.column(2).to_numpy())
+        yield rows(total, count)
+
+    kinds = "h int, c int, n bigint, s array<double>"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(ROUNDS):
         now = books
 
@@ -85,17 +108,14 @@ def train_codebooks(nodes: DataFrame, n: int, dim: int) -> np.ndarray:
                         own = _distances(part, now[h]).argmin(1)
                         np.add.at(total[h], own, part)
                         count[h] += np.bincount(own, minlength=now.shape[1])
-            h, c = np.nonzero(count)
-            s = total[h, c]
-            yield pa.record_batch([pa.array(h.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(count[h, c]), pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * half), pa.array(s.reshape(-1)))], ["h", "c", "n", "s"])
+            yield rows(total, count)
 
-        parts = nodes.select("vec").mapInArrow(partial, "h int, c int, n bigint, s array<double>")
-        parts = parts.select("h", "c", "n", F.posexplode("s").alias("d", "s")).groupBy("h", "c", "d").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-        got = parts.groupBy("h", "c").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("d", "s"))).alias("s")).select("h", "c", "n", F.col("s.s").alias("s")).toArrow()
+        got = sample.mapInArrow(partial, kinds).repartition(min(parts, max(1, k // 64)), "h", "c").mapInArrow(add, kinds).toArrow()
         books = now.copy()
         if got.num_rows:
-            s = np.array(got["s"].to_pylist())
+            s = _matrix(got["s"].combine_chunks(), half)
             books[got["h"].to_numpy(), got["c"].to_numpy()] = s / got["n"].to_numpy()[:, None]
+    remove_table(spark, path)
     return books
 
 
@@ -135,16 +155,25 @@ def visits(x: np.ndarray, books: np.ndarray, cosine: float = COSINE, recall: flo
     # a list position whose chance is nothing next to the target is of no use in any pair
     i, di, pi = (a[:, : max(1, int((pi > 1e-5).any(0).nonzero()[0].max(initial=0)) + 1)] for a in (i, di, pi))
     j, dj, pj = (a[:, : max(1, int((pj > 1e-5).any(0).nonzero()[0].max(initial=0)) + 1)] for a in (j, dj, pj))
-    cost = (di[:, :, None] + dj[:, None, :]).reshape(len(x), -1)
-    mass = (pi[:, :, None] * pj[:, None, :]).reshape(len(x), -1)
-    cell = (i[:, :, None].astype(np.int64) * k + j[:, None, :]).reshape(len(x), -1)
-    order = np.argsort(cost, axis=1, kind="stable")
-    mass = np.take_along_axis(mass, order, 1)
-    before = np.cumsum(mass, axis=1) - mass
-    wanted = (before < recall) & (mass > 0)
-    wanted[:, 0] = True
-    row, at = np.nonzero(wanted)
-    return row, np.take_along_axis(cell, order, 1)[row, at]
+    # every centroid of the first half has its next of the second; the least sum of all is the next cell of a row
+    after = np.concatenate([dj, np.full((len(x), 1), np.inf, dj.dtype)], 1)
+    at, cost, mass = np.zeros(di.shape, np.int64), di + dj[:, :1], np.zeros(len(x))
+    live = np.arange(len(x))
+    rows, cells = [], []
+    while len(live):
+        a = cost[live].argmin(1)
+        b = at[live, a]
+        chance = pi[live, a] * pj[live, b]
+        some = chance > 0 if rows else np.ones(len(live), bool)
+        rows.append(live[some])
+        cells.append((i[live, a].astype(np.int64) * k + j[live, b])[some])
+        mass[live] += chance
+        at[live, a] = b + 1
+        cost[live, a] = di[live, a] + after[live, b + 1]
+        live = live[(mass[live] < recall) & np.isfinite(cost[live].min(1))]
+    row, cell = np.concatenate(rows), np.concatenate(cells)
+    order = np.argsort(row, kind="stable")
+    return row[order], cell[order]
 
 
 def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,12 +302,14 @@ def near_vectors(nodes: DataFrame, dim: int = DIM, cosine: float = COSINE) -> Da
     books = train_codebooks(nodes, n, dim)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = nodes.select("node", "vec").mapInArrow(_emitter(books, dim, cosine), "cell bigint, node bigint, home boolean, code binary, scale float, err float")
-    found, _ = write_table(cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_linker(dim, cosine), "a bigint, b bigint, sure boolean"))
+    found, path = write_table(cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_linker(dim, cosine), "a bigint, b bigint, sure boolean"))
     open_ = found.where("NOT sure").select("a", "b").distinct()
     left, right = (nodes.select(F.col("node").alias(c), F.col("vec").alias(f"v{c}")) for c in "ab")
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     good = open_.join(left, "a").join(right, "b").where(dot >= cosine).select("a", "b")
-    return connected_components(found.where("sure").select("a", "b").unionAll(good))
+    out = connected_components(found.where("sure").select("a", "b").unionAll(good))
+    remove_table(spark, path)
+    return out
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", dim: int = DIM, cosine: float = COSINE) -> DataFrame:
@@ -289,8 +320,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     bound_batches(rows.sparkSession)
     src = rows.select(col(id_col).alias("id"), col(vec_col).cast("array<double>").alias("vec"))
     own, _ = write_table(_nodes(src, dim))
-    nodes, _ = write_table(own.groupBy("node").agg(F.first("vec").alias("vec")))
+    nodes, path = write_table(own.groupBy("node").agg(F.first("vec").alias("vec")))
     found, _ = write_table(near_vectors(nodes, dim, cosine))
+    remove_table(rows.sparkSession, path)
     groups = own.select("id", "node").join(found, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     w = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last())
     ranked = groups.select("id", F.row_number().over(w).alias("place"), F.first("id").over(w).alias("kept_id"))

@@ -40,6 +40,20 @@ def test_recall_and_precision(spark, spread):
     assert len(got & want) >= 0.95 * len(want)
 
 
+def test_driver_table_with_planted_copies(spark):
+    """The driver's vectors have no near copies; some are planted, exact and near ones, and one that isn't near enough."""
+    rng = np.random.default_rng(8)
+    rows = [(r.vec_id, np.array(r.embedding, np.float32)) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
+    assert not brute([i for i, _ in rows], np.stack([v for _, v in rows]))
+    for k, (i, v) in enumerate(rows[:120]):
+        d = rng.standard_normal(E.DIM)
+        rows.append((10_000 + i, (v + (0, 0.1, 0.25, 0.5)[k % 4] * d / np.linalg.norm(d)).astype(np.float32)))
+    want = brute([i for i, _ in rows], np.stack([v for _, v in rows]))
+    df = spark.createDataFrame([(i, v.tolist(), None, None) for i, v in rows], SCHEMA)
+    got = {tuple(r) for r in E.near_duplicates(df).collect()}
+    assert {a for a, _ in got} <= {a for a, _ in want} and len(got & want) >= 0.95 * len(want) and len(want) >= 90
+
+
 def test_visits_reach_the_recall(spark):
     rng = np.random.default_rng(5)
     x = clusters(rng, 4000, [], 0)
@@ -48,6 +62,10 @@ def test_visits_reach_the_recall(spark):
     books = np.stack([x[:64, :half], x[:64, half:]])
     row, cell = E.visits(x, books)
     home = E._distances(y[:, :half], books[0]).argmin(1) * 64 + E._distances(y[:, half:], books[1]).argmin(1)
+    # a row's cells come in the order of the sum of both distances, each once
+    far = E._distances(x[:, :half], books[0])[row, cell // 64] + E._distances(x[:, half:], books[1])[row, cell % 64]
+    same = row[1:] == row[:-1]
+    assert (np.diff(row) >= 0).all() and (far[1:] >= far[:-1] - 1e-4)[same].all() and len(np.unique(row * 4096 + cell)) == len(row)
     reached = np.zeros(len(x), bool)
     np.logical_or.at(reached, row, cell == home[row])
     assert reached.mean() >= 0.9
