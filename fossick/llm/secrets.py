@@ -8,10 +8,13 @@ same content (cycle detection); the list runs empty at the fixpoint. Every layer
 carries its span in the original text. Content that stands at several places is worked through once: what was found in
 it is mapped to each of them.
 
-A compressed layer of more than ``MOST_BYTES`` isn't unpacked further: it is reported as ``oversized_layer`` itself.
+A compressed layer of more than ``MOST_BYTES`` is reported as ``oversized_layer`` and unpacked in windows of ``WINDOW``
+bytes, of which each holds the last ``OVERLAP`` of the one before; every window is scanned like a text of its own, so
+memory stays bounded and only what is encoded over more than the overlap may be cut.
 
 Defined results: a null or empty text has no findings; a null id is carried along; repeated rows are each reported; the
-same secret found again through another layer at the same span is one finding, with the shortest chain of layers.
+same secret found again through another layer at the same span is one finding, with the shortest chain of layers;
+different secrets of one span, such as those of a compressed layer, are each reported.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 import zstandard
@@ -34,8 +38,9 @@ from pyspark.sql import functions as F
 
 from fossick.llm.common import bound_batches, col, slices
 
-#: Most bytes that one compressed layer may unpack to.
-MOST_BYTES = 256 << 20
+#: Most bytes that one compressed layer may unpack to at once; a larger one is unpacked in windows.
+MOST_BYTES = 64 << 20
+WINDOW, OVERLAP = 8 << 20, 64 << 10
 #: Characters of the shortest string that a rule matches.
 LEAST_SECRET = 12
 #: Shortest base64 run that is decoded, without its pads.
@@ -50,7 +55,22 @@ RULES: dict[str, str] = {
     "json_web_token": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+",
     "assigned_secret": r"(?i:(?<![a-z])(?:api[_-]?key|token|secret|password|passwd|pwd|access[_-]?key))[\"']?[ \t]{0,8}[:=][ \t]{0,8}[\"']?[A-Za-z0-9+/_.~-]{8,}",
 }
-_SCAN = re.compile("|".join(f"(?P<{k}>{v})" for k, v in RULES.items()))
+#: What a text that matches a rule holds, in lower case: looking for it takes a fraction of the time of the rules.
+_MARKS = {"aws_access_key": ("akia", "asia"), "github_token": ("gh",), "slack_token": ("xox",), "google_api_key": ("aiza",), "private_key": ("private key-----",), "json_web_token": ("eyj",), "assigned_secret": ("key", "token", "secret", "passw", "pwd")}
+
+
+@cache
+def _rules(names: tuple[str, ...]) -> re.Pattern:
+    return re.compile("|".join(f"(?P<{k}>{RULES[k]})" for k in names))
+
+
+def _direct(text: str) -> list[tuple[str, int, int, str]]:
+    """(rule, start, end, hash) of the secrets that stand in a text."""
+    low = text.lower()
+    names = tuple(k for k in RULES if any(m in low for m in _MARKS[k]))
+    return [(m.lastgroup, *m.span(), _sha(m.group())) for m in _rules(names).finditer(text)] if names else []
+
+
 #: A text that this doesn't find has neither secret nor layer: built-in filter ahead of Python. Java syntax.
 CANDIDATE = (
     rf"%[0-9A-Fa-f]{{2}}|\\u[0-9A-Fa-f]{{4}}|\\x[0-9A-Fa-f]{{2}}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_RUN}}}|AKIA|ASIA|gh[pousr]_|xox[abposr]-|AIza|PRIVATE KEY-----|eyJ"
@@ -59,6 +79,7 @@ CANDIDATE = (
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:(?:[A-Za-z0-9+/]{{60,76}}\r?\n)+[A-Za-z0-9+/]{{1,76}}|[A-Za-z0-9+/_-]{{{LEAST_RUN},}})={{0,2}}")
+_COMMON = re.compile(r"[\t\n\r -~]+")
 _MAGIC = ((b"\x1f\x8b", "gzip"), (b"x\x01", "zlib"), (b"x\x5e", "zlib"), (b"x\x9c", "zlib"), (b"x\xda", "zlib"), (b"\x28\xb5\x2f\xfd", "zstd"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"))
 
 Span = tuple[int, int]
@@ -155,14 +176,57 @@ def _unpack(b: bytes, kind: str) -> bytes | None:
     return b"".join(out) or None
 
 
+def _stream(b: bytes, kind: str | None) -> Iterator[bytes]:
+    """What all members of compressed bytes hold, some megabytes at a time, as far as they are whole."""
+    piece = 1 << 20
+    while kind:
+        try:
+            if kind == "zstd":
+                d, i = zstandard.ZstdDecompressor().decompressobj(), 0
+                while i < len(b) and not d.eof:
+                    yield d.decompress(b[i : i + 1024])
+                    i += 1024
+                b = d.unused_data + b[i:] if d.eof else b""
+            elif kind in ("gzip", "zlib"):
+                d = zlib.decompressobj(31 if kind == "gzip" else 15)
+                while b and not d.eof:
+                    yield d.decompress(b, piece)
+                    b = d.unconsumed_tail
+                b = d.unused_data
+            else:
+                d, give = {"bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[kind](), b
+                while not d.eof and (give or not d.needs_input):
+                    yield d.decompress(give, piece)
+                    give = b""
+                b = d.unused_data
+        except (zlib.error, zstandard.ZstdError, OSError, EOFError, lzma.LZMAError, ValueError):
+            return
+        b = b.lstrip(b"\0")
+        kind = _magic(b)
+
+
+def _windows(b: bytes, kind: str) -> Iterator[str]:
+    """The layer's text, window by window."""
+    held = bytearray()
+    for part in _stream(b, kind):
+        held += part
+        while len(held) >= WINDOW:
+            yield bytes(held[:WINDOW]).decode("utf-8", "replace")
+            del held[: WINDOW - OVERLAP]
+    if held:
+        yield bytes(held).decode("utf-8", "replace")
+
+
 def _as_text(b: bytes) -> str | None:
     """Bytes as text if they are UTF-8 and nearly all of it can be printed."""
     try:
         s = b.decode()
     except UnicodeDecodeError:
         return None
-    odd = sum(not (c.isprintable() or c in "\t\n\r") for c in s)
-    return s if s and odd * 10 <= len(s) else None
+    if s.isprintable():
+        return s or None
+    odd = sum(not c.isprintable() for c in _COMMON.sub("", s))
+    return s if odd * 10 <= len(s) else None
 
 
 class _Layer:
@@ -172,9 +236,9 @@ class _Layer:
         self.content, self.mark = content, mark
         self.direct: list[tuple[str, int, int, str]] = []
         self.children: list[tuple[_Layer, str, Mapper]] = []
-        self.found: dict[tuple[str, int, int], tuple[int, str, str]] = {}
+        self.found: dict[tuple[str, int, int, str], tuple[int, str]] = {}
 
-    def report(self, key: tuple[str, int, int], new: tuple[int, str, str]) -> None:
+    def report(self, key: tuple[str, int, int, str], new: tuple[int, str]) -> None:
         if key not in self.found or new < self.found[key]:
             self.found[key] = new
 
@@ -191,6 +255,10 @@ def _open(node: _Layer) -> tuple[list[tuple[str, int, int, str]], list[tuple[str
         try:
             inner = _unpack(layer, kind) if kind else None
         except OverflowError:
+            for window in _windows(layer, kind):
+                for rule, _, _, chain, sha in scan_text(window):
+                    chain = f"{kind}>{chain}" if chain else kind
+                    node.report((rule, 0, 1, sha), (chain.count(">") + 1, chain))
             return [("oversized_layer", 0, 1, _sha(node.mark.hex()))], []
         if inner is not None:
             out.append((_as_text(inner) or inner, kind, lambda s, e: (0, 1)))
@@ -201,8 +269,8 @@ def _open(node: _Layer) -> tuple[list[tuple[str, int, int, str]], list[tuple[str
                 for name in ("utf-16-le", "utf-16-be"):
                     out.append((layer.decode(name, "replace"), name, lambda s, e: (0, len(layer))))
         return [], out
-    for name, pattern, decode in (("url", _URL, _url), ("unicode", _UNICODE, _unicode)):
-        if child := _rewrite(layer, pattern, decode):
+    for name, mark, pattern, decode in (("url", "%", _URL, _url), ("unicode", "\\", _UNICODE, _unicode)):
+        if mark in layer and (child := _rewrite(layer, pattern, decode)):
             out.append((child[0], name, child[1]))
     for m in _BASE64.finditer(layer):
         raw = _debase(m.group())
@@ -214,7 +282,7 @@ def _open(node: _Layer) -> tuple[list[tuple[str, int, int, str]], list[tuple[str
             out.append((inner, "base64", lambda s, e, s0=s0, e0=e0: (s0 + s // 3 * 4, min(e0, s0 - (-e // 3) * 4))))
         else:
             out.append((raw if inner is None else inner, "base64", lambda s, e, s0=s0, e0=e0: (s0, e0)))
-    return [(m.lastgroup, *m.span(), _sha(m.group())) for m in _SCAN.finditer(layer)], out
+    return _direct(layer), out
 
 
 def scan_text(text: str | None) -> list[tuple[str, int, int, str, str]]:
@@ -252,14 +320,14 @@ def scan_text(text: str | None) -> list[tuple[str, int, int, str, str]]:
             work += [(child, False) for child, _, _ in node.children]
             continue
         for rule, s, e, sha in node.direct:
-            node.report((rule, s, e), (0, "", sha))
+            node.report((rule, s, e, sha), (0, ""))
         for child, name, mapper in node.children:
             if id(child) in done:
-                for (rule, s, e), (n, chain, sha) in child.found.items():
-                    node.report((rule, *mapper(s, e)), (n + 1, f"{name}>{chain}" if chain else name, sha))
+                for (rule, s, e, sha), (n, chain) in child.found.items():
+                    node.report((rule, *mapper(s, e), sha), (n + 1, f"{name}>{chain}" if chain else name))
         open_.discard(id(node))
         done.add(id(node))
-    return sorted((rule, s, e, chain, sha) for (rule, s, e), (_, chain, sha) in top.found.items())
+    return sorted((rule, s, e, chain, sha) for (rule, s, e, sha), (_, chain) in top.found.items())
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
