@@ -10,7 +10,8 @@ chance of at least 1 - (1 - 0.7**5)**16 = 0.947, short ones of 1 - (1 - 0.6**5)*
 the same least node are looked at together. Every candidate pair is verified by its exact Jaccard similarity, unless its
 lines are linked already. Of each component the occurrence in the least (doc_id, line number) stays; all others go.
 
-Shuffled are keys and node ids (16 bytes a band), every line's text once, and the texts of candidates.
+Shuffled are keys and node ids (16 bytes a band), every line's text once, and the texts of candidates. A task passes a line
+on once, however often it stands in its texts, so a line that a third of all texts hold comes about once from each task.
 
 Defined results: null and empty texts have no lines; a null doc_id sorts last; a repeated row (same id, same text) keeps
 the lines that its twin keeps; lines of tens of thousands of characters are hashed whole.
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fossick.llm import bytehash as H
-from fossick.llm.common import bound_batches, col, fresh, give_back, slices, string_buffers, write_table
+from fossick.llm.common import bound_batches, col, fresh, give_back, remove_table, slices, string_buffers, write_table
 from fossick.llm.components import connected_components, roots
 
 SHINGLE, BANDS, ROWS, JACCARD = 5, 16, 5, 0.7
 TINY, SHORT, SHORT_BANDS, SHORT_ROWS, SHORT_JACCARD = 20, 64, 8, 4, 0.6
 #: Most shingles of a line that can be similar to one with fewer than SHORT and isn't by JACCARD.
 SHORT_PARTNER = int(SHORT / SHORT_JACCARD)
+#: Places of the table of nodes that a task has met; a power of two.
+SEEN = 1 << 18
 #: Bytes of lines whose hashes a processor's cache holds.
 BLOCK_BYTES = 1 << 17
 #: Bytes of lines whose sets a task holds at once, but for a larger group.
@@ -134,12 +137,30 @@ def band_keys(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarra
     return np.concatenate(keys), np.concatenate([np.repeat(np.arange(len(s)), BANDS), np.repeat(np.concatenate(few), SHORT_BANDS)])
 
 
+class _Seen:
+    """Which nodes a task has met: each has one place in a table of fixed size, where the last of its place stands. A line
+    that stands everywhere is so passed on about once a task and not once a text; one that lost its place is again."""
+
+    def __init__(self) -> None:
+        self.table = ~np.arange(SEEN)  # what no node of the place is
+
+    def new(self, ids: np.ndarray) -> np.ndarray:
+        """Where the nodes that weren't met first stand, in order."""
+        at = np.sort(np.unique(ids, return_index=True)[1])
+        ids = ids[at]
+        place = ids & (SEEN - 1)
+        at = at[self.table[place] != ids]
+        self.table[place] = ids
+        return at
+
+
 def _emit_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = _Seen()
     for b in slices(batches, "text"):
         data, offs = string_buffers(b.column(0))
         _, _, s, e = line_spans(data, offs)
         ids = node_ids(data, s, e)
-        at = np.sort(np.unique(ids, return_index=True)[1])
+        at = seen.new(ids)
         keys, line = band_keys(data, s[at], e[at])
         yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(ids[at][line])], ["key", "node"])
 
@@ -313,11 +334,13 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = _Seen()
     for b in slices(batches, "text"):
         data, offs = string_buffers(b.column(0))
         _, _, s, e = line_spans(data, offs)
-        node, at = np.unique(node_ids(data, s, e), return_index=True)
-        s, e = s[at], e[at]
+        node = node_ids(data, s, e)
+        at = seen.new(node)
+        node, s, e = node[at], s[at], e[at]
         flat = data[H.ragged(s, e - s)]
         ends = np.concatenate([[0], np.cumsum(e - s)]).astype(np.int32)
         line = pa.StringArray.from_buffers(len(s), pa.py_buffer(ends), pa.py_buffer(flat.tobytes()))
@@ -332,10 +355,12 @@ def similar_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keys = text.mapInArrow(_emit_bands, "key bigint, node bigint")
     members = keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_members, "grp bigint, node bigint, bands int")
     members = members.groupBy("grp", "node").agg(F.bit_or("bands").alias("bands"))
-    members, _ = write_table(members)
+    members, path = write_table(members)
     lines = text.mapInArrow(_texts, "node bigint, line string").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("line").alias("line"))
     pairs = members.join(lines, "node").select("grp", "bands", "node", "line").repartition(n, "grp").sortWithinPartitions("grp")
-    return connected_components(pairs.mapInArrow(_verify, "a bigint, b bigint"))
+    out = connected_components(pairs.mapInArrow(_verify, "a bigint, b bigint"))
+    remove_table(docs.sparkSession, path)
+    return out
 
 
 def _row_key(docs: DataFrame, id_col: str, text_col: str):

@@ -126,6 +126,16 @@ def test_size_of_a_group_does_not_matter():
         assert (roots(e[:, 0], e[:, 1], len(names)) == want).all()
 
 
+def test_a_task_passes_on_a_line_once():
+    rng = random.Random(6)
+    texts = [f"{words(rng, 12)}\nthis boilerplate stands in every text of the table\n{words(rng, 12)}" for _ in range(3000)]
+    batches = [L.pa.record_batch([L.pa.array(texts[i : i + 100])], ["text"]) for i in range(0, 3000, 100)]
+    lines = [x for b in L._texts(iter(batches)) for x in b.column(1).to_pylist()]
+    assert len(lines) < 6001 + 50 and len(set(lines)) == 6001
+    nodes = np.concatenate([b.column(1).to_numpy() for b in L._emit_bands(iter(batches))])
+    assert len(np.unique(nodes)) == 6001
+
+
 def test_drop_lines(make):
     rows = [(1, "a line that is kept\nanother line here", "s"), (2, "  a line that is kept \n\nown line of two", "s"), (None, "another line here", "s"), (3, "own line of three\n\n", "s")]
     got = {r.doc_id: r for r in L.drop_lines(make(rows)).collect()}
