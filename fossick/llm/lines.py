@@ -7,10 +7,13 @@ shingles or more, but fewer than ``SHORT``: so one changed character is found in
 word of five letters in those of 40 or more, and a few words alone ("chapter one") must agree nearly. ``BANDS`` bands of ``ROWS`` minima make the keys of a line, ``SHORT_BANDS`` of ``SHORT_ROWS``
 come on top for lines that may have a short partner. Nodes that share a key are candidates; similar ones share one with a
 chance of at least 1 - (1 - 0.7**5)**16 = 0.947, short ones of 1 - (1 - 0.6**5)**16 * (1 - 0.6**4)**8 = 0.91. Keys with
-the same least node are looked at together. Every candidate pair is verified by its exact Jaccard similarity, unless its
-lines are linked already. Of each component the occurrence in the least (doc_id, line number) stays; all others go.
+the same least node are looked at together. Lines of one language share keys by chance, in proportion to the square of their
+number; so every key carries a sketch, a bit of each of 63 minima, and only lines of a key whose sketches are near, directly or
+through others of the key, stay together: a similar pair is lost with a chance of about 0.001 (0.003 for short lines), and
+nine and more in ten of the others go before their texts are looked at. Every candidate pair is verified by its exact Jaccard
+similarity, unless its lines are linked already. Of each component the occurrence in the least (doc_id, line number) stays; all others go.
 
-Shuffled are keys and node ids (16 bytes a band), every line's text once, and the texts of candidates. A task passes a line
+Shuffled are keys, node ids and sketches (24 bytes a band), every line's text once, and the texts of candidates. A task passes a line
 on once, however often it stands in its texts, so a line that a third of all texts hold comes about once from each task.
 
 Defined results: null and empty texts have no lines; a null doc_id sorts last; a repeated row (same id, same text) keeps
@@ -34,6 +37,11 @@ SHINGLE, BANDS, ROWS, JACCARD = 5, 16, 5, 0.7
 TINY, SHORT, SHORT_BANDS, SHORT_ROWS, SHORT_JACCARD = 20, 64, 8, 4, 0.6
 #: Most shingles of a line that can be similar to one with fewer than SHORT and isn't by JACCARD.
 SHORT_PARTNER = int(SHORT / SHORT_JACCARD)
+#: Bits of a sketch, and most different ones of similar lines: of a similarity of 0.7 some 9 of those outside the shared band
+#: differ, of 0.6 (both lines short) some 12, with standard deviations of 3.
+SKETCH, SKETCH_APART, SHORT_APART = 63, 17, 21
+#: Rows of a key up to which all pairs of sketches are compared side by side with those of other keys.
+WIDE = 32
 #: Places of the table of nodes that a task has met; a power of two.
 SEEN = 1 << 18
 #: Bytes of lines whose hashes a processor's cache holds.
@@ -112,8 +120,16 @@ def _mixed(minima: np.ndarray, bands: int, first: int) -> np.ndarray:
     return keys
 
 
-def band_keys(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all lines, and the line of each."""
+def _sketches(minima: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """A bit of each of SKETCH rows of the minima, and above them whether a line may have a short partner."""
+    out = short.astype(np.uint64) << _U(SKETCH)
+    for bit, r in enumerate(np.arange(SKETCH) * len(minima) // SKETCH):
+        out |= (minima[r] * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint64) << _U(bit)
+    return out
+
+
+def band_keys(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all lines and the line of each; the lines' sketches."""
     long, short, few = np.empty((BANDS * ROWS, len(s)), np.uint32), [np.empty((SHORT_BANDS * SHORT_ROWS, 0), np.uint32)], [np.zeros(0, np.int64)]
     # lines in order, in blocks that stay in the cache
     size = np.cumsum(e - s)
@@ -134,7 +150,10 @@ def band_keys(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarra
             _minima(h[np.repeat(own, n)], np.cumsum(m) - m, _A[len(long) :], short[-1])
         i = j
     keys = [_mixed(long, BANDS, 0).reshape(-1), _mixed(np.concatenate(short, 1), SHORT_BANDS, BANDS).reshape(-1)]
-    return np.concatenate(keys), np.concatenate([np.repeat(np.arange(len(s)), BANDS), np.repeat(np.concatenate(few), SHORT_BANDS)])
+    few = np.concatenate(few)
+    brief = np.zeros(len(s), bool)
+    brief[few] = True
+    return np.concatenate(keys), np.concatenate([np.repeat(np.arange(len(s)), BANDS), np.repeat(few, SHORT_BANDS)]), _sketches(long, brief)
 
 
 class _Seen:
@@ -161,8 +180,8 @@ def _emit_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, s, e = line_spans(data, offs)
         ids = node_ids(data, s, e)
         at = seen.new(ids)
-        keys, line = band_keys(data, s[at], e[at])
-        yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(ids[at][line])], ["key", "node"])
+        keys, line, sketch = band_keys(data, s[at], e[at])
+        yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(ids[at][line]), pa.array(sketch.view(np.int64)[line])], ["key", "node", "sketch"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.Array]]:
@@ -184,25 +203,58 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.Arra
     give_back()
 
 
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sketches are as near as those of similar lines."""
+    return np.bitwise_count((x ^ y) & _U((1 << SKETCH) - 1)) <= np.where((x & y) >> _U(SKETCH), np.uint8(SHORT_APART), np.uint8(SKETCH_APART))
+
+
+def _parts(begin: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """For each row the first one of its key that near sketches lead to, over others of the key too."""
+    n = len(sketch)
+    first = np.arange(n)
+    left = np.repeat(begin + size, size) - first - 1  # rows behind this one under the same key
+    i = np.flatnonzero(np.repeat(size <= WIDE, size) & (left > 0))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    d = 1
+    while len(i):
+        hit = i[_near(sketch[i], sketch[i + d])]
+        a.append(hit)
+        b.append(hit + d)
+        d += 1
+        i = i[left[i] >= d]
+    first = roots(np.concatenate(a), np.concatenate(b), n)
+    for s, m in zip(begin[size > WIDE], size[size > WIDE], strict=True):
+        rest = np.arange(s, s + m)
+        while len(rest):
+            start, front, rest = rest[0], rest[:1], rest[1:]
+            while len(front) and len(rest):
+                step = max(1, min(32, (1 << 18) // len(rest)))
+                hit = _near(sketch[front[:step], None], sketch[None, rest]).any(0)
+                first[rest[hit]] = start
+                front, rest = np.concatenate([front[step:], rest[hit]]), rest[~hit]
+    return first
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of keys with several nodes: (their least node, node, a bit for the band), for the least node too."""
-    for key, node in _runs(batches, 1 << 18):
-        key, node = key.to_numpy(), node.to_numpy()
+    """Of the nodes of a key that near sketches hold together, if several: (their least node, node, a bit for the band), for
+    the least node too."""
+    for key, node, sketch in _runs(batches, 1 << 18):
+        key, node, sketch = key.to_numpy(), node.to_numpy(), sketch.to_numpy().view(np.uint64)
         # rows that are alone under their key are most
         same = key[1:] == key[:-1]
         some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        key, node = key[some], node[some]
+        key, node, sketch = key[some], node[some], sketch[some]
         if not len(key):
             continue
         order = np.lexsort((node, key))
-        key, node = key[order], node[order]
+        key, node, sketch = key[order], node[order], sketch[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        key, node = key[new], node[new]
+        key, node, sketch = key[new], node[new], sketch[new]
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(begin, len(key)))
-        several = np.repeat(size > 1, size)
-        yield pa.record_batch([pa.array(np.repeat(node[begin], size)[several]), pa.array(node[several]), pa.array(np.int32(1) << (key[several] & 31).astype(np.int32))], ["grp", "node", "bands"])
+        first = _parts(begin, np.diff(np.append(begin, len(key))), sketch)
+        several = np.bincount(first, minlength=len(key))[first] > 1
+        yield pa.record_batch([pa.array(node[first][several]), pa.array(node[several]), pa.array(np.int32(1) << (key[several] & 31).astype(np.int32))], ["grp", "node", "bands"])
 
 
 class _Sets:
@@ -352,7 +404,7 @@ def similar_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     bound_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = docs.select(col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    keys = text.mapInArrow(_emit_bands, "key bigint, node bigint")
+    keys = text.mapInArrow(_emit_bands, "key bigint, node bigint, sketch bigint")
     members = keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_members, "grp bigint, node bigint, bands int")
     members = members.groupBy("grp", "node").agg(F.bit_or("bands").alias("bands"))
     members, path = write_table(members)

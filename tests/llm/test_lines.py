@@ -136,6 +136,44 @@ def test_a_task_passes_on_a_line_once():
     assert len(np.unique(nodes)) == 6001
 
 
+def test_lines_that_share_a_key_by_chance_go_before_their_texts_are_read():
+    """Of lines in a language of few syllables, nearly only those with a similar one are members of a group."""
+    rng = random.Random(8)
+    syllables = ["the", "an", "ing", "tion", "er", "ou", "nd", "sh", "ha", "ble", "ly", "st", "in", "or", "wh", "ed"]
+    line = lambda n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    names = [line(rng.randint(20, 60)) for _ in range(6000)]
+    copies = [edited(rng, x, 1) for x in names[:300]]
+    b = L.pa.record_batch([L.pa.array(["\n".join(names), "\n".join(copies)])], ["text"])
+    keys = L.pa.Table.from_batches(list(L._emit_bands(iter([b])))).sort_by("key")
+    members = L.pa.Table.from_batches(list(L._members(iter(keys.to_batches())))).to_pandas()
+    data, offs = L.string_buffers(L.pa.array(names + copies))
+    node = L.node_ids(data, offs[:-1], offs[1:])
+    chance = set(members.node) & set(node[300:6000])
+    assert len(chance) < 150, len(chance)
+    groups = members.groupby("node").grp.agg(set)
+    alike = L._Sets(L.pa.array(names + copies)).alike(np.arange(300), np.arange(6000, 6300))
+    met = [bool(groups.get(node[k], set()) & groups.get(node[6000 + k], set())) for k in range(300)]
+    assert alike.sum() > 250 and np.mean(np.array(met)[alike]) >= 0.97
+
+
+def test_parts_of_a_key():
+    """Near sketches hold rows together, over others too; keys of any size are treated alike."""
+    rng = np.random.Generator(np.random.PCG64(1))
+    bit = lambda *k: np.bitwise_or.reduce([np.uint64(1) << np.uint64(i) for i in k])
+    for copies in (2, 40):
+        base = rng.integers(0, 1 << 63, copies * 4, dtype=np.uint64)
+        base[1] = base[0] ^ bit(*range(17))
+        base[2] = base[1] ^ bit(*range(17, 34))
+        base[3] = base[0] ^ bit(*range(40, 63))
+        begin, size = np.array([0, len(base)]), np.array([len(base), len(base)])
+        x, y = np.nonzero(L._near(base[:, None], base[None, :]))
+        want = roots(x, y, len(base))
+        assert want[2] == 0 and not L._near(base[0], base[2])
+        assert (L._parts(begin, size, np.concatenate([base, base])) == np.concatenate([want, want + len(base)])).all()
+    low = bit(*range(21))
+    assert not L._near(low, bit(62) ^ bit(62)) and L._near(low | bit(63), bit(63)) and not L._near(low | bit(63), bit(62) ^ bit(62))
+
+
 def test_drop_lines(make):
     rows = [(1, "a line that is kept\nanother line here", "s"), (2, "  a line that is kept \n\nown line of two", "s"), (None, "another line here", "s"), (3, "own line of three\n\n", "s")]
     got = {r.doc_id: r for r in L.drop_lines(make(rows)).collect()}
