@@ -1,7 +1,8 @@
 """SimHash near-dedup with Golay-code fuzzy hashing.
 
-A fingerprint has two parts. ``SEGMENTS`` segments of 23 bits come from the words as often as they occur; they make the
-keys. ``CHECK`` further bits come from the set of words; they verify. The (23, 12) Golay code is perfect: any 23-bit
+A fingerprint has two parts. ``SEGMENTS`` segments of 23 bits come from the pairs of neighbouring words as often as they
+occur; they make the keys. Single words would not do: those of a language's commonest words decide most bits, so its texts
+share their keys and the pairs under them grow with the square of the corpus. ``CHECK`` further bits come from the set of words; they verify. The (23, 12) Golay code is perfect: any 23-bit
 word lies within 3 errors of exactly one codeword. A segment's keys are the 12-bit indices that it and its 23
 neighbours decode to, at most six; two segments with at most two different bits share one of them. With four segments,
 fingerprints with up to 8 different bits leave at least two segments with at most two (pigeonhole), and those with more
@@ -165,8 +166,16 @@ def fingerprints(texts: pa.Array, segments: int = 4, check: int = CHECK) -> tupl
     return _fingerprints(*_word_sets(texts), segments, check)
 
 
+def _neighbours(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash for each word and the one behind it in its text; the last word of a text stands alone."""
+    after = np.zeros_like(h)
+    after[:-1] = h[1:]
+    after[at[1:][np.diff(at) > 0] - 1] = 0
+    return H.mix(h * _U(0x9E3779B97F4A7C15) + after)
+
+
 def _fingerprints(h: np.ndarray, at: np.ndarray, own: np.ndarray, own_at: np.ndarray, segments: int, check: int = CHECK) -> tuple[np.ndarray, np.ndarray]:
-    a = _majorities(h, at, -(-23 * segments // 64))
+    a = _majorities(_neighbours(h, at), at, -(-23 * segments // 64))
     seg = np.stack([a[:, 23 * i : 23 * (i + 1)] @ (1 << np.arange(23)) for i in range(segments)], 1).astype(np.int32)
     b = _majorities(own, own_at, check // 64)
     return seg, np.packbits(b, axis=1, bitorder="little").view(np.uint64).reshape(len(b), check // 64)

@@ -140,6 +140,24 @@ def test_size_of_a_group_does_not_matter():
         assert got[0] == got[1] == got[2]
 
 
+def test_texts_of_one_language_do_not_share_their_segments():
+    """Common words, half of each text, don't make the keys of texts that have nothing else in common."""
+    rng = random.Random(4)
+    common = words(rng, 8).split()
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.5 else words(rng, 1) for _ in range(80)) for _ in range(1500)]
+    near = [edited(rng, t, 2) for t in texts[:200]]
+    seg, _ = S.fingerprints(pa.array(texts + near))
+    shared = np.zeros((len(seg), len(seg)), np.uint8)
+    for s in seg.T:
+        ids, there = S.golay_keys(np.ascontiguousarray(s))
+        has = np.zeros((len(seg), 4096), np.float32)
+        has[np.nonzero(there)[0], ids[there]] = 1
+        shared += has @ has.T > 0
+    x, y = np.triu_indices(1500, 1)
+    assert np.count_nonzero(shared[x, y] >= 2) < 4000  # of 1,124,250; some 300 are expected of random segments
+    assert np.mean(shared[np.arange(200), np.arange(1500, 1700)] >= 2) > 0.8
+
+
 def test_keys_of_one_kind_only():
     sets = np.array([-9, -9, -4])
     ids, rows = S._whole_keys(sets, np.zeros((3, S.Plan().combine - 1), np.int32))
