@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import duckdb
@@ -98,3 +99,23 @@ def test_empty_and_messy(spark, nothing, messy):
             assert name == NAMES[-1] or df.columns == columns
     ids = [r.doc_id for r in df.collect()]
     assert {1, 7, 9} <= set(ids)
+
+
+def test_line_dedup_verifies_few_lines_that_share_a_key_by_chance(spark, make, monkeypatch):
+    """The second stage, in a language of few syllables: what goes on to be verified doesn't grow with the square of the lines."""
+    rng = random.Random(12)
+    syllables = ["the", "an", "ing", "tion", "er", "ou", "nd", "sh", "ha", "ble", "ly", "st", "in", "or", "wh", "ed"]
+    line = lambda: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(20, 60)))
+    write, sizes = test_lines.L.write_table, []
+
+    def counted(df):
+        out = write(df)
+        if df.columns == ["grp", "node", "bands"]:
+            sizes.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(test_lines.L, "write_table", counted)
+    for n in (200, 800):
+        rows = [(k, "\n".join(line() for _ in range(10)), "s") for k in range(n)]
+        assert C.line_dedup(spark, make(rows), "").count() == n
+    assert sizes[1] < 0.05 * 8000, sizes
