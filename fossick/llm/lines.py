@@ -42,6 +42,8 @@ SHORT_PARTNER = int(SHORT / SHORT_JACCARD)
 SKETCH, SKETCH_APART, SHORT_APART = 63, 17, 21
 #: Rows of a key up to which all pairs of sketches are compared side by side with those of other keys.
 WIDE = 32
+#: Rows of a long run whose distances tell which others can be near each other.
+MARKS = 8
 #: Places of the table of nodes that a task has met; a power of two.
 SEEN = 1 << 18
 #: Bytes of lines whose hashes a processor's cache holds.
@@ -257,6 +259,11 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(node[first][several]), pa.array(node[several]), pa.array(np.int32(1) << (key[several] & 31).astype(np.int32))], ["grp", "node", "bands"])
 
 
+def _wanted(least: np.ndarray) -> np.ndarray:
+    """The Jaccard similarity of similar lines of which the smaller set has so many shingles."""
+    return np.where((least >= TINY) & (least < SHORT), SHORT_JACCARD, JACCARD)
+
+
 class _Sets:
     """Shingle sets of a batch of lines: sorted 44-bit hashes, each set by itself."""
 
@@ -274,7 +281,7 @@ class _Sets:
         out = np.zeros(len(i), bool)
         a, b = self.size[i], self.size[j]
         least = np.minimum(a, b)
-        want = np.where((least >= TINY) & (least < SHORT), SHORT_JACCARD, JACCARD)
+        want = _wanted(least)
         able = np.flatnonzero(least >= want * np.maximum(a, b))
         work = np.cumsum(a[able] + b[able])
         k = 0
@@ -289,37 +296,89 @@ class _Sets:
             k = m
         return out
 
-    def near(self, rows: np.ndarray, x: int) -> np.ndarray:
-        return self.alike(rows, np.full(len(rows), x))
+
+class _Run:
+    """Sets of the rows of one long run, with their hashes numbered: a table of the numbers of one set counts what it has in
+    common with many others, without sorting."""
+
+    def __init__(self, rows: np.ndarray, sets: _Sets):
+        self.size = sets.size[rows]
+        _, number, times = np.unique(sets.hash[H.ragged(sets.at[rows], self.size)], return_inverse=True, return_counts=True)
+        # what one set alone has is common to none
+        shared = times > 1
+        keep = shared[number]
+        self.at = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(self.size)])]
+        self.number = (np.cumsum(shared, dtype=np.int32) - 1)[number[keep]]
+        self.table = np.zeros(np.count_nonzero(shared), np.int32)
+
+    def common(self, x: int, rows: np.ndarray) -> np.ndarray:
+        """How many hashes row ``x`` has in common with each of ``rows``."""
+        own = self.number[self.at[x] : self.at[x + 1]]
+        self.table[own] = 1
+        out = np.zeros(len(rows), np.int32)
+        n = self.at[rows + 1] - self.at[rows]
+        some = np.flatnonzero(n)
+        work = np.cumsum(n[some])
+        k = 0
+        while k < len(some):
+            m = max(k + 1, int(np.searchsorted(work, (work[k - 1] if k else 0) + (1 << 18), side="right")))
+            p = some[k:m]
+            out[p] = np.add.reduceat(self.table[self.number[H.ragged(self.at[rows[p]], n[p])]], np.cumsum(n[p]) - n[p])
+            k = m
+        self.table[own] = 0
+        return out
+
+    def alike(self, x: int, rows: np.ndarray) -> np.ndarray:
+        """Whether row ``x`` and each of ``rows`` have at least the wanted Jaccard similarity."""
+        out = np.zeros(len(rows), bool)
+        a, b = self.size[x], self.size[rows]
+        want = _wanted(np.minimum(a, b))
+        able = np.flatnonzero(np.minimum(a, b) >= want * np.maximum(a, b))
+        common = self.common(x, rows[able])
+        out[able] = common >= want[able] * (a + b[able] - common)
+        return out
+
+    def apart(self, x: int) -> np.ndarray:
+        """Jaccard distances of all rows from row ``x``."""
+        common = self.common(x, np.arange(len(self.size)))
+        return 1 - common / (self.size[x] + self.size - common)
 
 
 def _verify_run(block: np.ndarray, rest: np.ndarray, sets: _Sets, out: list[np.ndarray]) -> None:
-    """Verified links among rows of one long run, of which ``block`` is linked: what links them already is left out."""
-    blocks = [block]
+    """Verified links among rows of one long run, of which ``block`` is linked: what links them already is left out.
+
+    A line of which a corpus holds many versions has a run that grows with the corpus. Most of its rows are linked by the
+    first of it or by one of 32 others; only those that the largest component doesn't have are compared with all rows of
+    other components, but for rows that can't be near them: Jaccard distances obey the triangle inequality."""
+    rows = np.concatenate([block, rest])
+    run = _Run(rows, sets)
+    group = np.arange(len(rows))
+    group[: len(block)] = 0
+    rest = group[len(block) :].copy()
+    marks = [0]
     for x in rest[:: max(1, len(rest) // 32)]:
-        if x not in rest:
+        if group[x] != x:
             continue
-        hit = sets.near(rest, x)
+        hit = run.alike(x, rest)
         if np.count_nonzero(hit) * 16 >= len(rest):
-            out.append(np.stack([np.full(np.count_nonzero(hit), x), rest[hit]], 1))
-            blocks.append(rest[hit])
+            out.append(np.stack([np.full(np.count_nonzero(hit), rows[x]), rows[rest[hit]]], 1))
+            group[rest[hit]] = x
+            marks.append(x)
             rest = rest[~hit]
-    blocks += [rest[i : i + 1] for i in range(len(rest))]
-    # each pair of blocks until a pair of their lines links them, the linked ones as one
-    group = np.arange(len(blocks))
-    for i in range(len(blocks)):
-        for x in blocks[i]:
-            open_ = [j for j in range(i + 1, len(blocks)) if group[j] != group[i]]
-            if not open_:
-                break
-            other = np.concatenate([blocks[j] for j in open_])
-            owner = np.repeat(open_, [len(blocks[j]) for j in open_])
-            hit = sets.near(other, x)
-            for j in np.unique(owner[hit]):
-                if group[j] != group[i]:
-                    y = other[hit & (owner == j)][0]
-                    out.append(np.array([[x, y]]))
-                    group[group == group[j]] = group[i]
+    apart = np.stack([run.apart(x) for x in marks[:MARKS]])
+    far = 1 - (SHORT_JACCARD if run.size.min() < SHORT else JACCARD) + 1e-9
+    size = np.bincount(group)
+    largest = size.argmax()
+    for x in np.argsort(size[group], kind="stable"):
+        if group[x] == largest:
+            continue
+        other = np.flatnonzero((group != group[x]) & (np.abs(apart - apart[:, x, None]) <= far).all(0))
+        hit = other[run.alike(x, other)]
+        if len(hit):
+            names, at = np.unique(group[hit], return_index=True)
+            out.append(np.stack([np.full(len(at), rows[x]), rows[hit[at]]], 1))
+            names = np.append(names, group[x])
+            group[np.isin(group, names)] = largest if largest in names else group[x]
 
 
 def _verify_groups(begin: np.ndarray, size: np.ndarray, bands: np.ndarray, sets: _Sets) -> np.ndarray:

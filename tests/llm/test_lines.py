@@ -126,6 +126,26 @@ def test_size_of_a_group_does_not_matter():
         assert (roots(e[:, 0], e[:, 1], len(names)) == want).all()
 
 
+def test_versions_of_a_line_are_sorted_with_each_other_about_once(monkeypatch):
+    """A run of versions of one line grows with the corpus: with the right components, its sets aren't sorted pair by pair."""
+    rng = random.Random(2)
+    base, other = words(rng, 60), words(rng, 60)
+    sorted_pairs, alike = [], L._Sets.alike
+    monkeypatch.setattr(L._Sets, "alike", lambda self, i, j: sorted_pairs.append(len(i)) or alike(self, i, j))
+    for n in (300, 1200):
+        names = [base, *sorted({edited(rng, base, rng.randint(1, 11)) for _ in range(n)} | {edited(rng, other, rng.randint(0, 9)) for _ in range(n // 10)} | {words(rng, 5 * k) for k in range(1, 9)})]
+        sets = L._Sets(L.pa.array(names))
+        sorted_pairs.clear()
+        e = L._verify_groups(np.array([0]), np.array([len(names)]), np.ones(len(names), np.int32), sets)
+        assert sum(sorted_pairs) <= 2 * len(names), (n, sum(sorted_pairs))
+        if n == 300:
+            x, y = np.triu_indices(len(names), 1)
+            good = alike(sets, x, y)
+            want = roots(x[good], y[good], len(names))
+            assert 9 < len(set(want)) < 0.5 * n and good[x == 0].sum() < 0.9 * n
+            assert (roots(e[:, 0], e[:, 1], len(names)) == want).all()
+
+
 def test_a_task_passes_on_a_line_once():
     rng = random.Random(6)
     texts = [f"{words(rng, 12)}\nthis boilerplate stands in every text of the table\n{words(rng, 12)}" for _ in range(3000)]
