@@ -152,19 +152,53 @@ def store_embedding(old: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     return old.join(checked, "id", "left").withColumn("embedding_vector", F.coalesce("_vec", "embedding_vector")).drop("_vec")
 
 
+def merged_parts(clusters: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What ``merge`` puts together, as rows, so that none grows with its group: one of (key, n_merged, name, confidence,
+    hotness, version) for each key, and different (key, kind, text), (key, doc_id, at), (key, target, weight, at).
+
+    ``at`` orders documents by their first arrival and edges by their last. Rows of one ``order`` arrive by name. The
+    edges of one target meet in one row, for its average.
+    """
+    c = clusters.withColumn("_at", F.struct(F.col(order).alias("order"), "name", F.xxhash64("description", "patterns", "evidences", "related_clusters").alias("digest"), F.monotonically_increasing_id().alias("row")))
+    heads = clusters.groupBy(key).agg(
+        F.count("*").alias("n_merged"), F.concat(F.min(F.struct(order, "name"))["name"], F.lit(" (merged)")).alias("name"), F.avg("confidence").alias("confidence"), F.avg("hotness").alias("hotness"), (F.max("version") + 1).cast("int").alias("version"),
+    )
+    each = lambda kind: clusters.select(key, F.lit(kind).alias("kind"), F.explode(kind).alias("text"))
+    texts = each("description").unionByName(each("patterns")).distinct()
+    spread = lambda column: c.select(key, "_at", F.posexplode(column).alias("pos", "e")).withColumn("_at", F.struct("_at", "pos"))
+    documents = spread("evidences").groupBy(key, F.col("e.doc_id").alias("doc_id")).agg(F.min("_at").alias("at"))
+    weights = F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col("e.weight").cast("double").alias("weight")))), lambda x: x["weight"])
+    mean = F.aggregate(weights, F.lit(None).cast("double"), lambda m, w: F.coalesce((m + w) / 2, w))
+    edges = spread("related_clusters").groupBy(key, F.col("e.target").cast("bigint").alias("target")).agg(mean.alias("weight"), F.max("_at").alias("at"))
+    return heads, texts, documents, edges
+
+
+def merged_texts(texts: DataFrame, key: str) -> DataFrame:
+    """(key, description, patterns) of the texts of ``merged_parts``, sorted."""
+    of = lambda kind: F.array_sort(F.transform(F.collect_list(F.when(F.col("kind") == kind, F.struct("text"))), lambda x: x["text"])).alias(kind)
+    return texts.groupBy(key).agg(of("description"), of("patterns"))
+
+
+def by_key(key: str, *tables: DataFrame) -> DataFrame:
+    """The columns of tables with at most one row for each key, side by side; a null is a key too."""
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t, allowMissingColumns=True)
+    return every.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in every.columns if c != key])
+
+
 def merge(clusters: DataFrame, key: str, order: str) -> DataFrame:
     """One cluster for each ``key``: different descriptions and patterns in sorted order, evidence once for each
     document in arrival order, mean confidence and hotness, edge weights averaged pair by pair as they arrive, the
-    highest version and one."""
-    rows = F.array_sort(F.collect_list(F.struct(order, "name", "description", "patterns", "evidences", "related_clusters")))
-    g = clusters.groupBy(key).agg(F.count("*").alias("n_merged"), F.avg("confidence").alias("confidence"), F.avg("hotness").alias("hotness"), F.max("version").alias("v"), rows.alias("r"))
-    flat = lambda c: F.flatten(F.transform("r", lambda x: x[c]))
-    evidence = F.aggregate(flat("evidences"), F.array().cast("array<string>"), lambda s, e: F.when(F.array_contains(s, e["doc_id"]), s).otherwise(F.array_append(s, e["doc_id"])))
-    weights = F.aggregate(flat("related_clusters"), F.expr("cast(map() as map<bigint,double>)"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["target"]), F.create_map(e["target"], F.coalesce((m[e["target"]] + e["weight"]) / 2, e["weight"]))))
-    return g.select(
-        key, "n_merged", F.concat(F.element_at(F.col("r.name"), 1), F.lit(" (merged)")).alias("name"), F.array_sort(F.array_distinct(flat("description"))).alias("description"), F.array_sort(F.array_distinct(flat("patterns"))).alias("patterns"),
-        evidence.alias("doc_ids"), weights.alias("edges"), "confidence", "hotness", (F.col("v") + 1).cast("int").alias("version"),
-    )
+    highest version and one. ``merged_parts`` has the same without a row that holds a whole group."""
+    heads, texts, documents, edges = merged_parts(clusters, key, order)
+    doc_ids = documents.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "doc_id"))), lambda x: x["doc_id"]).alias("doc_ids"))
+    weights = edges.groupBy(key).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("at", "target", "weight"))), lambda x: F.struct(x["target"], x["weight"]))).alias("edges"))
+    m = by_key(key, heads, merged_texts(texts, key), doc_ids, weights)
+    none = F.array().cast("array<string>")
+    return m.select(
+        key, "n_merged", "name", *[F.coalesce(c, none).alias(c) for c in ("description", "patterns", "doc_ids")], F.coalesce("edges", F.expr("cast(map() as map<bigint,double>)")).alias("edges"), "confidence", "hotness", "version"
+    )
 
 
 def split(clusters: DataFrame, n: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +79,29 @@ def test_reuse_and_merge(spark):
     assert m.edges == {7: ((1.0 + 0.5) / 2 + 0.25) / 2} and m.doc_ids == ["e1", "e0"] and m.version == 4 and m.hotness is None
 
 
+def test_merge_of_large_groups(spark):
+    """As a walk over the sorted rows gives it; the time of a group grows with its rows."""
+    kind = "seq int, key string, name string, description array<string>, patterns array<string>, evidences array<struct<doc_id:string>>, related_clusters array<struct<target:bigint,weight:double>>, confidence double, hotness double, version int"
+    rng = random.Random(1)
+    rows = [(i, rng.choice([None, "a", "b"]), f"n{i}", [f"d{i % 5}", None], None if i % 7 == 0 else ["p"], [(f"e{rng.randrange(9)}",) for _ in range(i % 4)], [(rng.randrange(20), rng.choice([None, rng.random()])) for _ in range(i % 3)], i / 9, None, i) for i in range(200)]
+    rows.append((999, "alone", "n", [], [], [], [], None, None, 1))
+    want = {}
+    for r in rows:
+        w = want.setdefault(r[1], [0, f"{r[2]} (merged)", {}, {}])
+        w[0] += 1
+        w[2] |= {e: None for (e,) in r[5] if e not in w[2]}
+        for t, x in r[6]:
+            m = w[3].pop(t, None)
+            w[3][t] = x if m is None or x is None else (m + x) / 2
+    got = knowledge.merge(spark.createDataFrame(rng.sample(rows, len(rows)), kind), "key", "seq").withColumn("edges", F.map_entries("edges")).collect()
+    assert {r.key: (r.n_merged, r.name, r.doc_ids, list(map(tuple, r.edges))) for r in got} == {k: (n, name, list(d), list(e.items())) for k, (n, name, d, e) in want.items()}
+    assert {r.key: (r.description, r.patterns) for r in got}["a"] == (["d0", "d1", "d2", "d3", "d4", None], ["p"]) and {r.key: r.description for r in got}["alone"] == []
+    many = spark.range(60_000).selectExpr("int(id) seq", "'k' key", "'n' name", "array('d') description", "array('p') patterns", "array(named_struct('doc_id', string(id))) evidences", "array(named_struct('target', id, 'weight', 1D), named_struct('target', id + 1, 'weight', 0.5D)) related_clusters", "1D confidence", "1D hotness", "1 version")
+    began = time.time()
+    r = knowledge.merge(many, "key", "seq").select("n_merged", F.size("doc_ids").alias("d"), F.size("edges").alias("e"), F.col("edges")[5].alias("w")).first()
+    assert tuple(r) == (60_000, 60_000, 60_001, 0.75) and time.time() - began < 60
+
+
 def test_embedding_length_is_checked(spark):
     c = views.clusters(spark, DATA)
     bad = c.limit(1).select("id", F.array(F.lit(1.0).cast("float")).alias("vector"))
