@@ -4,6 +4,7 @@ import datetime as dt
 import io
 import json
 import re
+import time
 import struct
 import zipfile
 import zlib
@@ -291,6 +292,44 @@ def test_key_phrases(spark):
     assert [(r.path, r.phrase) for r in got if r.path != "p"] == [("s", "word")]
 
 
+def test_key_phrases_of_long_and_odd_documents(spark):
+    """As by whole vectors, equal ones in order; blocks of documents don't mix; fast enough for a corpus."""
+    rng = np.random.default_rng(2)
+    stop = set("the a an of and or to in is are be was on for with as it that this by at from".split())
+
+    def vector(s):
+        v = np.zeros(256)
+        for i in range(len(s)):
+            v[zlib.crc32(f" {s} "[i : i + 3].encode()) % 256] += 1
+        return v
+
+    def chosen(text, top_k):
+        words = [w for w in re.sub(r"\W+", " ", text.lower()).split() if w not in stop]
+        every = sorted({w for w in words if len(w) > 1} | {" ".join(p) for p in zip(words, words[1:], strict=False)})
+        x, whole, got, best = np.array([vector(p) for p in every]).reshape(-1, 256), vector(" ".join(words)), [], 0
+        norm = np.sqrt((x**2).sum(axis=1))
+        for k in range(min(top_k, len(every))):
+            value = x @ whole / norm / np.linalg.norm(whole) * (0.5 if k else 1) - (0.5 * best if k else 0)
+            i = next(i for i in np.argsort(-np.round(value, 10), kind="stable") if every[i] not in {p for p, _ in got})
+            got.append((every[i], round(x[i] @ whole / norm[i] / np.linalg.norm(whole), 5)))
+            best = np.maximum(best, x @ x[i] / norm / norm[i])
+        return got
+
+    parts = ["the", "a", "x", "ab", "ba", "Éa", "ß", "漢字", "字", "😀", "𝒳y", "İx", "_", "12", "que", "la", "w" * 70, "abcabcabc", "—", ",", "\n", "of"]
+    texts = [" ".join(rng.choice(parts, n)) for n in rng.integers(1, 40, 150)] + ["".join(rng.choice(list("abc "), 5000)), "", "the", "😀", "x", "la la la la"]
+    rows = [(f"p{i}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, (None, "red cat"), ("null", None)], "path string, content string").coalesce(1)
+    got = {}
+    for r in sorted(evidence.key_phrases(df, top_k=6).collect(), key=lambda r: r.place):
+        got.setdefault(r.path, []).append((r.phrase, pytest.approx(r.score, abs=2e-5)))
+    assert got.pop(None)[0][0] == "red cat"
+    assert got == {p: c for p, t in rows if (c := chosen(t, 6))}
+    text = " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(40_000))
+    began = time.time()
+    find = evidence._Words(evidence.STOP)
+    assert len(evidence._rank_phrases([[find[w] for w in text.split()]] * 5, find, 5, 0.5)[4]) == 5 and time.time() - began < 10
+
+
 def test_sampled_evidence(spark):
     files = views.corpus(spark, DATA).select("path", "content")
     words = {"edtion", "ention"}
