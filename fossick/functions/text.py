@@ -225,19 +225,30 @@ SMALL_PRINT = r"^(?:copyright|©|\(c\)|all rights reserved|confidential|page \d+
 LINKS = r"https?://\S+|\bwww\.\S+\b|\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}\b|^[\s*_=#+-]+$"
 
 
+#: A line that begins with a letter and has three letters or digits for each four other characters, never three of those in
+#: a row: it is no markup, not few letters and no mark over and over.
+PLAIN = r"^(?=\p{L})(?:[\p{L}\p{N}]{2,}+[^\p{L}\p{N}]{0,2}+(?:[\p{L}\p{N}][^\p{L}\p{N}]{1,2}+)?+|[\p{L}\p{N}][^\p{L}\p{N}]?+)++$"
+
+
 def is_noise(line: Column) -> Column:
     """Whether a line says little: fewer than ten characters, markup, small print, one character or mark over and over,
-    few letters and digits, also once links and addresses are gone."""
+    few letters and digits, also once links and addresses are gone.
+
+    Of a plain line without links only two of these can be, so only they are tried.
+    """
     s = F.btrim(line, F.lit(" \t\r"))
     n = F.length(s)
-    letters = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    letters = lambda c: F.length(c) - F.length(F.regexp_replace(c, r"[\p{L}\p{N}]+", ""))
     markup = F.length(F.regexp_replace(s, r"[^#*_~`>!\[\](){}|:-]", ""))
-    one = F.exists(F.regexp_extract_all(s, F.lit(r"(.)\1{4}"), 1), lambda c: n - F.length(F.replace(s, c, F.lit(""))) > 0.6 * n)
+    one = s.rlike(r"(.)\1{4}") & F.exists(F.regexp_extract_all(s, F.lit(r"(.)\1{4}"), 1), lambda c: n - F.length(F.replace(s, c, F.lit(""))) > 0.6 * n)
+    small = F.lower(s).rlike(SMALL_PRINT)
     rest = F.btrim(F.regexp_replace(F.regexp_replace(s, LINKS, ""), MARKUP, ""), F.lit(" \t\r"))
-    return (
-        (n < 10) | s.rlike(MARKUP) | (letters(s) < 0.3 * n) | one | s.rlike(r"([^\p{L}\p{N}_\s])\s*\1\s*\1\s*\1") | F.lower(s).rlike(SMALL_PRINT)
+    full = (
+        s.rlike(MARKUP) | (letters(s) < 0.3 * n) | one | s.rlike(r"([^\p{L}\p{N}_\s])\s*\1\s*\1\s*\1") | small
         | (F.length(rest) < 3) | (letters(rest) < 0.4 * F.length(rest)) | (markup > 0.6 * n)
     )
+    plain = ~s.contains("://") & ~s.contains("www.") & ~s.contains("@") & s.rlike(PLAIN)
+    return F.when(n < 10, True).when(plain, small | one).otherwise(full)
 
 
 # --- shapes and summaries

@@ -324,25 +324,31 @@ def snapshot_lines(lines: DataFrame, *, budget: int = 2048) -> DataFrame:
     """(path, line_number, line, tokens): lines that say something, sampled in order under a token budget for each file.
 
     While at most 70 % of the budget is used every line is taken; then with a chance that falls as it fills, at most
-    150 %; from 120 % on none. The chance comes from a hash of path and line number.
+    150 %; from 120 % on none. The chance comes from a hash of path and line number. Lines pass by in order, none of a
+    file is held.
     """
     from fossick.functions.text import is_noise
 
-    good = lines.where(~is_noise(F.col("line"))).withColumn("tokens", F.greatest(F.lit(1), F.floor(F.length("line") / 4)).cast("int"))
-
-    def pick(key, frame):
-        frame = frame.sort_values("line_number")
-        used, keep = 0, []
-        for n, t in zip(frame["line_number"], frame["tokens"], strict=True):
-            if used >= 1.2 * budget:
-                break
-            fill = used / budget
-            u = zlib.crc32(f"{key[0]}:{n}".encode()) / 2**32
-            w = zlib.crc32(f"{n}:{key[0]}".encode()) / 2**32
-            p = max(0.2, 1 - 2 * fill) * (min(1.0, 0.8 + 0.4 * (1 - t / budget)) if fill > 0.5 else 1.0) * (0.8 + 0.4 * w)
-            if used == 0 or used + t <= 0.7 * budget or (u < min(1.0, p) and used + t <= 1.5 * budget):
-                used += t
-                keep.append(n)
-        return frame[frame["line_number"].isin(keep)][["path", "line_number", "line", "tokens"]]
-
-    return good.groupBy("path").applyInPandas(pick, "path string, line_number int, line string, tokens int")
+    tokens = F.greatest(F.lit(1), F.floor(F.length("line") / 4)).cast("int").alias("tokens")
+    good = lines.where(~is_noise(F.col("line"))).select(F.col("path").cast("string").alias("path"), F.col("line_number").cast("int").alias("line_number"), "line", tokens)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, used = object(), 0
+        for b in batches:
+            keep = []
+            for q, n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if q != path:
+                    path, used = q, 0
+                take = used == 0 or used + t <= 0.7 * budget
+                if not take and used < 1.2 * budget and used + t <= 1.5 * budget:
+                    fill = used / budget
+                    u = zlib.crc32(f"{q}:{n}".encode()) / 2**32
+                    w = zlib.crc32(f"{n}:{q}".encode()) / 2**32
+                    p = max(0.2, 1 - 2 * fill) * (min(1.0, 0.8 + 0.4 * (1 - t / budget)) if fill > 0.5 else 1.0) * (0.8 + 0.4 * w)
+                    take = u < min(1.0, p)
+                if take:
+                    used += t
+                keep.append(take)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return good.repartition("path").sortWithinPartitions("path", F.asc_nulls_last("line_number")).mapInArrow(pick, "path string, line_number int, line string, tokens int")

@@ -1,6 +1,7 @@
 """Formulas on small inputs."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from fossick.functions import matching as M
 from fossick.functions import scoring as S
 from fossick.functions import text as X
+from fossick.sources import views
 
 
 def one(spark, column, *values, names="x"):
@@ -112,3 +114,25 @@ NOISE = [
 @pytest.mark.parametrize(("line", "noise"), [*((x, True) for x in NOISE), ("An ordinary sentence of prose.", False), ("# A heading of some length", False), ("the copyright is mentioned here", False), ("look at https://example.org for more", False), ("He said hello... and left", False)])
 def test_noise(spark, line, noise):
     assert one(spark, X.is_noise(F.col("x")), line) is noise
+
+
+def test_plain_lines_are_judged_as_all(spark):
+    """The short way for plain lines gives what the whole rule gives, on random lines of letters, marks and blanks; the lines
+    of a corpus take it."""
+    rng = random.Random(3)
+    parts = ["a", "B", "é", "漢", "7", " ", " ", ".", ",", "-", "*", "#", "_", "|", "aaaaa", "word", "the ", "copyright ", "page 3", "www.x", "http://y", "a@b.cd", "12 of 14", "\t", "\r", "😀", "....", "𝒳"]
+    lines = ["".join(rng.choices(parts, k=rng.randrange(1, 16))) for _ in range(6000)] + ["".join(rng.choices(["a ", "b. ", "ab, ", "cde", "!", "x"], k=rng.randrange(5, 30))) for _ in range(4000)]
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    s, n = F.btrim("x", F.lit(" \t\r")), F.length(F.btrim("x", F.lit(" \t\r")))
+    letters = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    rest = F.btrim(F.regexp_replace(F.regexp_replace(s, X.LINKS, ""), X.MARKUP, ""), F.lit(" \t\r"))
+    one = F.exists(F.regexp_extract_all(s, F.lit(r"(.)\1{4}"), 1), lambda c: n - F.length(F.replace(s, c, F.lit(""))) > 0.6 * n)
+    whole = (
+        (n < 10) | s.rlike(X.MARKUP) | (letters(s) < 0.3 * n) | one | s.rlike(r"([^\p{L}\p{N}_\s])\s*\1\s*\1\s*\1") | F.lower(s).rlike(X.SMALL_PRINT)
+        | (F.length(rest) < 3) | (letters(rest) < 0.4 * F.length(rest)) | (F.length(F.regexp_replace(s, r"[^#*_~`>!\[\](){}|:-]", "")) > 0.6 * n)
+    )
+    rows = df.select("x", X.is_noise(F.col("x")).alias("got"), whole.alias("want"), s.rlike(X.PLAIN).alias("plain")).collect()
+    assert [r for r in rows if r.got != r.want] == [] and {(r.got, r.plain) for r in rows} == {(a, b) for a in (True, False) for b in (True, False)}
+    assert spark.createDataFrame([(None,)], "x string").select(X.is_noise(F.col("x"))).first()[0] is None
+    corpus = views.lines(spark, "/root/testdata/sf0.001").where(F.length("line") >= 10)
+    assert corpus.where(F.col("line").rlike(X.PLAIN)).count() > 0.9 * corpus.count()

@@ -4,8 +4,8 @@ import datetime as dt
 import io
 import json
 import re
-import time
 import struct
+import time
 import zipfile
 import zlib
 
@@ -271,6 +271,27 @@ def test_snapshot_lines(spark):
     assert got == want and len(got) < len(good)
 
 
+def test_snapshot_lines_of_a_long_file_pass_by(spark):
+    """A file's lines cross many batches, none of it is held, and the budget goes on from batch to batch."""
+    lines = spark.range(30_000).selectExpr("if(id < 25000, 'long', if(id < 29000, 'short', null)) path", "int(id) line_number", "concat('some words of line ', id) line").orderBy(F.rand(1))
+    assert "InPandas" not in evidence.snapshot_lines(lines)._jdf.queryExecution().toString()
+    want = {"long": [], "short": [], None: []}
+    for i in range(30_000):
+        path = "long" if i < 25_000 else "short" if i < 29_000 else None
+        used, t = sum(want[path][1::2]), len(f"some words of line {i}") // 4
+        fill = used / 500
+        chance = max(0.2, 1 - 2 * fill) * (min(1.0, 0.8 + 0.4 * (1 - t / 500)) if fill > 0.5 else 1) * (0.8 + 0.4 * zlib.crc32(f"{i}:{path}".encode()) / 2**32)
+        if fill < 1.2 and (used == 0 or used + t <= 350 or (zlib.crc32(f"{path}:{i}".encode()) / 2**32 < min(1, chance) and used + t <= 750)):
+            want[path] += [i, t]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = evidence.snapshot_lines(lines, budget=500).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for path, kept in want.items():
+        assert sorted(r.line_number for r in got if r.path == path) == kept[::2] and len(kept) > 50
+
+
 def test_key_phrases(spark):
     docs = spark.createDataFrame([("p", "The red cat and the red dog. A red cat sat on the mat; cats sit."), ("q", ""), ("r", "the a of"), ("s", "word")], "path string, content string")
     stop = set("the a an of and or to in is are be was on for with as it that this by at from".split())
